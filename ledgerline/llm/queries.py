@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import op7_exact_dedup
+from ledgerline.llm import op1_sentencepiece, op3_packing, op4_near_dedup, op7_exact_dedup
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece.op1_sentencepiece,
+    "op3_packing": op3_packing.op3_packing,
+    "op4_near_dedup": op4_near_dedup.op4_near_dedup,
     "op7_exact_dedup": op7_exact_dedup.op7_exact_dedup,
 }
 
