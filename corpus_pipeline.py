@@ -1,6 +1,74 @@
-"""The corpus pipeline: stages that each work on all that the stage before kept."""
+"""The corpus pipeline: five stages, each working on all that the stage before kept.
+
+The first four filter and return the columns of documents; the last one packs what is left. The classifiers carry the whole
+row past their decision; the dedup stages join their decisions back on the identifier, so a row without one stays there.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import op3_packing, op4_near_dedup, op7_exact_dedup, op9_language_id, op10_quality
+from ledgerline.llm.common import staged, table
+
+#: Below this likeness to every profile, a text is taken for none of the languages.
+LEAST_LIKENESS = 0.05
+
+
+def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row of docs for each identifier that decisions (doc_id, kept) keeps, and the rows without an identifier."""
+    wanted = decisions.where("kept").select("doc_id").distinct()
+    named = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id IS NULL"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = op10_quality.learn(docs, table(spark, sf_dir, "labels"))
+    return op10_quality.score(docs, model, carry=True).where("score >= 0.5").select("row.*")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a determined language."""
+    profiles = op9_language_id.learn_profiles(op9_language_id.training_rows(docs))
+    found = op9_language_id.identify(docs, profiles, carry=True)
+    known = (F.col("lang_pred") != op9_language_id.UNDETERMINED) & (F.col("score") >= LEAST_LIKENESS)
+    return found.where(known).select("row.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _kept(docs, op7_exact_dedup.exact_duplicates(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return _kept(docs, op4_near_dedup.near_duplicates(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences."""
+    return op3_packing.pack_documents(docs, op3_packing.default_tokenizer())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("language id", language),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("packing", packing),
+]
+
+#: SQL can express neither the classifiers nor the tokenizer.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir))
+    return docs

@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import op1_sentencepiece, op3_packing, op4_near_dedup, op7_exact_dedup
+from ledgerline.llm import (
+    op1_sentencepiece,
+    op2_media,
+    op3_packing,
+    op4_near_dedup,
+    op5_url_filter,
+    op6_line_dedup,
+    op7_exact_dedup,
+    op8_license_scan,
+    op9_language_id,
+    op10_quality,
+)
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.op1_sentencepiece,
+    "op2_media_columns": op2_media.op2_media_columns,
     "op3_packing": op3_packing.op3_packing,
     "op4_near_dedup": op4_near_dedup.op4_near_dedup,
+    "op5_url_filter": op5_url_filter.op5_url_filter,
+    "op6_line_dedup": op6_line_dedup.op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup.op7_exact_dedup,
+    "op8_license_scan": op8_license_scan.op8_license_scan,
+    "op9_language_id": op9_language_id.op9_language_id,
+    "op10_quality_classifier": op10_quality.op10_quality_classifier,
 }
 
 ORACLE_SQL = {
+    "op5_url_filter": op5_url_filter.ORACLE_SQL,
     "op7_exact_dedup": op7_exact_dedup.ORACLE_SQL,
 }
