@@ -16,7 +16,7 @@ def normalize_key(df: DataFrame, ticker: str = "ticker", form: str = "form_type"
 
 
 def pick_filing(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """requests with accession, filing_date and match_kind: `year`, `latest` or `none`.
+    """requests, their key normalised, with accession, filing_date and match_kind: `year`, `latest` or `none`.
 
     The latest filing of the requested calendar year is taken, else the latest of all; equal dates go to the larger
     accession. The catalog is reduced to one row for each (ticker, form, year) and each (ticker, form) before it meets

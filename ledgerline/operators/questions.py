@@ -43,12 +43,12 @@ def comparison_context(questions: DataFrame, catalog: DataFrame, bodies: DataFra
     meet the questions.
     """
     plan = questions if planned else plan_comparison(questions)
-    plan = plan.withColumn("_ticker", F.upper("ticker"))
-    keys = plan.where("wanted").select(F.col("_ticker").alias("ticker"), F.col("comparison_form").alias("form_type"), F.col("comparison_year").alias("year")).distinct()
-    picked = pick_filing(keys, catalog).where("accession IS NOT NULL").select(F.col("ticker").alias("_ticker"), F.col("form_type").alias("comparison_form"), F.col("year").alias("comparison_year"), "accession")
+    plan = plan.withColumns({"_ticker": F.upper("ticker"), "_form": F.upper("comparison_form")})
+    keys = plan.where("wanted").select(F.col("_ticker").alias("ticker"), F.col("_form").alias("form_type"), F.col("comparison_year").alias("year")).distinct()
+    picked = pick_filing(keys, catalog).where("accession IS NOT NULL").select(F.col("ticker").alias("_ticker"), F.col("form_type").alias("_form"), F.col("year").alias("comparison_year"), "accession")
     wanted = picked.select("accession").distinct()
     texts = resolve_body(bodies.join(wanted, "accession", "left_semi")).select("accession", first_chars(F.col("text"), chars).alias("_text"))
     label = F.format_string("Additional SEC filing context (%s, filing_date calendar year ~%s):\n", "comparison_form", "comparison_year")
-    met = plan.join(picked, ["_ticker", "comparison_form", "comparison_year"], "left").join(texts, "accession", "left")
+    met = plan.join(picked, ["_ticker", "_form", "comparison_year"], "left").join(texts, "accession", "left")
     context = F.when(F.col("_text").isNotNull(), F.concat(label, F.col("_text"))).otherwise("")
-    return met.select(*(c for c in plan.columns if c != "_ticker"), context.alias("additional_context"))
+    return met.select(*(c for c in plan.columns if c not in ("_ticker", "_form")), context.alias("additional_context"))

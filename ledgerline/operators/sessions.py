@@ -87,7 +87,7 @@ def replay_cache(requests: DataFrame, key: list[str], ttl_seconds: int = TTL_SEC
     A hit does not renew the load, so the loads of a key are a recurrence: each key's times are replayed in order. Only
     (key, request_id, time) reach Python, as sorted partitions that are read as a stream, so no key is held whole.
     """
-    narrow = requests.select(*key, "request_id", (F.unix_micros("ts")).alias("_us"))
+    narrow = requests.select(*key, "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
     ordered = narrow.repartition(*key).sortWithinPartitions(*key, "_us", "request_id")
     ttl = ttl_seconds * 1_000_000
 

@@ -89,7 +89,7 @@ PACK_SQL = f"""
   FROM filing_requests r LEFT JOIN in_year a ON a.ticker = upper(r.ticker) AND a.form_type = upper(r.form_type) AND a.y = try_cast(r.year AS INT)
   LEFT JOIN newest n ON n.ticker = upper(r.ticker) AND n.form_type = upper(r.form_type) AND n.rn = 1
 )
-SELECT p.*, length(h.html) > 600 AS html_partial, least(length(h.html), 600) AS shown_chars, md5({strip_sql("h.html")}) AS text_md5,
+SELECT p.*, length(h.html) > 600 AS html_partial, CASE WHEN h.doc_id IS NOT NULL THEN least(length(h.html), 600) END AS shown_chars, md5({strip_sql("h.html")}) AS text_md5,
        CASE WHEN h.doc_id IS NOT NULL THEN concat('part-', h.doc_id % 4, ',part-', h.doc_id % 4, '-2,i1,i1a,', CASE WHEN h.doc_id % 3 = 0 THEN 'i7' ELSE 'sec-item-item-7-md-and-a' END) END AS anchor_ids
 FROM picked p LEFT JOIN filing_catalog c ON c.accession = p.accession LEFT JOIN filing_html h ON h.doc_id = c.doc_id
 """

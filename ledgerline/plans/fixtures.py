@@ -85,7 +85,7 @@ FROM {filing_catalog} c JOIN {documents} d ON c.doc_id = d.doc_id""",
     "raw_anchors": """
 SELECT doc_id, p AS pass, s AS seq, concat('a', CAST((doc_id + s * p) % 7 AS STRING)) AS id,
        CASE s % 4 WHEN 0 THEN concat('Item ', CAST((doc_id + p) % 9 AS STRING), substring('  AB', 1 + s % 4, 1), '. ', substring(text, 1, 5 * p))
-                  WHEN 1 THEN concat('ITEM ', CAST((doc_id * p) % 9 AS STRING), ' ', upper(substring(text, 1, 5)))
+                  WHEN 1 THEN concat('ITEM ', CAST((doc_id * p) % 9 AS STRING), ' ', substring('RISK FACTORS AND MORE', 1, 5 + CAST(doc_id % 9 AS INT)))
                   WHEN 2 THEN concat('  ', substring(text, 3, 12)) ELSE concat('Item ', CAST((doc_id + p) % 9 AS STRING)) END AS label,
        1 + p % 3 AS level, CASE p WHEN 1 THEN 'toc' WHEN 2 THEN 'heading' ELSE 'item' END AS source
 FROM {documents} CROSS JOIN (VALUES (1), (2), (4)) AS a(p) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS b(s)""",
@@ -96,7 +96,7 @@ SELECT q.request_id, q.question, CASE WHEN q.request_id % 3 = 0 THEN 'picked wor
        CASE WHEN q.request_id % 7 = 0 THEN ' Be brief. ' WHEN q.request_id % 7 = 1 THEN ' ' END AS system_prompt,
        CASE q.request_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 6000 WHEN 2 THEN 500000 END AS current_context_max_chars,
        CASE q.request_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN -5 END AS additional_context_max_chars
-FROM {questions} q JOIN {documents} d ON d.doc_id = q.request_id % (SELECT count(*) FROM {documents})""",
+FROM {questions} q CROSS JOIN (SELECT count(*) AS n FROM {documents}) s JOIN {documents} d ON d.doc_id = q.request_id % s.n""",
     "quotes": """
 SELECT doc_id, text, concat('<p>', text, '</p>') AS html,
        CASE doc_id % 4 WHEN 0 THEN substring(text, 11, 12) WHEN 1 THEN 'the ' WHEN 2 THEN 'not "there" <at> all' ELSE '' END AS source_quote

@@ -191,7 +191,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_key ORDER BY ts
 """,
     "recent_filings": f"{with_sql('session_events')}, {LAST_USED.format(source='session_events')}, {RECENT} SELECT user_id, place, ticker, year, form_type FROM recent WHERE place <= 12",
     "restore_key": f"""
-{with_sql("session_events")}, some AS (SELECT * FROM session_events WHERE user_id % 5 <> 0), {LAST_USED.format(source="some")}, {RECENT}, active AS (
+{with_sql("session_events")}, part AS (SELECT * FROM session_events WHERE user_id % 5 <> 0), {LAST_USED.format(source="part")}, {RECENT}, active AS (
   SELECT user_id, arg_max(ticker, (ts, seq)) AS ticker, arg_max(year, (ts, seq)) AS year, arg_max(form_type, (ts, seq)) AS form_type
   FROM session_events WHERE user_id % 3 = 0 AND user_id % 2 = 0 GROUP BY user_id)
 SELECT u.user_id, coalesce(a.ticker, r.ticker, '{sessions.DEFAULT_KEY[0]}') AS ticker, coalesce(a.year, r.year, '{sessions.DEFAULT_KEY[1]}') AS year,

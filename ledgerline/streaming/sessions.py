@@ -40,7 +40,7 @@ def cache_flags(requests: DataFrame, key: str, ttl_seconds: int = TTL_SECONDS) -
     watermark passes the load's time to live.
     """
     ttl = ttl_seconds * 1_000_000
-    narrow = requests.select(F.col(key).cast("string").alias("key"), "request_id", "ts", F.unix_micros("ts").alias("us"))
+    narrow = requests.select(F.col(key).cast("string").alias("key"), "request_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

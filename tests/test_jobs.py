@@ -37,7 +37,7 @@ def test_pick_breaks_ties_by_accession(spark):
     listed = spark.createDataFrame([(1, "T", "10-K", dt.date(2020, 1, 1)), (2, "T", "10-K", dt.date(2020, 1, 1))], "accession long, ticker string, form_type string, filing_date date")
     asked = spark.createDataFrame([("t", "2020", "10-k"), ("t", "1999", "10-K"), ("t", "x", "10-K"), ("u", "2020", "10-K")], "ticker string, year string, form_type string")
     got = sorted((r["ticker"], r["year"], r["accession"] or 0, r["match_kind"]) for r in catalog.pick_filing(asked, listed).collect())
-    assert got == [("t", "1999", 2, "latest"), ("t", "2020", 2, "year"), ("t", "x", 2, "latest"), ("u", "2020", 0, "none")]
+    assert got == [("T", "1999", 2, "latest"), ("T", "2020", 2, "year"), ("T", "x", 2, "latest"), ("U", "2020", 0, "none")]
 
 
 def replayed(seconds):
