@@ -257,8 +257,11 @@ def confirmed_links(clusters: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(rep, shingles) of the documents whose identifier is a rep of wanted, made from their whole texts."""
-    read = docs.select(F.col(id_col).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "rep", "left_semi")
+    """(rep, shingles) of the documents whose identifier is a rep of wanted, made from their whole texts.
+
+    wanted grows with the corpus, so it is never broadcast, on small inputs either.
+    """
+    read = docs.select(F.col(id_col).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted.hint("merge"), "rep", "left_semi")
     schema = T.StructType([T.StructField("rep", read.schema["rep"].dataType), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
