@@ -155,9 +155,8 @@ def _runs(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n items is connected to by pairs (i, j)."""
-    label = np.arange(n)
+def _labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label (the smallest index that each item is connected to) after pairs (i, j) connect more of them."""
     while True:
         before = label.copy()
         low = np.minimum(label[i], label[j])
@@ -182,19 +181,17 @@ def sketch_clusters(members: DataFrame, percent: int) -> DataFrame:
         for part in _runs(batches, 16_384):
             node, size = part.column("node").to_numpy(), part.column("n_shingles").to_numpy()
             sketch = _bytes_matrix(part.column("sketch"), COORDINATES)
-            at, step, left, right = np.arange(len(node) - 1), 1, [], []
+            at, step, label = np.arange(len(node) - 1), 1, np.arange(len(node))
             while len(at):
                 at = at[at + step < len(node)]
                 at = at[node[at] == node[at + step]]
-                for piece in np.array_split(at, len(at) // 65_536 + 1):
-                    a, b = size[piece], size[piece + step]
-                    piece = piece[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
-                    piece = piece[(sketch[piece] == sketch[piece + step]).sum(axis=1) >= least]
-                    left.append(piece)
-                    right.append(piece + step)
+                pair = at[label[at] != label[at + step]]  # what is connected already needs no comparison
+                a, b = size[pair], size[pair + step]
+                pair = pair[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
+                pair = pair[(sketch[pair] == sketch[pair + step]).sum(axis=1) >= least]
+                if len(pair):
+                    label = _labels(label, pair, pair + step)
                 step += 1
-            i, j = np.concatenate(left or [at]), np.concatenate(right or [at])
-            label = _labels(len(node), i, j)
             many = np.bincount(label, minlength=len(node))[label] > 1
             rep = part.column("rep").combine_chunks().filter(pa.array(many))
             label = np.unique(label[many], return_inverse=True)[1]
@@ -206,26 +203,33 @@ def sketch_clusters(members: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, schema).distinct()
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the pairwise intersections (above the diagonal) of sorted distinct sets, exact: bit rows over the shared elements."""
-    m = len(sets)
+def intersections(sets: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
+    """Sizes of the pairwise intersections (above the diagonal) of sorted distinct sets, exact.
+
+    Worked on in ranges of element values of about `most` elements; in each, the elements that several sets share are the columns
+    of a bit matrix.
+    """
+    m, total = len(sets), sum(map(len, sets))
     out = np.zeros((m, m), np.int64)
     if m == 2:
         out[0, 1] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return out
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    column = (np.cumsum(shared) - 1)[place]
-    keep = shared[place]
-    owner, column = owner[keep], column[keep]
-    for low in range(0, int(shared.sum()), 1 << 16):
-        inside = (column >= low) & (column < low + (1 << 16))
-        bits = np.zeros((m, -(-min(1 << 16, int(shared.sum()) - low) // 64) * 64), bool)
-        bits[owner[inside], column[inside] - low] = True
-        packed = np.packbits(bits, axis=1).view(np.uint64)
-        for i in range(m - 1):
-            out[i, i + 1 :] += np.bitwise_count(packed[i + 1 :] & packed[i]).sum(axis=1, dtype=np.int64)
+    cuts = [int(k * (1 << 64) // (total // most + 1)) for k in range(1, total // most + 1)]
+    ends = [[0, *np.searchsorted(s, np.array(cuts, np.uint64)), len(s)] for s in sets]
+    for k in range(len(cuts) + 1):
+        parts = [s[e[k] : e[k + 1]] for s, e in zip(sets, ends)]
+        owner = np.repeat(np.arange(m), [len(x) for x in parts])
+        _, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = count > 1
+        column, keep = (np.cumsum(shared) - 1)[place], shared[place]
+        owner, column, width = owner[keep], column[keep], int(shared.sum())
+        for low in range(0, width, 1 << 14):
+            inside = (column >= low) & (column < low + (1 << 14))
+            bits = np.zeros((m, -(-min(1 << 14, width - low) // 64) * 64), bool)
+            bits[owner[inside], column[inside] - low] = True
+            packed = np.packbits(bits, axis=1).view(np.uint64)
+            for i in range(m - 1):
+                out[i, i + 1 :] += np.bitwise_count(packed[i + 1 :] & packed[i]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -246,7 +250,7 @@ def confirmed_links(clusters: DataFrame, percent: int) -> DataFrame:
                 both = intersections(sets)
                 link = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
                 i, j = np.nonzero(link)
-                for k, low in enumerate(_labels(b - a, i, j)):
+                for k, low in enumerate(_labels(np.arange(b - a), i, j)):
                     if low != k:
                         u.append(rep[a + k])
                         v.append(rep[a + low])
@@ -273,7 +277,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, words: int = 5, recall: float = 0.9999, limit: int = 256, levels: int = 5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, words: int = 5, recall: float = 0.9999, limit: int = 2048, levels: int = 5
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs, whose identifiers are integers."""
     small_batches(docs.sparkSession)
