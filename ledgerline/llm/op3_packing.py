@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,20 @@ from pyspark.sql import types as T
 from ledgerline.llm.common import small_batches, staged, table
 
 CAPACITY, END_ID = 2048, 1
-REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 40
 #: Text is cut before a space or line feed that follows something else: the vocabulary's pattern never joins across.
 _CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class ByteTokenizer:
     """A byte-level tokenizer of the tokenizers library that remembers the ids of short chunks, as packed 32-bit integers."""
 
@@ -49,14 +59,14 @@ class ByteTokenizer:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [_packed(e.ids) for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         cut = [None if _OTHER_SPACE.search(t) else _CUT.findall(t) for t in texts]
         known = self.seen
-        fresh = list({c for chunks in cut if chunks for c in chunks if c not in known})
+        fresh = list(set().union(*filter(None, cut)).difference(known))
         known.update(zip(fresh, self.whole(fresh)))
         packed = [b"" if chunks is None else b"".join(map(known.__getitem__, chunks)) for chunks in cut]
         odd = [k for k, chunks in enumerate(cut) if chunks is None]
