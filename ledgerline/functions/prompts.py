@@ -11,6 +11,7 @@ from ledgerline.functions.text import trimmed
 CURRENT_CHARS = (2_000, 80_000, 120_000)
 ADDITIONAL_CHARS = (0, 60_000, 80_000)
 OMITTED = "\n\n[... middle of filing omitted for length ...]\n\n"
+QUESTION, SELECTED, CURRENT, ADDITIONAL = "Question:\n", "Selected text:\n", "Current filing context:\n", "Additional context:\n"
 OUTPUT_FORMAT = "Output format:\nANSWER: <answer>\nSOURCE_QUOTE: <quote or none>"
 NONE = "(none)"
 QUOTE_LABEL, ANSWER_LABEL = "SOURCE_QUOTE:", "ANSWER:"

@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSHOWN = frozenset(("script", "style", "template"))
 
+# Links and place of a table of contents, and limits on labels and item lines (in characters, but for children).
 TOC_TABLE_LINKS, TOC_TABLE_PLACE = 3, 0.42
-TEXT_CHARS = 900
+TEXT_CHARS, LABEL_CHARS, ROW_CHARS, ELEMENT_CHARS, RICH_CHARS, SLUG_CHARS = 900, 220, 1200, 800, 12, 200
+ITEM_CHARS, ITEM_HEAD_CHARS, ITEM_LABEL_CHARS, ITEM_SLUG_CHARS, ITEM_CHILDREN = (8, 350), 120, 160, 48, 8
 
 _SPACE = re.compile(r"\s+")
 _BARE = re.compile(r"\s*item\s+\d{1,2}[a-z]?\b", re.IGNORECASE)
@@ -63,7 +65,7 @@ def heading_line(snippet: str) -> str | None:
     head = (head[:-1] if head[-1:] in (".", ":") else head).strip()
     if len(rest) >= 2 and re.search("[A-Za-z]{2}", rest):
         head = re.sub(r"\s+\.", ".", f"{head}. {rest}")
-    return head[:220]
+    return head[:LABEL_CHARS]
 
 
 @dataclass
@@ -219,10 +221,10 @@ def raw_anchors(html: str) -> list[tuple[int, int, str, str, int, str]]:
         if e is None:
             return None
         around = e.up("tr") or e.up("td", "th") or e
-        of_row = heading_line(tree.spaced_text(around)[:1200])
-        if of_row and len(of_row) > 12:
+        of_row = heading_line(tree.spaced_text(around)[:ROW_CHARS])
+        if of_row and len(of_row) > RICH_CHARS:
             return of_row
-        return of_row or heading_line(tree.spaced_text(e)[:800])
+        return of_row or heading_line(tree.spaced_text(e)[:ELEMENT_CHARS])
 
     out: list[tuple[int, int, str, str, int, str]] = []
     seen: set[str] = set()
@@ -231,7 +233,7 @@ def raw_anchors(html: str) -> list[tuple[int, int, str, str, int, str]]:
         anchor = anchor.strip()
         if anchor:
             seen.add(anchor)
-            out.append((number, len(out), anchor, collapse(label)[:220] or anchor, level, source))
+            out.append((number, len(out), anchor, collapse(label)[:LABEL_CHARS] or anchor, level, source))
 
     for e in nodes:
         if e.tag == "a" and e.attrs.get("href", "").startswith("#"):
@@ -247,25 +249,25 @@ def raw_anchors(html: str) -> list[tuple[int, int, str, str, int, str]]:
         if re.fullmatch("h[1-6]", e.tag) and (label := tree.text(e)):
             anchor = own[id(e)].strip()
             if not anchor:
-                base = slug(label[:200])
+                base = slug(label[:SLUG_CHARS])
                 slugs[base] = slugs.get(base, 0) + 1
                 anchor = base if slugs[base] == 1 else f"{base}-{slugs[base]}"
             push(2, anchor, label, int(e.tag[1]), "heading")
 
     slugs = {}
     for e in nodes:
-        if e.tag not in ("p", "td", "div", "font", "span") or e.children > 8:
+        if e.tag not in ("p", "td", "div", "font", "span") or e.children > ITEM_CHILDREN:
             continue
-        label = tree.short_text(e, 350)
-        if label is None or len(label) < 8 or not _NUMBER.match(label[:120]):
+        label = tree.short_text(e, ITEM_CHARS[1])
+        if label is None or len(label) < ITEM_CHARS[0] or not _NUMBER.match(label[:ITEM_HEAD_CHARS]):
             continue
         anchor = own[id(e)].strip()
         if anchor and anchor in seen:
             continue
-        base = slug(label[:48])
+        base = slug(label[:ITEM_SLUG_CHARS])
         slugs[base] = slugs.get(base, 0) + 1
         made = f"sec-item-{base}" if slugs[base] == 1 else f"sec-item-{base}-{slugs[base]}"
-        push(4, own[id(e)] or made, label[:160], 1, "item")
+        push(4, own[id(e)] or made, label[:ITEM_LABEL_CHARS], 1, "item")
     return out
 
 

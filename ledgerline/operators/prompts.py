@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.prompts import (
+    ADDITIONAL,
     ADDITIONAL_CHARS,
+    CURRENT,
     CURRENT_CHARS,
     NONE,
     OUTPUT_FORMAT,
+    QUESTION,
+    SELECTED,
     answer_of,
     context_cap,
     mark_all,
@@ -42,10 +46,10 @@ def assemble_prompts(questions: DataFrame, *, allow_custom: bool = False, system
     fallback = (system_prompt or "").strip() or DEFAULT_SYSTEM_PROMPT
     shown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(NONE))
     user = F.concat(
-        F.lit("Question:\n"), F.col("question"),
-        F.lit("\n\nSelected text:\n"), shown(F.col("selected_text")),
-        F.lit("\n\nCurrent filing context:\n"), smart_excerpt(F.coalesce("current_context", F.lit("")), F.col("current_cap")),
-        F.lit("\n\nAdditional context:\n"), shown(F.substring("additional_context", F.lit(1), F.col("additional_cap"))),
+        F.lit(QUESTION), F.col("question"),
+        F.lit("\n\n" + SELECTED), shown(F.col("selected_text")),
+        F.lit("\n\n" + CURRENT), smart_excerpt(F.coalesce("current_context", F.lit("")), F.col("current_cap")),
+        F.lit("\n\n" + ADDITIONAL), shown(F.substring("additional_context", F.lit(1), F.col("additional_cap"))),
         F.lit("\n\n" + OUTPUT_FORMAT),
     )
     return capped.select(

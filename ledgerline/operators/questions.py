@@ -9,7 +9,9 @@ from ledgerline.functions.questions import comparison_year, explicit_year, form_
 from ledgerline.functions.text import first_chars
 from ledgerline.operators.catalog import pick_filing, resolve_body
 
+# Characters of a second filing's text, and the line above it.
 COMPARISON_CHARS = 60_000
+CONTEXT_LABEL = "Additional SEC filing context (%s, filing_date calendar year ~%s):\n"
 
 
 def plan_comparison(questions: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def comparison_context(questions: DataFrame, catalog: DataFrame, bodies: DataFra
     picked = pick_filing(keys, catalog).where("accession IS NOT NULL").select(F.col("ticker").alias("_ticker"), F.col("form_type").alias("_form"), F.col("year").alias("comparison_year"), "accession")
     wanted = picked.select("accession").distinct()
     texts = resolve_body(bodies.join(wanted, "accession", "left_semi")).select("accession", first_chars(F.col("text"), chars).alias("_text"))
-    label = F.format_string("Additional SEC filing context (%s, filing_date calendar year ~%s):\n", "comparison_form", "comparison_year")
+    label = F.format_string(CONTEXT_LABEL, "comparison_form", "comparison_year")
     met = plan.join(picked, ["_ticker", "_form", "comparison_year"], "left").join(texts, "accession", "left")
     context = F.when(F.col("_text").isNotNull(), F.concat(label, F.col("_text"))).otherwise("")
     return met.select(*(c for c in plan.columns if c not in ("_ticker", "_form")), context.alias("additional_context"))

