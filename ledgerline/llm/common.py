@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 TEXT_BATCH = 512
 
 _OWN_FOLDER: list[str] = []
+_STAGES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,17 @@ def staged(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: lineage ends here, so a lost executor costs a read."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes the tables that staged() has written; for when the results that read them are themselves written."""
+    while _STAGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
     """Bounds the Arrow batches that carry whole texts or sets, for plans that run from now on."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

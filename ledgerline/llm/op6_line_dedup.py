@@ -7,7 +7,8 @@ first occurrence: the one in the document with the smallest identifier, and ther
 
 Repeats are found by grouping on the chunk's digest and its bytes together, which compares the bytes; a digest under which
 different bytes were found is left alone. Copies of a chunk collapse before the shuffle, and the join back is on narrow
-rows. Each text is then shuffled once, to meet the list of what it has to lose.
+rows. Each text is then shuffled once, to meet the list of what it has to lose; that list grows with the corpus and is never
+broadcast.
 
 Cases: a null text counts as empty and is returned as empty. Rows with a null identifier keep all their lines and
 count for nothing. Rows that share an identifier are treated as one document: they lose the same chunks. Chunks of
@@ -86,7 +87,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by_bytes = chunk_rows(known, every, most_lines, True).groupBy("digest", "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
     repeated = by_bytes.groupBy("digest").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 AND n > 1").select("digest", "keeper")
     lost = chunk_rows(known, every, most_lines, False).join(repeated, "digest").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("digest").alias("lost"))
-    met = read.join(lost.withColumnRenamed("doc_id", "id"), "id", "left").select("id", "text", "lost")
+    met = read.join(lost.withColumnRenamed("doc_id", "id").hint("merge"), "id", "left").select("id", "text", "lost")
     schema = T.StructType([T.StructField("id", read.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -491,6 +492,15 @@ def test_op10_cases(spark, odd, nothing):
 # --- shared ------------------------------------------------------------------------------------------------------------
 
 
+def test_stages_are_read_back_and_cleared(spark):
+    df = common.staged(spark.range(5))
+    assert df.count() == 5
+    path = common._STAGES[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    common.clear_stages(spark)
+    assert not os.path.exists(path) and not common._STAGES
+
+
 def test_words_and_shingles_equal_their_definition():
     rng = random.Random(9)
     seen = {}
