@@ -12,7 +12,8 @@ from ledgerline.sources.tables import latest_by_key
 
 RECENTS, TTL_SECONDS = 12, 600
 KEY = ["ticker", "year", "form_type"]
-DEFAULT_KEY = ("AAPL", "2024", "10-K")
+# Fixed value: the filing that a new user sees first.
+DEFAULT_KEY = ("CHGG", "2026", "10-K")
 
 
 def session_key(ticker: str = "ticker", year: str = "year", form: str = "form_type", prefix: str = "session") -> F.Column:
