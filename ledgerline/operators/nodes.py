@@ -281,6 +281,8 @@ def element_rows(html: str) -> list[tuple]:
     ]
 
 
+#: Rows that a task gathers before it hands them to Spark.
+OUTPUT_ROWS = 10_000
 NODES = "seq int, tag string, id string, name string, href string, start int, place double, children int, element_children int, text string, in_toc boolean"
 ANCHORS = "pass int, seq int, id string, label string, level int, source string"
 
@@ -299,11 +301,15 @@ def _per_document(pages: DataFrame, id_col: str, html_col: str, parse, fields: s
     names = schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for doc, html in zip(batch["doc"], batch["html"]):
-                rows = parse(html)
-                if rows:
-                    yield pd.DataFrame([(doc, *r) for r in rows], columns=names)
+                rows.extend((doc, *r) for r in parse(html))
+                if len(rows) >= OUTPUT_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return read.mapInPandas(run, schema).withColumnRenamed("doc", id_col)
 
