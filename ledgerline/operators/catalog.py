@@ -19,15 +19,16 @@ def pick_filing(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """requests, their key normalised, with accession, filing_date and match_kind: `year`, `latest` or `none`.
 
     The latest filing of the requested calendar year is taken, else the latest of all; equal dates go to the larger
-    accession. The catalog is reduced to one row for each (ticker, form, year) and each (ticker, form) before it meets
-    the requests, so both joins are plain equi-joins on narrow rows, whatever the number of filings of a company.
+    accession. The catalog is reduced to one row for each (ticker, form), with the latest filing of each of its years, before
+    it meets the requests: one equi-join on narrow rows, whatever the number of filings of a company.
     """
     filing = F.struct("filing_date", "accession")
-    narrow = catalog.select("ticker", F.upper("form_type").alias("form_type"), "filing_date", "accession")
-    by_year = narrow.groupBy("ticker", "form_type", F.year("filing_date").alias("calendar_year")).agg(F.max(filing).alias("in_year"))
-    latest = by_year.groupBy("ticker", "form_type").agg(F.max("in_year").alias("newest"))
-    asked = normalize_key(requests).withColumn("calendar_year", F.col("year").try_cast("int"))
-    met = asked.join(by_year, ["ticker", "form_type", "calendar_year"], "left").join(latest, ["ticker", "form_type"], "left")
+    narrow = catalog.select("ticker", F.upper("form_type").alias("form_type"), F.year("filing_date").alias("calendar_year"), "filing_date", "accession")
+    by_year = narrow.groupBy("ticker", "form_type", "calendar_year").agg(F.max(filing).alias("filing"))
+    dated = F.collect_list(F.when(F.col("calendar_year").isNotNull(), F.struct("calendar_year", "filing")))
+    by_key = by_year.groupBy("ticker", "form_type").agg(F.max("filing").alias("newest"), F.map_from_entries(dated).alias("years"))
+    met = normalize_key(requests).join(by_key, ["ticker", "form_type"], "left")
+    met = met.withColumn("in_year", F.try_element_at("years", F.col("year").try_cast("int")))
     chosen = F.coalesce("in_year", "newest")
     kind = F.when(F.col("in_year").isNotNull(), "year").when(F.col("newest").isNotNull(), "latest").otherwise("none")
     return met.select(*requests.columns, chosen["accession"].alias("accession"), chosen["filing_date"].alias("filing_date"), kind.alias("match_kind"))
