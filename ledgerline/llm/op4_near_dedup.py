@@ -3,8 +3,8 @@
 Documents with the same shingle set form a class, and one representative of each class goes on. Its set has a
 signature of minwise values. In each of several independent trees the representatives are branched by a minwise value
 chosen by the tree; a node that holds more than `limit` of them branches again, each member going to the children that
-two further values chosen by the node's path lead to. Nodes that are small are compared exhaustively; the few that
-stay large after `levels` branchings (tight families of different texts) are compared exhaustively too, in pairs of blocks.
+two further values chosen by the node's path lead to. Nodes that are small are compared exhaustively; those that
+branching no longer makes smaller (tight families of different texts) are compared exhaustively too, in pairs of blocks.
 
 A comparison first asks short sketches (a byte of each minwise value) whether two members can be similar enough, which
 leaves the clusters of a node; clusters that several trees find alike are kept once. The clusters then get the full
@@ -40,6 +40,8 @@ COORDINATES = 64
 SLACK = 3.5
 #: Chance that a pair at the threshold shares a node of one tree (0.85 at the root, 0.96 over all further levels).
 TREE_CHANCE = 0.82
+#: A node that keeps more than this share of the node above is a tight family; and the most branchings of any node.
+TIGHT, MOST_LEVELS = 0.8, 30
 _SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix64(np.arange(1001, COORDINATES + 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -90,22 +92,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows (node, rep) whose node has at least two members, with that number."""
+    """Rows (node, rep, parent) whose node has at least two members, with that number."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
     return rows.join(sizes, "node")
 
 
 def _root(classes: DataFrame, trees: int) -> DataFrame:
-    """Level one: in tree r, the node of a representative is its r-th minwise value."""
+    """Level one: in tree r, the node of a representative is its r-th minwise value. parent is the size of the node above, null here."""
     nodes = [F.xxhash64(F.lit(r), F.element_at("signature", r + 1)) for r in range(trees)]
-    return classes.select(F.explode(F.array(*nodes)).alias("node"), "rep")
+    return classes.select(F.explode(F.array(*nodes)).alias("node"), "rep", F.lit(None).cast("long").alias("parent"))
 
 
 def _children(large: DataFrame, classes: DataFrame, branches: int) -> DataFrame:
     """The next level below large nodes: the path so far chooses which minwise values a node branches by."""
     at = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(COORDINATES)).cast("int") + 1 for b in range(branches)]
     nodes = [F.xxhash64("node", F.lit(b), F.element_at("signature", c)) for b, c in enumerate(at)]
-    return large.select("node", "rep").join(classes.select("rep", "signature"), "rep").select(F.explode(F.array(*nodes)).alias("node"), "rep").distinct()
+    met = large.select("node", "rep", F.col("members").alias("parent")).join(classes.select("rep", "signature"), "rep")
+    return met.select(F.explode(F.array(*nodes)).alias("node"), "rep", "parent").distinct()
 
 
 def _blocks(large: DataFrame, limit: int) -> DataFrame:
@@ -117,17 +120,27 @@ def _blocks(large: DataFrame, limit: int) -> DataFrame:
 
 
 def leaves(classes: DataFrame, trees: int, limit: int, levels: int, branches: int = 2) -> DataFrame:
-    """(node, rep) of all nodes that are compared exhaustively; classes has (rep, signature) and is materialised."""
+    """(node, rep) of all nodes that are compared exhaustively; classes has (rep, signature) and is materialised.
+
+    From `levels` branchings on, a large node that kept more than TIGHT of the members of the node above is a family whose
+    members are alike, which branching does not part: it is compared in blocks. All other large nodes, such as those of
+    different texts with a common passage, branch on until they are small, at most MOST_LEVELS times.
+    """
     rows, found = _root(classes, trees), None
-    for level in range(levels + 1):
+    for level in range(MOST_LEVELS + 1):
         sized = staged(_sized(rows))
-        small, large = sized.where(F.col("members") <= limit).select("node", "rep"), sized.where(F.col("members") > limit)
-        found = small if found is None else found.unionByName(small)
+        large = sized.where(F.col("members") > limit)
+        done = [sized.where(F.col("members") <= limit).select("node", "rep")]
+        if level >= levels:
+            stuck = F.lit(level == MOST_LEVELS) | F.coalesce(F.col("members") > TIGHT * F.col("parent"), F.lit(False))
+            done.append(_blocks(large.where(stuck), limit))
+            large = large.where(~stuck)
+        for part in done:
+            found = part if found is None else found.unionByName(part)
         if large.isEmpty():
-            return found
-        if level < levels:
-            rows = _children(large, classes, branches)
-    return found.unionByName(_blocks(large, limit))
+            break
+        rows = _children(large, classes, branches)
+    return found
 
 
 # --- comparison within nodes ---------------------------------------------------------------------------------------------
