@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,7 +47,8 @@ YEAR = r"\b(?:19|20)\d{2}\b"
 
 
 def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(p) for p in parts))
+    """Whether a text contains one of some plain phrases: one pattern, since a long chain of conditions is a lot of code."""
+    return text.rlike("|".join(p.replace(".", r"\.") for p in parts))
 
 
 def explicit_year(question: Column) -> Column:
@@ -76,9 +75,14 @@ def form_key(form: Column) -> Column:
     return F.translate(F.upper(form), " -", "")
 
 
+def names_year_before(question: Column) -> Column:
+    """Whether a question asks for the year before, whatever the form."""
+    return _any_of(F.lower(question), YEAR_BEFORE)
+
+
 def comparison_year(question: Column, year: Column, same_form: Column) -> Column:
     """The year that a question asks for as text; a year that is no number stays as it is."""
     low = F.lower(question)
     before = F.coalesce((year.try_cast("int") - 1).cast("string"), year)
     earlier = same_form & (_any_of(low, EARLIER) | low.rlike(COMPARING))
-    return F.coalesce(explicit_year(question), F.when(_any_of(low, YEAR_BEFORE) | earlier, before), year)
+    return F.coalesce(explicit_year(question), F.when(names_year_before(question) | earlier, before), year)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.questions import comparison_year, explicit_year, form_key, question_form, wants_comparison
+from ledgerline.functions.questions import explicit_year, form_key, names_year_before, question_form, wants_comparison
 from ledgerline.functions.text import first_chars
 from ledgerline.operators.catalog import pick_filing, resolve_body
 
@@ -20,16 +20,17 @@ def plan_comparison(questions: DataFrame) -> DataFrame:
     Without a year in the question, the same form means the year before the active one. The active filing itself, and
     years that are no numbers, are never planned.
     """
-    question = F.col("question")
+    question, active = F.col("question"), F.col("year").try_cast("int")
     form = F.coalesce(F.nullif(question_form(question), F.lit("")), F.col("form_type"))
     same = form_key(form) == form_key(F.col("form_type"))
-    asked = questions.withColumns({"_form": form, "_same": same, "_active": F.col("year").try_cast("int")})
-    asked = asked.withColumn("_asked", comparison_year(F.col("question"), F.col("year"), F.col("_same")).try_cast("int"))
-    clamped = F.col("_same") & (F.col("_asked") >= F.col("_active")) & explicit_year(F.col("question")).isNull()
-    asked = asked.withColumn("_year", F.when(clamped, F.col("_active") - 1).otherwise(F.col("_asked")))
-    numbers = F.col("_active").isNotNull() & F.col("_asked").isNotNull()
-    itself = F.col("_same") & (F.col("_year") == F.col("_active"))
-    wanted = F.coalesce(wants_comparison(F.col("question")) & numbers & ~itself, F.lit(False))
+    # Without a named year, what comparison_year() leaves at the active year or later is clamped to the year before for the
+    # same form, so the same form always means the year before.
+    unnamed = F.when(same | names_year_before(question), active - 1).otherwise(active)
+    asked = F.coalesce(explicit_year(question).try_cast("int"), unnamed)
+    itself = same & (asked == active)
+    wanted = F.coalesce(wants_comparison(question) & active.isNotNull() & ~itself, F.lit(False))
+    asked = questions.withColumns({"_form": form, "_year": asked, "_wanted": wanted})
+    wanted = F.col("_wanted")
     return asked.select(
         *questions.columns,
         wanted.alias("wanted"),
@@ -46,7 +47,9 @@ def comparison_context(questions: DataFrame, catalog: DataFrame, bodies: DataFra
     """
     plan = questions if planned else plan_comparison(questions)
     plan = plan.withColumns({"_ticker": F.upper("ticker"), "_form": F.upper("comparison_form")})
-    keys = plan.where("wanted").select(F.col("_ticker").alias("ticker"), F.col("_form").alias("form_type"), F.col("comparison_year").alias("year")).distinct()
+    # Questions that want nothing have a null form here, which no filing has; a filter on what is computed from the question would
+    # only be computed twice.
+    keys = plan.select(F.col("_ticker").alias("ticker"), F.col("_form").alias("form_type"), F.col("comparison_year").alias("year")).distinct()
     picked = pick_filing(keys, catalog).where("accession IS NOT NULL").select(F.col("ticker").alias("_ticker"), F.col("form_type").alias("_form"), F.col("year").alias("comparison_year"), "accession")
     wanted = picked.select("accession").distinct()
     texts = resolve_body(bodies.join(wanted, "accession", "left_semi")).select("accession", first_chars(F.col("text"), chars).alias("_text"))

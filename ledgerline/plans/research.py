@@ -24,6 +24,13 @@ def question_year(spark: SparkSession, sf: str) -> DataFrame:
     return fixture(spark, sf, "questions").select("request_id", qx.explicit_year(F.col("question")).alias("asked_year"))
 
 
+def comparison_year(spark: SparkSession, sf: str) -> DataFrame:
+    asked = fixture(spark, sf, "questions")
+    form = F.coalesce(F.nullif(qx.question_form(F.col("question")), F.lit("")), F.col("form_type"))
+    year = qx.comparison_year(F.col("question"), F.col("year"), qx.form_key(form) == qx.form_key(F.col("form_type")))
+    return asked.select("request_id", year.alias("comparison_year"))
+
+
 def comparison_plan(spark: SparkSession, sf: str) -> DataFrame:
     return questions.plan_comparison(fixture(spark, sf, "questions")).select("request_id", "wanted", "comparison_form", "comparison_year")
 
@@ -100,7 +107,7 @@ def switch_merge(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        wants_comparison, question_form, question_year, comparison_plan, comparison_context, context_caps, smart_excerpt, chat_prompts, parse_answer,
+        wants_comparison, question_form, question_year, comparison_year, comparison_plan, comparison_context, context_caps, smart_excerpt, chat_prompts, parse_answer,
         quote_in_text, quote_in_html, latest_sessions, recent_filings, restore_key, chat_threads, session_highlights, switch_merge,
     )
 }
@@ -134,6 +141,7 @@ ORACLE_SQL = {
     "wants_comparison": f"{with_sql('questions')} SELECT request_id, {WANTS} AS wanted FROM questions",
     "question_form": f"{with_sql('questions')} SELECT request_id, {FORM} AS form FROM questions",
     "question_year": f"{with_sql('questions')} SELECT request_id, nullif(regexp_extract(question, '{YEAR}'), '') AS asked_year FROM questions",
+    "comparison_year": f"{with_sql('questions')}, {PLAN} SELECT request_id, coalesce(CAST(y AS VARCHAR), year) AS comparison_year FROM plan",
     "comparison_plan": f"""
 {with_sql("questions")}, {PLAN}
 SELECT request_id, coalesce(wanted, false) AS wanted, CASE WHEN wanted THEN form END AS comparison_form, CASE WHEN wanted THEN CAST(cy AS VARCHAR) END AS comparison_year FROM plan
