@@ -55,19 +55,40 @@ class ByteTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        #: Bytes of each token: a character of a byte-level token stands for one byte.
+        self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, number in self.library.get_vocab().items():
+            self.sizes[number] = len(token)
         self.seen: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [_packed(e.ids) for e in found]
 
+    def joined(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that begin with a space or line feed and end otherwise: one text to the library, cut at their bytes."""
+        if not chunks:
+            return []
+        ids = np.array(self.library.encode("".join(chunks), add_special_tokens=False).ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum([len(c.encode()) for c in chunks])
+        at = np.searchsorted(ends, wanted)
+        if ends[-1] != wanted[-1] or (ends[at] != wanted).any():
+            raise ValueError("the vocabulary joins pieces across a cut")
+        return [ids[a : b + 1].tobytes() for a, b in zip([0, *(at[:-1] + 1)], at)]
+
+    def chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        inner = [c for c in chunks if c[0] in " \n" and c[-1] not in " \n"]
+        outer = [c for c in chunks if c[0] not in " \n" or c[-1] in " \n"]
+        return dict(zip(inner, self.joined(inner))) | dict(zip(outer, self.whole(outer)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         cut = [None if _OTHER_SPACE.search(t) else _CUT.findall(t) for t in texts]
         known = self.seen
         fresh = list(set().union(*filter(None, cut)).difference(known))
-        known.update(zip(fresh, self.whole(fresh)))
+        known.update(self.chunks(fresh))
         packed = [b"" if chunks is None else b"".join(map(known.__getitem__, chunks)) for chunks in cut]
         odd = [k for k, chunks in enumerate(cut) if chunks is None]
         for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
