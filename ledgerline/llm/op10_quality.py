@@ -19,8 +19,6 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.llm import common
 from ledgerline.llm.common import id_crc32, small_batches, table
 
 SAMPLE = 20_000
 _STEPS, _RATE, _RIDGE = 400, 0.05, 1e-4
-_SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-]")
-_ENDS = re.compile(r"[.!?](?=\s|$)")
-_PUNCTUATION = re.compile(r"[^\w\s]")
+# Kinds of characters, as bits.
+LETTER, CAPITAL, SMALL, DIGIT, SPACE, PUNCTUATION, SYMBOL = (1 << k for k in range(7))
+_KINDS: list[np.ndarray] = []
 
 MEASURES = (
     "log_chars", "log_words", "word_length", "word_length_deviation", "letters", "capitals", "digits", "punctuation", "symbols",
@@ -45,43 +44,68 @@ MEASURES = (
 )
 
 
+def _kind(c: str) -> int:
+    if c.isspace():
+        return SPACE
+    if c.isalpha():
+        return LETTER | CAPITAL * c.isupper() | SMALL * c.islower()
+    if c.isalnum() or c == "_":
+        return DIGIT
+    return PUNCTUATION | SYMBOL * (c not in ".,;:!?'\"()-")
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each code point; made once a worker."""
+    if not _KINDS:
+        _KINDS.append(np.fromiter((_kind(chr(c)) for c in range(0x110000)), np.uint8, 0x110000))
+    return _KINDS[0]
+
+
 def measures(text: str | None) -> list[float]:
     """The numbers that quality is judged by, one for each of MEASURES."""
     text = text or ""
-    n, words, lines = len(text), text.split(), text.split("\n")
-    w = len(words)
-    if not w:
+    n, lines = len(text), [x for x in text.split("\n") if x.strip()]
+    if not lines:
         return [0.0] * len(MEASURES)
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
-    capitals = sum(1 for c in text if c.isupper()) if not text.islower() else 0
-    low = [x.lower() for x in words]
-    count, pairs = Counter(low), Counter(zip(low, low[1:]))
-    size = np.fromiter(map(len, words), np.int64, w)
-    ends, filled = len(_ENDS.findall(text)), [x for x in lines if x.strip()]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[code]
+    filled = kind != SPACE
+    edge = np.diff(np.concatenate(([False], filled, [False])).astype(np.int8))
+    start, size = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+    w, solid = len(start), kind[filled]
+    first = np.cumsum(size) - size
+    holds = lambda bit: np.add.reduceat((solid & bit) > 0, first, dtype=np.int64)
+    capitals, symbols = holds(CAPITAL), holds(SYMBOL)
+    words = common.word_hashes(text.lower())
+    _, count = np.unique(words, return_counts=True)
+    _, pairs = np.unique(common.mix64(words[:-1] * np.uint64(3) + words[1:]), return_counts=True)
+    closing = (code == 46) | (code == 33) | (code == 63)
+    ends = int((closing & ~np.concatenate((filled[1:], [False]))).sum())
+    letters, all_capitals = int((kind & LETTER > 0).sum()), int(capitals.sum())
     return [
         np.log1p(n),
         np.log1p(w),
         size.mean(),
         size.std(),
         letters / n,
-        capitals / max(1, letters),
-        sum(map(len, re.findall(r"\d+", text))) / n,
-        len(_PUNCTUATION.findall(text)) / w,
-        len(_SYMBOL.findall(text)) / w,
-        text.count("!") / w,
-        text.count("|") / w,
+        all_capitals / max(1, letters),
+        int((kind == DIGIT).sum()) / n,
+        int((kind & PUNCTUATION > 0).sum()) / w,
+        int(symbols.sum()) / w,
+        int((code == 33).sum()) / w,
+        int((code == 124).sum()) / w,
         ends / w,
         np.log1p(w / max(1, ends)),
         len(count) / w,
-        max(count.values()) / w,
-        max(pairs.values(), default=0) / w,
-        sum(a == b for a, b in zip(low, low[1:])) / w,
+        int(count.max(initial=0)) / w,
+        int(pairs.max(initial=0)) / w,
+        int((words[1:] == words[:-1]).sum()) / w,
         int((size <= 3).sum()) / w,
-        sum(x.isupper() and len(x) > 1 for x in words) / w,
-        sum(bool(_SYMBOL.search(x)) for x in words) / w,
-        np.log1p(len(lines)),
-        len(set(filled)) / max(1, len(filled)),
-        np.log1p(w / max(1, len(filled))),
+        int(((capitals > 0) & (holds(SMALL) == 0) & (size > 1)).sum()) / w,
+        int((symbols > 0).sum()) / w,
+        np.log1p(text.count("\n") + 1),
+        len(set(lines)) / len(lines),
+        np.log1p(w / len(lines)),
     ]
 
 
