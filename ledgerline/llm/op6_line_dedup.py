@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import small_batches, table
+from ledgerline.llm.common import small_batches, staged, table
 
 ROLL_LINES, EVERY, MOST_LINES = 2, 3, 32
 _MASK = (1 << 64) - 1
@@ -86,6 +86,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = read.where("id IS NOT NULL")
     by_bytes = chunk_rows(known, every, most_lines, True).groupBy("digest", "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
     repeated = by_bytes.groupBy("digest").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 AND n > 1").select("digest", "keeper")
+    repeated = staged(repeated)  # read back, both sides of the join are plain shuffles, of which Spark can split a hot digest's rows
     lost = chunk_rows(known, every, most_lines, False).join(repeated, "digest").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("digest").alias("lost"))
     met = read.join(lost.withColumnRenamed("doc_id", "id").hint("merge"), "id", "left").select("id", "text", "lost")
     schema = T.StructType([T.StructField("id", read.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
