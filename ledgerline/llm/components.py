@@ -11,7 +11,8 @@ from ledgerline.llm.common import staged
 def _stars(edges: DataFrame) -> DataFrame:
     """A large-star and then a small-star round over edges (u, v) with v < u; both keep what is connected connected."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Read back, so that the join has a plain shuffle on both sides: Spark can then split the edges of a large star's centre.
+    least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     lowest = large.groupBy("u").agg(F.min("v").alias("m"))
     moved = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
