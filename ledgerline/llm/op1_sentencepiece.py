@@ -30,7 +30,9 @@ from ledgerline.llm.common import small_batches, table
 MARK = "▁"
 SLICE_CHARS = 1_000_000
 #: Chunks that a worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 40
+#: Chunks up to this length have their agenda in a list.
+SHORT_CHARS = 32
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -68,6 +70,27 @@ class MergeVocabulary:
 
     def segment(self, chunk: str) -> list[str]:
         """The agenda: merges the best-scored adjacent pair, the leftmost of equals, until no pair forms a piece."""
+        return self.segment_short(chunk) if len(chunk) <= SHORT_CHARS else self.segment_long(chunk)
+
+    def segment_short(self, chunk: str) -> list[str]:
+        """The agenda as a plain list of the pairs' ranks, by place: quicker than a heap for a word."""
+        rank, symbols, no = self.rank.get, list(chunk), len(self.rank)
+        agenda = [rank(a + b, no) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == no:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], no)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], no)
+        return symbols
+
+    def segment_long(self, chunk: str) -> list[str]:
+        """The agenda as a heap, with the symbols in a linked list."""
         rank, symbols = self.rank, list(chunk)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -126,7 +149,7 @@ class MergeVocabulary:
         cut = [self.cut.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        new = list({c for chunks in cut for c in chunks if c not in self.seen})
+        new = list(set().union(*cut).difference(self.seen))
         fresh, wrong = self.checked(new)
         known = self.seen
         if fresh:

@@ -72,6 +72,15 @@ def test_op1_agenda_on_random_texts():
         assert vocab.encode([text])[0][0] == op1_sentencepiece.pack_ids(vocab.library.encode(text, add_bos=True, add_eos=True))
 
 
+def test_op1_both_forms_of_the_agenda():
+    vocab = op1_sentencepiece.MergeVocabulary(model())
+    rng = random.Random(6)
+    for _ in range(2000):
+        chunk = "▁" + "".join(rng.choice("aeiouthnsrlé,.文") for _ in range(rng.randint(0, 45)))
+        assert vocab.segment_short(chunk) == vocab.segment_long(chunk)
+        assert vocab.pack(vocab.segment(chunk)) == op1_sentencepiece.pack_ids(vocab.library.encode(chunk[1:])) or chunk == "▁"
+
+
 def test_op1_cases(odd, nothing):
     got = op1_sentencepiece.encode_documents(odd, model())
     assert got.count() == len(ODD_ROWS)
