@@ -1,19 +1,22 @@
-"""Line dedup by content-defined chunks of lines.
-
-Every line is hashed, and a rolling hash over the last lines' hashes sets a boundary after a line when it is divisible by
-`every`. Boundaries depend on the lines around them alone, so a passage that is shifted, or put into another document,
-falls into the same chunks. A chunk of several lines that repeats anywhere in the corpus is removed but for its
-first occurrence: the one in the document with the smallest identifier, and there the first.
-
-Repeats are found by grouping on the chunk's digest and its bytes together, which compares the bytes; a digest under which
-different bytes were found is left alone. Copies of a chunk collapse before the shuffle, and the join back is on narrow
-rows. Each text is then shuffled once, to meet the list of what it has to lose; that list grows with the corpus and is never
+"""Line dedup by rolling windows of lines.
+
+A window rolls over each text's lines that are not blank: a line, the next one, and the blank lines between them. Where it
+stands depends on its own lines alone, so every passage of two lines or more is seen line by line, wherever it begins and
+whatever surrounds it. A window that was seen before, anywhere in the corpus, is removed; neighbouring ones merge, so a
+repeated passage goes as a whole. So does a single line of more than LONG_WORDS words. The first occurrence stays: the one in the
+document with the smallest identifier, and there the first. No line is lost altogether, since whatever holds the very
+first copy of a line occurs there for the first time.
+
+Repeats are found by grouping on a window's key: the digests of its two lines and the bytes between them. Bytes are compared
+line by line, by grouping on digest and line together; a window with a digest under which different lines were found is
+left alone. So each line is shuffled once for the comparison, and copies of it collapse before; windows are narrow rows.
+Each text is then shuffled once, to meet the list of what it has to lose; that list grows with the corpus and is never
 broadcast.
 
 Cases: a null text counts as empty and is returned as empty. Rows with a null identifier keep all their lines and
-count for nothing. Rows that share an identifier are treated as one document: they lose the same chunks. Chunks of
-one line are never removed. Very long texts are read whole; a chunk has at most `most_lines` lines. An empty table
-gives an empty result. Other columns are ignored, whatever their names.
+count for nothing. Rows that share an identifier are treated as one document: they lose the same windows. A short line
+is removed only with a neighbour; blank lines are removed only between two lines of a window. Very long texts are read whole.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,66 +31,81 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.common import small_batches, staged, table
 
-ROLL_LINES, EVERY, MOST_LINES = 2, 3, 32
-_MASK = (1 << 64) - 1
+#: A line of more words is a passage by itself.
+LONG_WORDS = 50
 
 
-def chunks(lines: list[str], every: int = EVERY, most_lines: int = MOST_LINES) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk of a text's lines."""
-    out, first = [], 0
-    hashes = [xxhash.xxh64_intdigest(line.encode()) for line in lines]
-    for k in range(len(lines)):
-        roll = 0
-        for h in hashes[max(0, k + 1 - ROLL_LINES) : k + 1]:
-            roll = (roll * 0x9E3779B97F4A7C15 + h) & _MASK
-        if (roll >> 32) % every == 0 or k + 1 - first >= most_lines:
-            out.append((first, k + 1))
-            first = k + 1
-    if first < len(lines):
-        out.append((first, len(lines)))
-    return out
+def digest_of(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode())
 
 
-def digest_of(chunk: str) -> bytes:
-    return xxhash.xxh3_128_digest(chunk.encode())
+def windows(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(first line, line after the last) of each window and each long line."""
+    before = None
+    for k, line in enumerate(lines):
+        words = len(line.split(None, LONG_WORDS))
+        if not words:
+            continue
+        if words > LONG_WORDS:
+            yield k, k + 1
+        if before is not None:
+            yield before, k + 1
+        before = k
 
 
-def several_lines(text: str, every: int, most_lines: int) -> Iterator[tuple[int, int, str]]:
-    """The chunks of a text that have several lines."""
+def several_lines(text: str, every: int | None = None, most_lines: int | None = None) -> Iterator[tuple[int, int, str]]:
+    """Windows with their text; every and most_lines bound nothing any more."""
     lines = text.split("\n")
-    for first, after in chunks(lines, every, most_lines):
-        if after - first > 1:
-            yield first, after, "\n".join(lines[first:after])
+    for first, after in windows(lines):
+        yield first, after, "\n".join(lines[first:after])
+
 
+def keyed(lines: list[str]) -> Iterator[tuple[int, int, bytes]]:
+    """Windows with their keys; the key of a long line is its digest."""
+    digests = [digest_of(line) for line in lines]
+    for first, after in windows(lines):
+        between = "\n".join(["", *lines[first + 1 : after - 1], ""]).encode()
+        yield first, after, digests[first] if after - first == 1 else digests[first] + between + digests[after - 1]
 
-def chunk_rows(docs: DataFrame, every: int, most_lines: int, texts: bool) -> DataFrame:
-    """(doc_id, digest[, chunk]): the different chunks of several lines of every document (id, text)."""
-    kinds = [T.StructField("doc_id", docs.schema["id"].dataType), T.StructField("digest", T.BinaryType())]
-    schema = T.StructType(kinds + ([T.StructField("chunk", T.StringType())] if texts else []))
+
+def window_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, key): the different windows of every document (id, text)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["id"].dataType), T.StructField("key", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, digests, own = [], [], []
+            row, keys = [], []
             for k, text in enumerate(batch.column(1)):
-                for chunk in dict.fromkeys(c for _, _, c in several_lines(text.as_py(), every, most_lines)):
-                    row.append(k)
-                    digests.append(digest_of(chunk))
-                    own.append(chunk)
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(own, pa.string())] if texts else []), names=schema.names)
+                own = {key for _, _, key in keyed(text.as_py().split("\n"))}
+                row.extend([k] * len(own))
+                keys.extend(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(keys, pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, every: int = EVERY, most_lines: int = MOST_LINES) -> DataFrame:
+def unsure_digests(docs: DataFrame) -> DataFrame:
+    """(digest): digests under which documents (id, text) have different lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = list({line for text in batch.column(1) for line in text.as_py().split("\n")})
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in lines], pa.binary()), pa.array(lines, pa.string())], names=["digest", "line"])
+
+    return docs.mapInArrow(run, "digest binary, line string").distinct().groupBy("digest").count().where("count > 1").select("digest")
+
+
+def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_lines, n_removed) of every row; text is what remains."""
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = read.where("id IS NOT NULL")
-    by_bytes = chunk_rows(known, every, most_lines, True).groupBy("digest", "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
-    repeated = by_bytes.groupBy("digest").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 AND n > 1").select("digest", "keeper")
-    repeated = staged(repeated)  # read back, both sides of the join are plain shuffles, of which Spark can split a hot digest's rows
-    lost = chunk_rows(known, every, most_lines, False).join(repeated, "digest").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("digest").alias("lost"))
+    unsure = staged(unsure_digests(known))
+    repeated = window_rows(known).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1")
+    for end in (F.substring("key", 1, 16), F.substring("key", -16, 16)):
+        repeated = repeated.join(unsure, end == F.col("digest"), "left_anti")
+    repeated = staged(repeated.select("key", "keeper"))  # read back, both sides of the join are plain shuffles, of which Spark can split a hot key's rows
+    lost = window_rows(known).join(repeated, "key").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
     met = read.join(lost.withColumnRenamed("doc_id", "id").hint("merge"), "id", "left").select("id", "text", "lost")
     schema = T.StructType([T.StructField("id", read.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -95,11 +113,12 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             kept, totals, removed = [], [], []
             for key, text, lost in zip(*(c.to_pylist() for c in batch.columns)):
-                lines, gone, seen = text.split("\n"), set(), set()
-                for first, after, chunk in several_lines(text, every, most_lines) if key is not None else ():
-                    if chunk in seen or (lost and digest_of(chunk) in lost):
+                lines, gone, seen, lost = text.split("\n"), set(), set(), set(lost or ())
+                for first, after, own in keyed(lines) if key is not None else ():
+                    window = tuple(lines[first:after])
+                    if window in seen or own in lost:
                         gone.update(range(first, after))
-                    seen.add(chunk)
+                    seen.add(window)
                 kept.append("\n".join(line for k, line in enumerate(lines) if k not in gone))
                 totals.append(len(lines))
                 removed.append(len(gone))

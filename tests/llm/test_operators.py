@@ -346,6 +346,48 @@ def test_op6_cases(odd, nothing):
     assert op6_line_dedup.drop_repeated_chunks(nothing).count() == 0
 
 
+def repeated_runs(rows):
+    """The lines that lie in a run of two lines or more that occurred before, or are long and did; from common runs of all pairs of texts."""
+    lines = [(key, text.split("\n")) for key, text in rows]
+    gone = {key: set() for key, _ in rows}
+    for n, (key, own) in enumerate(lines):
+        for m in range(n + 1):
+            other = lines[m][1]
+            for i in range(len(own)):
+                for j in range(i if m == n else len(other)):
+                    run = 0
+                    while i + run < len(own) and j + run < len(other) and own[i + run] == other[j + run]:
+                        run += 1
+                    if run > 1 or (run and len(own[i].split()) > 50):
+                        gone[key].update(range(i, i + run))
+    return {key: "\n".join(x for k, x in enumerate(own) if k not in gone[key]) for key, own in lines}
+
+
+def test_op6_finds_every_planted_passage(spark):
+    rng = random.Random(8)
+    passages = [[f"passage {p} line {k} {rng.random()}" for k in range(2 + p % 5)] for p in range(20)]
+    long = " ".join(f"word{k}" for k in range(60))
+    rows, planted = [], 0
+    for key in range(60):
+        parts = [[f"own {key} {k} {rng.random()}"] for k in range(rng.randint(2, 9))]
+        for p in rng.sample(passages, 2):
+            parts.insert(rng.randint(0, len(parts)), p)
+        parts.insert(rng.randint(0, len(parts)), [long] if key % 7 == 0 else ["a short line"])
+        rows.append((key, "\n".join(x for part in parts for x in part)))
+        planted += sum(len(p) for p in parts if len(p) > 1)
+    got = {r["doc_id"]: r for r in op6_line_dedup.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert {k: r["text"] for k, r in got.items()} == repeated_runs(rows)
+    assert sum(r["n_removed"] for r in got.values()) >= planted - sum(map(len, passages)) + 8
+    kept = "\n".join(r["text"] for r in got.values()).split("\n")
+    assert set(kept) == {x for _, t in rows for x in t.split("\n")} and kept.count(long) == 1
+
+
+def test_op6_blank_lines_make_no_passage(spark):
+    rows = [(1, "a\n\n\nb\n\nc"), (2, "x\n\n\ny\n\nb\n\nc\n"), (3, "\n\nc\n\nb")]
+    got = {r["doc_id"]: r["text"] for r in op6_line_dedup.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "x\n\n\ny\n\n", 3: rows[2][1]}
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------------
 
 
