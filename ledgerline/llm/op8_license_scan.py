@@ -2,13 +2,16 @@
 
 Words that occur once in the template and once in a window of the text are matched; the longest increasing subsequence of
 their places is the set of anchors; equal words right before and after an anchor belong to it, and the gaps between
-anchors are aligned in the same way. Coverage is the share of the template's words that were matched. Windows lie around the
-words that licenses are told by, as long as the template on both sides, so that a word's being unique does not
-depend on the rest of a long text or on a second copy of the license further on.
+anchors are aligned in the same way. Coverage is the share of the template's words that were matched.
 
-Cases: a null or empty text, and a text without such a word, has no license. Ties in coverage go to the longer template and
-then to the first name. Very long texts are read whole. Null identifiers and repeated rows are returned as they came; an
-empty table gives an empty result; other columns are ignored, whatever their names.
+Each template has phrases that tell it from its siblings (name, version); without all of them, word for word, it is not found,
+whatever its coverage. So windows lie around the places of its first phrase, as long as the template on both sides, and
+no other place of the text can hold it. In short templates nothing may be inserted either. Some texts begin like a sibling
+that goes on; phrases that only the sibling has exclude them.
+
+Cases: a null or empty text has no license, nor has one that names a family without the version. Ties in coverage go to the longer
+template and then to the first name. Very long texts are read whole. Null identifiers and repeated rows are returned as they
+came; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +44,24 @@ TEMPLATES = {
         "documentation and/or other materials provided with the distribution."
     ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC0-1.0": "under CC0 1.0",
+    "Artistic-2.0": "Licensed under the Artistic License, Version 2.0",
+    "BSD-2-Clause-line": "Licensed under the BSD 2-Clause License",
+    "BSD-3-Clause-line": "Licensed under the BSD 3-Clause License",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "EPL-1.0": "made available under the terms of the Eclipse Public License v1.0",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "ISC-line": "Released under the ISC License",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, version 2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "Zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ),
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
@@ -59,13 +80,84 @@ TEMPLATES = {
         "the Software."
     ),
 }
-TOLD_BY = re.compile(r"licen[cs]|permission|redistribut|copyright|warrant", re.IGNORECASE)
+for _name, _version in (("Lesser", "2.1"), ("Lesser", "3"), ("Affero", "3"), ("", "2")):
+    _id = f"{_name[:1]}GPL-{_version if '.' in _version else _version + '.0'}"
+    TEMPLATES[_id] = f"This work is licensed under the GNU {_name} General Public License, version {_version}"
+    TEMPLATES[_id + "-notice"] = TEMPLATES["GPL-3.0-notice"].replace("GNU", f"GNU {_name}").replace("version 3", f"version {_version}")
+for _kind, _name in {"BY": "", "BY-SA": "-ShareAlike", "BY-NC": "-NonCommercial", "BY-ND": "-NoDerivatives", "BY-NC-SA": "-NonCommercial-ShareAlike", "BY-NC-ND": "-NonCommercial-NoDerivatives"}.items():
+    for _version, _port in (("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES[f"CC-{_kind}-{_version}"] = f"Licensed under CC {_kind} {_version}"
+        TEMPLATES[f"CC-{_kind}-{_version}-name"] = f"licensed under a Creative Commons Attribution{_name} {_version} {_port} License"
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+TEMPLATES["MIT-0"] = TEMPLATES["MIT-text"].partition(", subject to")[0]
+
+#: What has to stand in the text word for word. The first phrase is the one that is looked for.
+PHRASES = {
+    "0BSD": ["and/or distribute this software", "fee is hereby granted"],
+    "Apache-2.0": ["Apache License", "2.0"],
+    "Apache-2.0-notice": ["Apache License", "2.0"],
+    "Artistic-2.0": ["Artistic License", "2.0"],
+    "BSD-2-Clause": ["forms, with or without modification", "Redistributions in binary form"],
+    "BSD-2-Clause-line": ["BSD 2-Clause"],
+    "BSD-3-Clause": ["neither the name of", "with or without modification"],
+    "BSD-3-Clause-line": ["BSD 3-Clause"],
+    "BSL-1.0": ["Boost Software License", "1.0"],
+    "CC0-1.0": ["CC0 1.0"],
+    "EPL-1.0": ["Eclipse Public License", "1.0"],
+    "EPL-2.0": ["Eclipse Public License", "2.0"],
+    "ISC": ["and/or distribute this software", "granted, provided that the above"],
+    "ISC-line": ["ISC License"],
+    "MIT": ["MIT License"],
+    "MIT-0": ["obtaining a copy of this software"],
+    "MIT-text": ["obtaining a copy of this software", "permission notice shall be included"],
+    "MPL-1.1": ["Mozilla Public License", "1.1"],
+    "MPL-2.0": ["Mozilla Public License", "2.0"],
+    "MPL-2.0-line": ["Mozilla Public License", "2.0"],
+    "Unlicense": ["unencumbered software", "public domain"],
+    "Zlib": ["alter it and redistribute it freely"],
+}
+for _id in TEMPLATES:
+    if "GPL" in _id:
+        _name = {"L": "Lesser", "A": "Affero"}.get(_id[0], "")
+        PHRASES[_id] = [f"GNU {_name} General Public License", ("version " if "notice" in _id else "") + _id.split("-")[1]]
+    elif _id.startswith("CC-"):
+        PHRASES[_id] = [" ".join(TEMPLATES[_id].split()[2 if "name" not in _id else 3 :][: 3 if "name" not in _id else 4])]
+#: What excludes a license when it stands in its place or within FOLLOWING words after it.
+UNLESS = {
+    "0BSD": ["granted, provided that"],
+    "BSD-2-Clause": ["neither the name of", "all advertising materials"],
+    "BSD-3-Clause": ["all advertising materials"],
+    "MIT-0": ["subject to the following conditions"],
+}
+FOLLOWING = 40
+#: Templates of so many words allow no insertion.
+SHORT = 20
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 LEAST_COVERAGE = 0.8
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+_VERSION = re.compile(r"v(\d[\d.]*)")
+
+
+def words_of(text: str) -> tuple[list[str], list[int]]:
+    """Words in one spelling (license, version 2 for v2.0) and the place in the text's words of each."""
+    words, places = [], []
+    for k, w in enumerate(_WORD.findall(text.lower())):
+        if w[0] == "v" and (w == "v" or _VERSION.fullmatch(w)):
+            words.append("version")
+            places.append(k)
+            w = w[1:]
+        if w:
+            words.append(w[:-2] if w.endswith(".0") and w[:-2].isdigit() else w.replace("licence", "license"))
+            places.append(k)
+    return words, places
+
+
+def places_of(phrase: list[str], words: list[str]) -> list[int]:
+    return [k for k, w in enumerate(words) if w == phrase[0] and words[k : k + len(phrase)] == phrase]
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -111,39 +203,67 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Templates as words, and the scan of one text."""
+    """Templates as words, and the scan of one text. A template without phrases is told by each of its words."""
 
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
-        self.templates = [(name, words_of(text)) for name, text in sorted(templates.items())]
-        self.vocabulary = [set(words) for _, words in self.templates]
+        self.templates = [(name, words_of(text)[0]) for name, text in sorted(templates.items())]
+        #: Of each word that a first phrase begins with: (template, place in it, phrase).
+        self.seeds: dict[str, list[tuple[int, int, list[str]]]] = {}
+        self.phrases = [[words_of(p)[0] for p in PHRASES.get(name, ()) if templates[name] == TEMPLATES.get(name)] for name, _ in self.templates]
+        self.unless = [[words_of(p)[0] for p in UNLESS.get(name, ())] if own else [] for (name, _), own in zip(self.templates, self.phrases)]
+        for n, ((_, template), phrases) in enumerate(zip(self.templates, self.phrases)):
+            for seed in phrases[:1] or [[w] for w in dict.fromkeys(template)]:
+                for at in places_of(seed, template):
+                    self.seeds.setdefault(seed[0], []).append((n, at, seed))
+
+    def match(self, n: int, at: int, k: int, words: list[str]) -> list[tuple[int, int]]:
+        """Matched places of template n and the text, when the template's place at is the text's place k; none without the phrases."""
+        template = self.templates[n][1]
+        low = max(0, k - len(template))
+        left = align(template[:at][::-1], words[low:k][::-1])
+        right = align(template[at:], words[k : k + len(template) + 1])
+        before = [(at - 1 - x, k - 1 - y) for x, y in left]
+        after = [(at + x, k + y) for x, y in right]
+        if len(template) <= SHORT:
+            before, after = (unbroken(pairs, (at, k)) for pairs in (before, after))
+        pairs = before[::-1] + after
+        place = dict(pairs)
+        for phrase in self.phrases[n]:
+            if not any(all(place.get(t + i, -1) == place.get(t, -2) + i for i in range(len(phrase))) for t in places_of(phrase, template)):
+                return []
+        stretch = words[pairs[0][1] : pairs[-1][1] + FOLLOWING] if pairs else []
+        return [] if any(places_of(phrase, stretch) for phrase in self.unless[n]) else pairs
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word) of every template that is covered enough, best first."""
-        if not text or not TOLD_BY.search(text):
+        if not text:
             return []
-        words = words_of(text)
-        told = [k for k, w in enumerate(words) if TOLD_BY.search(w)]
-        found = []
-        for (name, template), vocabulary in zip(self.templates, self.vocabulary):
-            best, reach, done = None, len(template), -1
-            for k in told:
-                if k < done or words[k] not in vocabulary:
-                    continue
-                low = max(0, k - reach)
-                window = words[low : k + reach + 1]
-                if sum(w in vocabulary for w in window) < self.least * len(set(template)):
+        words, places = words_of(text)
+        if self.seeds.keys().isdisjoint(words):
+            return []
+        best: dict[int, tuple[float, int, int]] = {}
+        for k, w in enumerate(words):
+            for n, at, seed in self.seeds.get(w, ()):
+                if words[k : k + len(seed)] != seed or (n in best and best[n][0] == 1):
                     continue
-                pairs = align(template, window)
-                coverage = len(pairs) / len(template)
-                if coverage >= self.least:
-                    done = low + pairs[-1][1] + 1
-                    if best is None or coverage > best[1]:
-                        best = (name, coverage, low + pairs[0][1], low + pairs[-1][1])
-            if best:
-                found.append((*best, reach))
-        found.sort(key=lambda x: (-x[1], -x[4], x[0]))
-        return [x[:4] for x in found]
+                pairs = self.match(n, at, k, words)
+                coverage = len(pairs) / len(self.templates[n][1])
+                if pairs and coverage >= self.least and coverage > best.get(n, (0,))[0]:
+                    best[n] = (coverage, places[pairs[0][1]], places[pairs[-1][1]])
+        found = sorted(best, key=lambda n: (-best[n][0], -len(self.templates[n][1]), n))
+        return [(self.templates[n][0], *best[n]) for n in found]
+
+
+def unbroken(pairs: list[tuple[int, int]], start: tuple[int, int]) -> list[tuple[int, int]]:
+    """The pairs, in their order away from start, up to the first one before which the text has more words than the template."""
+    out = []
+    for x, y in pairs:
+        if abs(y - start[1]) > abs(x - start[0]):
+            break
+        out.append((x, y))
+        start = x, y
+    return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:

@@ -470,6 +470,39 @@ def test_op8_cases(odd, nothing):
     assert op8_license_scan.scan_licenses(nothing).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Released under the BSD License", None),
+        ("Licensed under CC BY 4.0", "CC-BY-4.0"),
+        ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-NC 3.0", "CC-BY-NC-3.0"),
+        ("available under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+        ("Released under CC0 1.0", "CC0-1.0"),
+        ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0-name"),
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public Licence v3.0", "GPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+        ("This work is licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+        ("This work is licensed under the GNU Library General Public License, version 3", None),
+        ("Licensed under the Apache License, Version 1.1", None),
+        ("Licensed under the Mozilla Public License, version 2.0", "MPL-2.0-line"),
+        ("Licensed under the MIT License", "MIT"),
+        ("mit der Lizenz", None),
+        (op8_license_scan.TEMPLATES["GPL-3.0-notice"].replace("version 3", "version 2"), "GPL-2.0-notice"),
+        (op8_license_scan.TEMPLATES["GPL-3.0-notice"].replace("GNU", "GNU Lesser"), "LGPL-3.0-notice"),
+        (op8_license_scan.TEMPLATES["BSD-2-Clause"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+        (op8_license_scan.TEMPLATES["BSD-2-Clause"] + " THIS SOFTWARE IS PROVIDED AS IS", "BSD-2-Clause"),
+        (op8_license_scan.TEMPLATES["ISC"], "ISC"),
+    ],
+)
+def test_op8_tells_siblings_apart(text, name):
+    scanner = op8_license_scan.Scanner(op8_license_scan.TEMPLATES, 0.8)
+    for around in ("{}", "this is under licensed version the {} this License of 2 and by name"):
+        assert [x[0] for x in scanner.scan(around.format(text))] == ([name] if name else [])
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 
 
