@@ -9,7 +9,7 @@ the count of each length. A filled window is repeated as often as its lengths ar
 Spark counts, ranks and places: each piece gets its rank among the pieces of its length (within hash buckets, shifted
 by the buckets before, so that no length is ranked in one task), and the rank gives its window and offset.
 
-Cases: a null or empty text is the end id alone. Null identifiers and repeated rows are packed like any others; rows
+Cases: a null or empty text is the end id alone. Added tokens that a text quotes are one id each, as the library has it by default. Null identifiers and repeated rows are packed like any others; rows
 that are alike in everything are interchangeable. Very long texts are cut, never truncated. An empty table gives an
 empty result. Other columns are ignored, whatever their names.
 """
@@ -54,7 +54,8 @@ class ByteTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: A text that quotes one of these is encoded whole, since the library takes it for one id before it cuts.
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         #: Bytes of each token: a character of a byte-level token stands for one byte.
         self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, number in self.library.get_vocab().items():
@@ -85,7 +86,7 @@ class ByteTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        cut = [None if _OTHER_SPACE.search(t) else _CUT.findall(t) for t in texts]
+        cut = [None if _OTHER_SPACE.search(t) or any(a in t for a in self.added) else _CUT.findall(t) for t in texts]
         known = self.seen
         fresh = list(set().union(*filter(None, cut)).difference(known))
         known.update(self.chunks(fresh))

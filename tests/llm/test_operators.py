@@ -173,6 +173,17 @@ def test_op3_chunks_equal_whole_texts():
     assert encoder.encode(some) == encoder.whole(some)
 
 
+def test_op3_quoted_added_tokens_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(op3_packing.default_tokenizer())
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|>\ny <|endoftext |>"), (4, "a  <|endoftext|>\t\n b" * 900), (5, "no marker")]
+    ids = {k: np.array(library.encode(t, add_special_tokens=False).ids + [1], "<u4") for k, t in rows}
+    assert ids[1].tolist() == [64, 220, 50256, 275, 1]
+    check_packing(op3_packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), op3_packing.default_tokenizer()).collect(), ids)
+    assert op3_packing.ByteTokenizer(op3_packing.default_tokenizer()).encode([t for _, t in rows]) == [x[:-1].tobytes() for x in ids.values()]
+
+
 def best_fill(lengths, room):
     sums = {0}
     for x in lengths:
