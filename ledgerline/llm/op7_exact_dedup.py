@@ -1,10 +1,14 @@
 """Exact duplicates by a tree-merge of sorted digest runs.
 
-Every input partition is a leaf run of (digest, size, identifier). The runs meet in rounds: in a round, `fan_in`
-neighbouring runs are dealt by digest, each receiver merges them and keeps one entry a digest with the largest
-identifier and the summed count. Copies within a run collapse before the exchange (partial aggregation), so a digest
-that a third of all rows share sends one entry a run and round, whatever its number of copies. Everything on
-this path is built-in DataFrame functions.
+Every input partition is a leaf run: its entries (digests, size, the identifier kept so far, number of copies), sorted by
+digest. In a round, each run meets its partner of the next level (runs 2k and 2k + 1 become run k): the two are dealt by
+digest over the receivers of the merged run, and each receiver sorts what it gets from all pieces of both runs into one and
+merges it, so that one entry a digest is left, with the largest identifier and the summed count. There are about log2 of
+the runs rounds. No receiver ever holds a whole run, and copies within a run collapse before they are sent, so a digest that
+a third of all rows share sends one entry a run and round, whatever its number of copies.
+
+Everything is built-in DataFrame functions. An entry keeps (identifier, leaf run) as one value; Spark merges such values in
+sorted order (SortAggregate over a Sort of the exchanged pieces), in memory that does not grow with the run.
 
 Two texts are equal when SHA-256, a second 64-bit digest and the byte length of their normalised forms all agree; all
 three are part of the merge key at every level, so an entry is only ever merged with one that is verified against it.
@@ -12,7 +16,8 @@ three are part of the merge key at every level, so an entry is only ever merged
 Cases: a null text counts as empty, so null and empty texts are one group. Rows with a null identifier belong to
 their group and count in its size; the group keeps a non-null identifier if it has any, else keep_id is null and those
 rows are kept. Rows that repeat an identifier and text count each in group_size and are all marked alike. An empty
-table gives an empty result. Other columns of the input are ignored, whatever their names.
+table gives an empty result. Other columns of the input are ignored, whatever their names. Identifiers may be of any type
+that Spark orders, structs included.
 """
 
 from __future__ import annotations
@@ -43,33 +48,34 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merge_round(runs: DataFrame, fan_in: int) -> DataFrame:
-    """One round: runs 0..fan_in-1 become run 0, the next fan_in run 1, and so on; entries of a digest merge."""
-    return (
-        runs.withColumn("run", F.expr(f"run div {fan_in}").cast("int"))
-        .groupBy("run", *KEY)
-        .agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        .sortWithinPartitions("run", *KEY)
-    )
+def leaf_entries(runs: DataFrame) -> DataFrame:
+    """Rows of digest_runs as entries (run, *KEY, kept, group_size); kept is (id, leaf run), of which the largest stays."""
+    return runs.select("run", *KEY, F.struct("id", F.col("run").alias("leaf")).alias("kept"), F.lit(1).cast("long").alias("group_size"))
+
+
+def merge_round(entries: DataFrame, fan_in: int = 2) -> DataFrame:
+    """One round: runs 0..fan_in-1 merge into run 0, the next fan_in into run 1, and so on."""
+    met = entries.withColumn("run", F.expr(f"run div {fan_in}").cast("int"))
+    return met.groupBy("run", *KEY).agg(F.max("kept").alias("kept"), F.sum("group_size").alias("group_size"))
 
 
-def merge_tree(runs: DataFrame, n_runs: int, fan_in: int = 16) -> DataFrame:
-    """The root of the tree: one entry a distinct text with the identifier it keeps and its number of copies."""
-    merged = runs.select(*KEY, "run", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+def merge_tree(entries: DataFrame, n_runs: int, fan_in: int = 2) -> DataFrame:
+    """The root run: one entry a distinct text."""
     left = max(1, n_runs)
     while True:
-        merged = merge_round(merged, fan_in)
+        entries = merge_round(entries, fan_in)
         left = -(-left // fan_in)
         if left <= 1:
-            return merged.drop("run")
+            return entries
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row; of equal texts the largest identifier is kept."""
     runs = staged(digest_runs(docs, id_col, text_col))
     n_runs = (runs.agg(F.max("run").alias("last")).first()["last"] or 0) + 1
-    entries = merge_tree(runs, n_runs, fan_in)
-    joined = runs.drop("run").join(entries, KEY)
+    # Read back, so that the join has a plain shuffle on both sides, of which Spark can split the rows of a hot digest.
+    root = staged(merge_tree(leaf_entries(runs), n_runs, fan_in).select(*KEY, F.col("kept.id").alias("keep_id"), "group_size"))
+    joined = runs.drop("run").join(root, KEY)
     return joined.select(
         F.col("id").alias(id_col),
         "keep_id",
