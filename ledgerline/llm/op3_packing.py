@@ -6,21 +6,24 @@ kind at a time: the longest length still there opens the window, and a bitset dy
 lengths finds the multiset whose sum comes closest to the capacity; backtracking through the programme's steps gives
 the count of each length. A filled window is repeated as often as its lengths are there, so there are few kinds.
 
-Spark counts, ranks and places: each piece gets its rank among the pieces of its length (within hash buckets, shifted
-by the buckets before, so that no length is ranked in one task), and the rank gives its window and offset.
+Full windows need no plan: each is a sequence of its own. Of the remainders, Spark counts, ranks and places: each gets its
+rank among the pieces of its length (within hash buckets, as many as the length has rows for, shifted by the buckets
+before, so that no length is ranked in one task), and the rank gives its window and offset.
 
-Cases: a null or empty text is the end id alone. Added tokens that a text quotes are one id each, as the library has it by default. Null identifiers and repeated rows are packed like any others; rows
-that are alike in everything are interchangeable. Very long texts are cut, never truncated. An empty table gives an
+Ids are those of the tokenizers library. Where its vocabulary file says that merges are numbered in order, the same merges are run
+by tiktoken, which gives the same ids in a third of the time; texts that quote an added token, and texts that tiktoken's
+patterns give up on, go to the tokenizers library itself. Tests hold both against each other.
+
+Cases: a null or empty text is the end id alone. Added tokens that a text quotes are one id each, as the library has it by default.
+Null identifiers and repeated rows are packed like any others; rows that are alike in everything are interchangeable. Very long texts are cut, never truncated. An empty table gives an
 empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,75 +32,62 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import small_batches, staged, table
+from ledgerline.llm.common import staged, table
 
 CAPACITY, END_ID = 2048, 1
-REMEMBERED, REMEMBERED_CHARS = 1_000_000, 40
-#: Text is cut before a space or line feed that follows something else: the vocabulary's pattern never joins across.
-_CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Remainders of a length that are ranked in one bucket, and the least number of buckets of a length.
+BUCKET_ROWS, LEAST_BUCKETS = 65_536, 16
+# Fixed value: the pattern by which byte-level vocabularies of this kind cut texts before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def _packed(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    packed = array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level token stands for: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 class ByteTokenizer:
-    """A byte-level tokenizer of the tokenizers library that remembers the ids of short chunks, as packed 32-bit integers."""
+    """A byte-level merge tokenizer: ids of the tokenizers library, by tiktoken where it runs the same merges."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        #: A text that quotes one of these is encoded whole, since the library takes it for one id before it cuts.
+        #: A text that quotes one of these is encoded by the library, which takes it for one id before it cuts.
         self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
-        #: Bytes of each token: a character of a byte-level token stands for one byte.
-        self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
-        for token, number in self.library.get_vocab().items():
-            self.sizes[number] = len(token)
-        self.seen: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
+        with open(path, encoding="utf-8") as f:
+            self.quick = self._quick(json.load(f))
+
+    def _quick(self, spec: dict):
+        """tiktoken with the vocabulary, if it says what tiktoken can do: plain byte-level merges, numbered in their order."""
+        import tiktoken
+
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]
+        if not (plain and level):
+            return None
+        byte, vocabulary = byte_characters(), model["vocab"]
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged) or len(set(merged)) < len(merged):
+            return None
+        ranks = {bytes(byte[c] for c in token): n for token, n in vocabulary.items() if token not in self.added}
+        return tiktoken.Encoding("ledgerline", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [_packed(e.ids) for e in found]
-
-    def joined(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that begin with a space or line feed and end otherwise: one text to the library, cut at their bytes."""
-        if not chunks:
-            return []
-        ids = np.array(self.library.encode("".join(chunks), add_special_tokens=False).ids, "<u4")
-        ends = np.cumsum(self.sizes[ids])
-        wanted = np.cumsum([len(c.encode()) for c in chunks])
-        at = np.searchsorted(ends, wanted)
-        if ends[-1] != wanted[-1] or (ends[at] != wanted).any():
-            raise ValueError("the vocabulary joins pieces across a cut")
-        return [ids[a : b + 1].tobytes() for a, b in zip([0, *(at[:-1] + 1)], at)]
-
-    def chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        inner = [c for c in chunks if c[0] in " \n" and c[-1] not in " \n"]
-        outer = [c for c in chunks if c[0] not in " \n" or c[-1] in " \n"]
-        return dict(zip(inner, self.joined(inner))) | dict(zip(outer, self.whole(outer)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        cut = [None if _OTHER_SPACE.search(t) or any(a in t for a in self.added) else _CUT.findall(t) for t in texts]
-        known = self.seen
-        fresh = list(set().union(*filter(None, cut)).difference(known))
-        known.update(self.chunks(fresh))
-        packed = [b"" if chunks is None else b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        odd = [k for k, chunks in enumerate(cut) if chunks is None]
-        for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
-            packed[k] = ids
-        for c in fresh:
-            if len(c) > REMEMBERED_CHARS:
-                del known[c]
-        return packed
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.quick is not None and not any(a in text for a in self.added):
+            try:
+                return self.quick.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its pattern gives up on very long runs of white space
+                pass
+        return self.whole([text])[0]
 
 
 _LOADED: dict[str, ByteTokenizer] = {}
@@ -112,28 +102,26 @@ def tokenizer(path: str) -> ByteTokenizer:
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): every document's full windows and its remainder."""
-    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = T.LongType()
     schema = T.StructType([T.StructField("doc_id", read.schema["doc_id"].dataType), *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             row, start, length, crc, total = [], [], [], [], []
-            for at in range(0, len(texts), 32):
-                for k, ids in enumerate(encoder.encode(texts[at : at + 32]), at):
-                    ids += end
-                    n = len(ids) // 4
-                    for s in range(0, n, capacity):
-                        e = min(n, s + capacity)
-                        row.append(k)
-                        start.append(s)
-                        length.append(e - s)
-                        crc.append(zlib.crc32(ids[4 * s : 4 * e]))
-                        total.append(n)
+            for k, text in enumerate(texts):
+                ids = np.concatenate((encoder.encode(text), end)).astype("<u4", copy=False)
+                n = len(ids)
+                for s in range(0, n, capacity):
+                    e = min(n, s + capacity)
+                    row.append(k)
+                    start.append(s)
+                    length.append(e - s)
+                    crc.append(zlib.crc32(ids[s:e]))
+                    total.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=schema.names)
 
     return read.mapInArrow(run, schema)
@@ -203,16 +191,26 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
-    """pieces with sequence_id and offset. pieces must be materialised: they are counted first and placed then."""
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """pieces with sequence_id and offset. pieces must be materialised: they are counted first and placed then.
+
+    What reaches the driver is a count for each length, and then one for each bucket of bucket_rows remainders or so.
+    """
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("long"))
-    counted = dealt.groupBy("length", "bucket").count().toPandas()  # at most capacity * buckets rows
-    table_ = np.zeros((capacity + 1, buckets), np.int64)
-    table_[counted["length"].to_numpy(int), counted["bucket"].to_numpy(int)] = counted["count"]
-    before = np.cumsum(table_, axis=1) - table_
-    histogram = {int(x): int(n) for x, n in enumerate(table_.sum(axis=1)) if n}
-    shared = spark.sparkContext.broadcast((before, slots(plan_windows(histogram, capacity))))
+    rest = pieces.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # at most capacity rows
+    buckets = [max(LEAST_BUCKETS, -(-histogram.get(n, 0) // bucket_rows)) for n in range(capacity)]
+    first = np.cumsum([0, *buckets])
+    own = F.element_at(F.lit(buckets), (F.col("length") + 1).cast("int"))
+    dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), own).cast("long"))
+    before = np.zeros(first[-1], np.int64)
+    counted = dealt.groupBy("length", "bucket").count().toArrow()
+    before[first[counted.column("length").to_numpy()] + counted.column("bucket").to_numpy()] = counted.column("count").to_numpy()
+    for n in range(capacity):
+        part = before[first[n] : first[n + 1]]
+        part[:] = np.cumsum(part) - part
+    plan = plan_windows(histogram, capacity)
+    shared = spark.sparkContext.broadcast((first, before, slots(plan)))
 
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = dealt.withColumn("rank", F.row_number().over(within).cast("long"))
@@ -220,19 +218,21 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64)
     names, span = schema.names, 1 << 50
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift, slot = shared.value
+        first, before, slot = shared.value
         key = slot[:, 0] * span + slot[:, 1]
         for batch in batches:
             if not batch.num_rows:
                 continue
             length, bucket, rank = (batch.column(n).to_numpy() for n in ("length", "bucket", "rank"))
-            rank = rank - 1 + shift[length, bucket]
+            rank = rank - 1 + before[first[length] + bucket]
             at = slot[np.searchsorted(key, length * span + rank, "right") - 1]
             place_in = rank - at[:, 1]
             sequence, offset = at[:, 3] + place_in // at[:, 2], at[:, 4] + place_in % at[:, 2] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-2]), pa.array(sequence), pa.array(offset)], names=names)
 
-    return ranked.mapInArrow(place, schema)
+    windows = sum(times for _, times in plan)
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id() + F.lit(windows), "offset": F.lit(0).cast("long")})
+    return ranked.mapInArrow(place, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
