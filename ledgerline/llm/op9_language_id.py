@@ -5,8 +5,9 @@ the out-of-place distance: the sum, over the text's own most frequent n-grams, o
 in the profile, where an n-gram that the profile lacks counts as `profile_size` places. The least distance wins.
 
 Profiles are learned from about `sample` labelled training texts a language, chosen by a hash of the identifier; this
-is the bound of the fit, beside that of MOST_LANGUAGES languages; n-grams are counted over the whole of the chosen texts.
-Every text is judged whole.
+is the bound of the fit; every language that occurs is learned, and n-grams are counted over the whole of the chosen texts. The
+profiles are the model, `profile_size` rows a language. Every text is judged whole; its n-grams are counted in pieces of PIECE
+characters, so that a very long one needs no more memory than its counts.
 
 Cases: a text that is null or has no letter is `und` with score 0. Ties go to the first language by name. The score is one minus
 the least distance over its largest possible value. Training rows need a text with letters and a lang that is not null;
@@ -24,10 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import id_crc32, small_batches, table
+from ledgerline.llm.common import id_crc32, staged, table
 
-#: N-grams in a profile, training texts a language, and languages that profiles are made of (the most frequent ones).
-PROFILE_SIZE, SAMPLE, MOST_LANGUAGES = 400, 3000, 1000
+#: N-grams in a profile, and training texts a language.
+PROFILE_SIZE, SAMPLE = 400, 3000
+#: Characters of a text that are worked on at a time, and languages whose shares are sent to every executor rather than joined.
+PIECE, FEW_LANGUAGES = 1 << 20, 10_000
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
 
@@ -39,26 +42,46 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def ngrams(text: str | None) -> np.ndarray:
-    """The n-grams of a text, one to three characters packed into an integer each; empty if it has no letter.
+def ngrams(text: str, before: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end in a piece of a lower-cased text, one to three characters packed into an integer each.
 
-    The text is lower-cased, and everything between letters is one space, as are both ends.
+    Everything between letters is one space, as are both ends of the whole text. before has up to two characters that precede the
+    piece (a space at the start of the text); the characters to hand on to the next piece come second.
     """
-    if not text:
-        return np.empty(0, np.int64)
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[code]
-    if not letter.any():
-        return np.empty(0, np.int64)
-    code = np.concatenate(([32], np.where(letter, code, 32), [32])).astype(np.int64)
-    code = code[np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))]
-    one = code[code != 32]
-    return np.concatenate((one, code[:-1] << 21 | code[1:], code[:-2] << 42 | code[1:-1] << 21 | code[2:]))
-
-
-def ranked(grams: np.ndarray, n: int) -> np.ndarray:
-    """The n most frequent n-grams, most frequent first, ties by their number."""
-    values, counts = np.unique(grams, return_counts=True)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where(_letters()[code], code, 32).astype(np.int64)
+    code = np.concatenate((before, code, [32] if last else np.empty(0, np.int64)))
+    keep = np.concatenate((np.full(len(before), True), (code[len(before) :] != 32) | (code[len(before) - 1 : -1] != 32)))
+    code, old = code[keep], len(before)
+    new = code[old:]
+    two = code[old - 1 :]
+    three = code[max(0, old - 2) :]
+    return np.concatenate((new[new != 32], two[:-1] << 21 | two[1:], three[:-2] << 42 | three[1:-1] << 21 | three[2:])), code[-2:]
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text, sorted, and how often each occurs; none if it has no letter."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    low = (text or "").lower()
+    held, before = none, np.array([32], np.int64)
+    for at in range(0, len(low), PIECE):
+        grams, before = ngrams(low[at : at + PIECE], before, at + PIECE >= len(low))
+        values, counts = np.unique(grams, return_counts=True)
+        held = merged([held, (values, counts)]) if at else (values, counts)
+    return held if len(held[0]) and held[0][-1] > 1 << 21 else none  # a text without letters has no n-gram, not even of spaces
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several texts or pieces as one."""
+    values, place = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    total = np.zeros(len(values), np.int64)
+    np.add.at(total, place, np.concatenate([c for _, c in parts]))
+    return values, total
+
+
+def ranked(text: str | None, n: int) -> np.ndarray:
+    """The n most frequent n-grams of a text, most frequent first, ties by their number."""
+    values, counts = counted(text)
     return values[np.argsort(-counts, kind="stable")[:n]]
 
 
@@ -69,28 +92,29 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 def learn_profiles(training: DataFrame, *, profile_size: int = PROFILE_SIZE, sample: int = SAMPLE) -> dict[str, list[int]]:
     """{language: its n-grams by rank} from rows (id, text, lang). At most profile_size rows a language reach the driver."""
-    small_batches(training.sparkSession)
     labelled = training.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return {}
-    share = F.create_map(*(F.lit(x) for row in sizes for x in (row["lang"], sample / row["count"])))
-    spread = F.pmod(F.xxhash64("id", F.lit("profile")), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    chosen = labelled.where(spread < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    sizes = staged(labelled.groupBy("lang").count().select("lang", (F.lit(float(sample)) / F.col("count")).alias("share")))
+    if sizes.count() <= FEW_LANGUAGES:
+        sizes = F.broadcast(sizes)
+    spread = F.pmod(F.xxhash64("id", F.lit("profile")), F.lit(1_000_000_000)) / F.lit(1_000_000_000.0)
+    chosen = labelled.withColumn("spread", spread).join(sizes, "lang").where("spread < share")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(lang, []).append(ngrams(text))
-            for lang, grams in found.items():
-                values, counts = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(counts.astype(np.int64))], names=schema.names)
-
-    counted = chosen.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = found.setdefault(lang, [])
+                own.append(counted(text.as_py()))
+                if len(own) == 256:
+                    own[:] = [merged(own)]
+            for lang, parts in found.items():
+                values, counts = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(counts)], names=schema.names)
+
+    totals = chosen.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= profile_size).select("lang", "rank", "gram").collect()
+    rows = totals.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= profile_size).select("lang", "rank", "gram").collect()
     profiles: dict[str, list[int]] = {}
     for row in sorted(rows):
         profiles.setdefault(row["lang"], []).append(row["gram"])
@@ -108,10 +132,9 @@ class Profiles:
             self.rank[np.searchsorted(self.grams, profiles[lang]), k] = np.arange(len(profiles[lang]))
 
     def judge(self, text: str | None) -> tuple[str, float]:
-        grams = ngrams(text)
-        if not len(grams) or not self.languages:
+        own = ranked(text, self.size)
+        if not len(own) or not self.languages:
             return UNDETERMINED, 0.0
-        own = ranked(grams, self.size)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         rank = np.where((self.grams[at] == own)[:, None], self.rank[at], -1)
         places = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(own))[:, None]))
@@ -122,7 +145,6 @@ class Profiles:
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE_SIZE, carry: bool = False) -> DataFrame:
     """(id, lang_pred, score) of every row; with carry, (row, lang_pred, score), where row holds all columns of docs."""
-    small_batches(docs.sparkSession)
     head = F.struct(*docs.columns).alias("row") if carry else F.col(id_col).alias("id")
     read = docs.select(head, F.col(text_col).alias("text"))
     schema = T.StructType([read.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
