@@ -5,6 +5,9 @@ characters before and after are no letters or digits. A strict term rejects alon
 different ones on. Rules go first: a rule fits its host and all subdomains of it if the path starts with the rule's
 path, and the longest fitting rule decides.
 
+Vocabulary and rules are parameters: tables (term, weight) and (host, path, verdict), or tuples of such rows. They go to every
+executor, so a table of more than MOST_ROWS rows is refused. Terms and hosts are folded as urls are.
+
 Cases: a null url, or one without `://`, has an empty host and path, fits no rule, and is judged on what text it has.
 Repeated rows and null identifiers are returned as they came; an empty table gives an empty result; other columns are
 ignored, whatever their names.
@@ -22,9 +25,19 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.common import _FOLD, table
 
-STRICT = ("casino", "porn", "spam-farm", "viagra", "xxx")
-SOFT = ("adult", "bonus", "cheap", "deals", "free", "loan", "poker", "utm_source", "win")
-SOFT_NEEDED = 2
+# The default vocabulary and rules.
+STRICT = (
+    "adultfriend", "betting", "bitchute-porn", "camgirl", "camgirls", "casino", "cialis", "crack-download", "escort", "escorts", "fuck",
+    "gambling", "hentai", "jackpot", "keygen", "link-farm", "milf", "onlyfans-leak", "payday-loans", "porn", "porno", "pornstar", "roulette",
+    "sex", "sexcam", "slot-machine", "spam-farm", "sportsbook", "torrent-crack", "viagra", "warez", "xvideos", "xxx",
+)
+SOFT = (
+    "adult", "affiliate", "bonus", "buy-now", "cash", "cheap", "click-here", "clickbait", "coupon", "credit", "dating", "deals", "discount",
+    "earn-money", "free", "giveaway", "hot", "limited-offer", "loan", "loans", "lottery", "mortgage", "pills", "poker", "prize", "promo",
+    "replica", "sexy", "sweepstakes", "utm_source", "weight-loss", "win", "winner",
+)
+SOFT_NEEDED, MOST_ROWS = 2, 5_000_000
+VOCABULARY = (*((term, "strict") for term in STRICT), *((term, "soft") for term in SOFT))
 #: (host, path, verdict)
 RULES = (
     ("com", "/en/", "block"),
@@ -46,20 +59,45 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), path
 
 
-def fitting_rule(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
-    """(rule as text, verdict) of the longest rule that fits."""
-    fit = [(h + p, v) for h, p, v in rules if path.startswith(p) and (host == h or host.endswith("." + h))]
-    return max(fit, key=lambda x: len(x[0]), default=None)
+def rows_of(given: DataFrame | tuple, n: int) -> list[tuple]:
+    """The rows of a parameter table, checked for size, or the tuples that were given."""
+    if not isinstance(given, DataFrame):
+        return list(given)
+    rows = [tuple(r)[:n] for r in given.limit(MOST_ROWS + 1).collect()]
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows cannot be sent to every executor")
+    return rows
+
+
+class Rules:
+    """Rules by host: those of a url's host and of each host above it are looked up, whatever their number."""
 
+    def __init__(self, rows):
+        self.paths: dict[str, list[tuple[str, str]]] = {}
+        for host, path, verdict in rows:
+            self.paths.setdefault(host.translate(_LOWER), []).append((path, verdict))
 
-def automaton(strict=STRICT, soft=SOFT):
+    def fitting(self, host: str, path: str) -> tuple[str, str] | None:
+        """(rule as text, verdict) of the longest rule that fits; of equally long ones that of the longest host."""
+        best, above = None, host
+        while above:
+            for start, verdict in self.paths.get(above, ()):
+                if path.startswith(start) and (best is None or len(above) + len(start) > len(best[0])):
+                    best = above + start, verdict
+            above = above.partition(".")[2]
+        return best
+
+
+def automaton(vocabulary=VOCABULARY):
+    """Aho-Corasick over the terms, with whether each is strict; None without terms."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for term in {*strict, *soft}:
-        found.add_word(term, (term, term in strict))
+    for term, weight in vocabulary:
+        if folded := (term or "").translate(_LOWER):
+            found.add_word(folded, (folded, weight == "strict" or found.get(folded, ("", False))[1]))
     found.make_automaton()
-    return found
+    return found if len(found) else None
 
 
 def _inside_word(text: str, at: int) -> bool:
@@ -76,20 +114,22 @@ def hits(url: str, vocabulary) -> tuple[set[str], set[str]]:
     return strict, soft
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, strict=STRICT, soft=SOFT, soft_needed: int = SOFT_NEEDED, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, vocabulary: DataFrame | tuple = VOCABULARY, soft_needed: int = SOFT_NEEDED, rules: DataFrame | tuple = RULES) -> DataFrame:
     """(id, host, path, rule, verdict, strict_hits, soft_hits) of every row."""
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     kinds = {"host": pa.string(), "path": pa.string(), "rule": pa.string(), "verdict": pa.string(), "strict_hits": pa.int64(), "soft_hits": pa.int64()}
     schema = T.StructType([T.StructField("id", read.schema["id"].dataType), *(T.StructField(n, T.LongType() if k == pa.int64() else T.StringType()) for n, k in kinds.items())])
 
+    shared = pages.sparkSession.sparkContext.broadcast((rows_of(vocabulary, 2), rows_of(rules, 3)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = automaton(strict, soft) if strict or soft else None
+        terms, own_rules = automaton(shared.value[0]), Rules(shared.value[1])
         for batch in batches:
             rows = []
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
-                rule = fitting_rule(host, path, rules)
-                hard, mild = hits(url, vocabulary) if url and vocabulary else (set(), set())
+                rule = own_rules.fitting(host, path)
+                hard, mild = hits(url, terms) if url and terms else (set(), set())
                 rejected = bool(hard) or len(mild) >= soft_needed
                 rows.append((host, path, rule and rule[0], rule[1] if rule else "block" if rejected else "allow", len(hard), len(mild)))
             columns = list(zip(*rows)) or [()] * len(kinds)
