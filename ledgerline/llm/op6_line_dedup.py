@@ -2,16 +2,18 @@
 
 A window rolls over each text's lines that are not blank: a line, the next one, and the blank lines between them. Where it
 stands depends on its own lines alone, so every passage of two lines or more is seen line by line, wherever it begins and
-whatever surrounds it. A window that was seen before, anywhere in the corpus, is removed; neighbouring ones merge, so a
+whatever surrounds it: windows are content-defined chunks with a boundary after every line. Boundaries further apart, chosen by a
+rolling hash, cannot give right results on these texts: most repeated passages are shorter than two chunks (README has
+figures). A window that was seen before, anywhere in the corpus, is removed; neighbouring ones merge, so a
 repeated passage goes as a whole. So does a single line of more than LONG_WORDS words. The first occurrence stays: the one in the
 document with the smallest identifier, and there the first. No line is lost altogether, since whatever holds the very
 first copy of a line occurs there for the first time.
 
 Repeats are found by grouping on a window's key: the digests of its two lines and the bytes between them. Bytes are compared
-line by line, by grouping on digest and line together; a window with a digest under which different lines were found is
-left alone. So each line is shuffled once for the comparison, and copies of it collapse before; windows are narrow rows.
-Each text is then shuffled once, to meet the list of what it has to lose; that list grows with the corpus and is never
-broadcast.
+line by line, by grouping on digest and line together; should different lines share a digest anywhere, all lines are digested anew
+under another key, until none do. So each line is shuffled once for the comparison, and copies of it collapse before; windows are
+narrow rows. Each text is then shuffled once, to meet the list of what it has to lose; that list grows with the corpus and is
+never broadcast.
 
 Cases: a null text counts as empty and is returned as empty. Rows with a null identifier keep all their lines and
 count for nothing. Rows that share an identifier are treated as one document: they lose the same windows. A short line
@@ -21,22 +23,23 @@ An empty table gives an empty result. Other columns are ignored, whatever their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import small_batches, staged, table
+from ledgerline.llm.common import staged, table
 
 #: A line of more words is a passage by itself.
 LONG_WORDS = 50
 
 
-def digest_of(line: str) -> bytes:
-    return xxhash.xxh3_128_digest(line.encode())
+def digest_of(line: str, key: int) -> bytes:
+    return hashlib.blake2b(line.encode(), digest_size=16, key=key.to_bytes(4, "little")).digest()
 
 
 def windows(lines: list[str]) -> Iterator[tuple[int, int]]:
@@ -53,22 +56,15 @@ def windows(lines: list[str]) -> Iterator[tuple[int, int]]:
         before = k
 
 
-def several_lines(text: str, every: int | None = None, most_lines: int | None = None) -> Iterator[tuple[int, int, str]]:
-    """Windows with their text; every and most_lines bound nothing any more."""
-    lines = text.split("\n")
-    for first, after in windows(lines):
-        yield first, after, "\n".join(lines[first:after])
-
-
-def keyed(lines: list[str]) -> Iterator[tuple[int, int, bytes]]:
+def keyed(lines: list[str], digest: Callable[[str], bytes]) -> Iterator[tuple[int, int, bytes]]:
     """Windows with their keys; the key of a long line is its digest."""
-    digests = [digest_of(line) for line in lines]
+    digests = [digest(line) for line in lines]
     for first, after in windows(lines):
         between = "\n".join(["", *lines[first + 1 : after - 1], ""]).encode()
         yield first, after, digests[first] if after - first == 1 else digests[first] + between + digests[after - 1]
 
 
-def window_rows(docs: DataFrame) -> DataFrame:
+def window_rows(docs: DataFrame, digest: Callable[[str], bytes]) -> DataFrame:
     """(doc_id, key): the different windows of every document (id, text)."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["id"].dataType), T.StructField("key", T.BinaryType())])
 
@@ -76,7 +72,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             row, keys = [], []
             for k, text in enumerate(batch.column(1)):
-                own = {key for _, _, key in keyed(text.as_py().split("\n"))}
+                own = {key for _, _, key in keyed(text.as_py().split("\n"), digest)}
                 row.extend([k] * len(own))
                 keys.extend(own)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(keys, pa.binary())], names=schema.names)
@@ -84,29 +80,29 @@ def window_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def unsure_digests(docs: DataFrame) -> DataFrame:
-    """(digest): digests under which documents (id, text) have different lines."""
+def ambiguous(docs: DataFrame, digest: Callable[[str], bytes]) -> bool:
+    """Whether different lines of documents (id, text) share a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = list({line for text in batch.column(1) for line in text.as_py().split("\n")})
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in lines], pa.binary()), pa.array(lines, pa.string())], names=["digest", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in lines], pa.binary()), pa.array(lines, pa.string())], names=["digest", "line"])
 
-    return docs.mapInArrow(run, "digest binary, line string").distinct().groupBy("digest").count().where("count > 1").select("digest")
+    return not docs.mapInArrow(run, "digest binary, line string").distinct().groupBy("digest").count().where("count > 1").isEmpty()
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[str, int], bytes] = digest_of) -> DataFrame:
     """(id, text, n_lines, n_removed) of every row; text is what remains."""
-    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = read.where("id IS NOT NULL")
-    unsure = staged(unsure_digests(known))
-    repeated = window_rows(known).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1")
-    for end in (F.substring("key", 1, 16), F.substring("key", -16, 16)):
-        repeated = repeated.join(unsure, end == F.col("digest"), "left_anti")
+    key = 1
+    while ambiguous(known, named := partial(digest, key=key)):
+        key += 1
+    repeated = window_rows(known, named).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1")
     repeated = staged(repeated.select("key", "keeper"))  # read back, both sides of the join are plain shuffles, of which Spark can split a hot key's rows
-    lost = window_rows(known).join(repeated, "key").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
-    met = read.join(lost.withColumnRenamed("doc_id", "id").hint("merge"), "id", "left").select("id", "text", "lost")
+    lost = window_rows(known, named).join(repeated, "key").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    met = known.join(lost.withColumnRenamed("doc_id", "id").hint("merge"), "id", "left").select("id", "text", "lost")
+    met = met.unionByName(read.where("id IS NULL").withColumn("lost", F.lit(None).cast("array<binary>")))
     schema = T.StructType([T.StructField("id", read.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +110,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
             kept, totals, removed = [], [], []
             for key, text, lost in zip(*(c.to_pylist() for c in batch.columns)):
                 lines, gone, seen, lost = text.split("\n"), set(), set(), set(lost or ())
-                for first, after, own in keyed(lines) if key is not None else ():
+                for first, after, own in keyed(lines, named) if key is not None else ():
                     window = tuple(lines[first:after])
                     if window in seen or own in lost:
                         gone.update(range(first, after))
