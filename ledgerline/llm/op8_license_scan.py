@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import small_batches, table
+from ledgerline.llm.common import table
 
 # Notices and opening paragraphs of public licenses.
 TEMPLATES = {
@@ -88,6 +88,9 @@ for _kind, _name in {"BY": "", "BY-SA": "-ShareAlike", "BY-NC": "-NonCommercial"
     for _version, _port in (("3.0", "Unported"), ("4.0", "International")):
         TEMPLATES[f"CC-{_kind}-{_version}"] = f"Licensed under CC {_kind} {_version}"
         TEMPLATES[f"CC-{_kind}-{_version}-name"] = f"licensed under a Creative Commons Attribution{_name} {_version} {_port} License"
+for _id in ("0BSD", "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib"):
+    for _form in ("", "-only", "-or-later") if "GPL" in _id else ("",):
+        TEMPLATES[f"{_id}{_form}-tag"] = f"SPDX-License-Identifier: {_id}{_form}"
 TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + (
     " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
     "software without specific prior written permission."
@@ -120,7 +123,9 @@ PHRASES = {
     "Zlib": ["alter it and redistribute it freely"],
 }
 for _id in TEMPLATES:
-    if "GPL" in _id:
+    if _id.endswith("-tag"):
+        PHRASES[_id] = [TEMPLATES[_id]]
+    elif "GPL" in _id:
         _name = {"L": "Lesser", "A": "Affero"}.get(_id[0], "")
         PHRASES[_id] = [f"GNU {_name} General Public License", ("version " if "notice" in _id else "") + _id.split("-")[1]]
     elif _id.startswith("CC-"):
@@ -268,7 +273,6 @@ def unbroken(pairs: list[tuple[int, int]], start: tuple[int, int]) -> list[tuple
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COVERAGE) -> DataFrame:
     """(id, license, coverage, first_word, last_word, licenses) of every row; the best license, or null and coverage 0."""
-    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = {"license": (T.StringType(), pa.string()), "coverage": (T.DoubleType(), pa.float64()), "first_word": (T.LongType(), pa.int64()), "last_word": (T.LongType(), pa.int64()), "licenses": (T.ArrayType(T.StringType()), pa.list_(pa.string()))}
     schema = T.StructType([T.StructField("id", read.schema["id"].dataType), *(T.StructField(n, k) for n, (k, _) in kinds.items())])
