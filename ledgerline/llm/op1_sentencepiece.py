@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding of whole texts with a merge-type (BPE) vocabulary.
 
 A text is normalised as the model says, cut into chunks at word marks where no piece of the vocabulary spans the cut,
-and every chunk is segmented by an agenda: all adjacent symbol pairs that form a piece wait in a heap ordered by the
-piece's score and then by place; the best is merged, its new neighbours join the agenda, and outdated entries are
-skipped. Symbols that are no piece fall back to their bytes. A worker keeps the results of short chunks in a bounded
+and every chunk is segmented by an agenda: all adjacent symbol pairs that form a piece wait in order of the
+piece's score and then of place; the best is merged and its new neighbours join the agenda. For chunks of up to SHORT_CHARS
+characters the agenda is a list; for longer ones a heap, in which outdated entries are skipped, after cutting the chunk wherever no
+piece holds the two characters next to each other, so that a text without spaces is not one agenda. Symbols that are no piece fall back to their bytes. A worker keeps the results of short chunks in a bounded
 table. In each Arrow batch, all chunks that were segmented anew are encoded by the sentencepiece library too; if one
 should differ, the library's ids are used and counted in `n_corrected`. Ids are decoded by the library, and a text
 whose decoding is not the text itself is encoded whole by the library as well.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import small_batches, table
+from ledgerline.llm.common import table
 
 MARK = "▁"
 SLICE_CHARS = 1_000_000
@@ -66,11 +67,23 @@ class MergeVocabulary:
         self.end = self.library.eos_id().to_bytes(4, "little")
         spans = any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ids)
         self.cut = re.compile(r"(?s).+" if spans or not self.prefix else f"{MARK}*[^{MARK}]+|{MARK}+")
+        #: Characters that stand next to each other in some piece: no merge spans any others.
+        self.adjacent = {pair for piece in ids for pair in zip(piece, piece[1:])}
         self.seen: dict[str, bytes] = {}
 
     def segment(self, chunk: str) -> list[str]:
         """The agenda: merges the best-scored adjacent pair, the leftmost of equals, until no pair forms a piece."""
-        return self.segment_short(chunk) if len(chunk) <= SHORT_CHARS else self.segment_long(chunk)
+        if len(chunk) <= SHORT_CHARS:
+            return self.segment_short(chunk)
+        out, start = [], 0
+        for end, pair in enumerate(zip(chunk, chunk[1:]), 1):
+            if pair not in self.adjacent:
+                out += self.segment_part(chunk[start:end])
+                start = end
+        return out + self.segment_part(chunk[start:])
+
+    def segment_part(self, part: str) -> list[str]:
+        return self.segment_short(part) if len(part) <= SHORT_CHARS else self.segment_long(part)
 
     def segment_short(self, chunk: str) -> list[str]:
         """The agenda as a plain list of the pairs' ranks, by place: quicker than a heap for a word."""
@@ -192,7 +205,6 @@ def slices(texts: list[str]) -> Iterator[slice]:
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id, ids, decoded, n_tokens, ids_sha256, decoded_sha256, n_corrected) of every text; keep_ids=False leaves out ids and decoded."""
-    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [T.StructField("id", read.schema["id"].dataType)]
     if keep_ids:
