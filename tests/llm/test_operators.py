@@ -6,10 +6,12 @@ import hashlib
 import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -77,7 +79,7 @@ def test_op1_both_forms_of_the_agenda():
     rng = random.Random(6)
     for _ in range(2000):
         chunk = "▁" + "".join(rng.choice("aeiouthnsrlé,.文") for _ in range(rng.randint(0, 45)))
-        assert vocab.segment_short(chunk) == vocab.segment_long(chunk)
+        assert vocab.segment_short(chunk) == vocab.segment_long(chunk) == vocab.segment(chunk)
         assert vocab.pack(vocab.segment(chunk)) == op1_sentencepiece.pack_ids(vocab.library.encode(chunk[1:])) or chunk == "▁"
 
 
@@ -113,6 +115,29 @@ def test_op2_carves_and_corrects(spark):
     assert (got[1]["media_type"], got[2]["media_type"], got[2]["corrected"], got[3]["media"]) == (op2_media.UNKNOWN, "audio/wav", True, [])
 
 
+def test_op2_sniffing_equals_a_scan_of_all_offsets():
+    rng = random.Random(9)
+    payload = b"RIFF BM P6 GIF89a" * 20
+    media = [write(op2_media.payload_of(payload.decode())[0]) for write in op2_media.WRITERS.values()] + [b"GIF89a\x01\x00\x01\x00\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"]
+    found = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            one = bytearray(rng.choice(media))
+            if rng.random() < 0.4:
+                one[rng.randrange(len(one))] ^= 1 << rng.randrange(8)
+            parts.append(bytes(one[: rng.choice((len(one), len(one), rng.randrange(len(one))))]) + rng.randbytes(rng.randint(0, 30)))
+        blob, at, wanted = b"".join(parts), 0, []
+        while at < len(blob):
+            kind = next((k for m, k in op2_media.SIGNATURES.items() if blob.startswith(m, at) and op2_media.VALIDATORS[k](blob, at)), None)
+            if kind:
+                wanted.append((kind, at, op2_media.VALIDATORS[kind](blob, at)))
+            at += wanted[-1][2] if kind else 1
+        assert op2_media.media_in(blob, op2_media.automaton()) == wanted
+        found += len(wanted)
+    assert found > 60
+
+
 def test_op2_reads_back_what_was_stored(spark, tables, docs):
     got = {r["doc_id"]: r for r in op2_media.op2_media_columns(spark, tables).collect()}
     for key, text in texts(docs).items():
@@ -159,18 +184,30 @@ def test_op3_packs_every_id_once(spark, tables, docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(op3_packing.default_tokenizer())
-    library.encode_special_tokens = True
     ids = {k: np.array(library.encode(t, add_special_tokens=False).ids + [1], "<u4") for k, t in texts(docs).items()}
     used = check_packing(op3_packing.op3_packing(spark, tables).collect(), ids)
     assert used <= -(-sum(map(len, ids.values())) // 2048) + 1
 
 
-def test_op3_chunks_equal_whole_texts():
+def test_op3_ids_equal_the_tokenizers_library():
     encoder = op3_packing.ByteTokenizer(op3_packing.default_tokenizer())
+    assert encoder.quick is not None
     rng = random.Random(7)
     letters = " \n\t\x1c\xa0aB9.,!é中😀'st  \n"
     some = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
-    assert encoder.encode(some) == encoder.whole(some)
+    some += [f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} ." for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 61 == 7)]
+    some += ["a" + " " * 300_000 + "b", "x" * 10_000, " " * 5000, "\n" * 4000 + "end"]
+    for at in range(0, len(some), 5000):
+        for text, ids in zip(some[at : at + 5000], encoder.whole(some[at : at + 5000])):
+            assert np.array_equal(encoder.encode(text), ids)
+
+
+def test_op3_white_space_that_the_pattern_gives_up_on():
+    encoder = op3_packing.ByteTokenizer(op3_packing.default_tokenizer())
+    text = "a" + " " * 3_000_000 + "b"
+    with pytest.raises(ValueError):
+        encoder.quick.encode_to_numpy(text)
+    assert np.array_equal(encoder.encode(text), encoder.whole([text])[0])
 
 
 def test_op3_quoted_added_tokens_equal_the_library(spark):
@@ -181,7 +218,26 @@ def test_op3_quoted_added_tokens_equal_the_library(spark):
     ids = {k: np.array(library.encode(t, add_special_tokens=False).ids + [1], "<u4") for k, t in rows}
     assert ids[1].tolist() == [64, 220, 50256, 275, 1]
     check_packing(op3_packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), op3_packing.default_tokenizer()).collect(), ids)
-    assert op3_packing.ByteTokenizer(op3_packing.default_tokenizer()).encode([t for _, t in rows]) == [x[:-1].tobytes() for x in ids.values()]
+    encoder = op3_packing.ByteTokenizer(op3_packing.default_tokenizer())
+    assert all(np.array_equal(encoder.encode(t), ids[k][:-1]) for k, t in rows)
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 40, 65_536])
+def test_op3_ranks_do_not_depend_on_buckets(spark, bucket_rows):
+    rng = random.Random(4)
+    made = [(n, 0, rng.choice([7, 30, 30, 30, 64]), n % 3, 64) for n in range(700)]
+    pieces = common.staged(spark.createDataFrame(made, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").repartition(5))
+    held = {}
+    for r in op3_packing.pack_pieces(pieces, 64, bucket_rows).collect():
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, held.values())) == len(made)
+    for parts in held.values():
+        ends = [o + n for o, n in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 64
+    counts = {}
+    for m in made:
+        counts[m[2]] = counts.get(m[2], 0) + 1
+    assert len(held) == sum(times for _, times in op3_packing.plan_windows(counts, 64))
 
 
 def best_fill(lengths, room):
@@ -246,29 +302,82 @@ def test_op4_equals_brute_force(spark, tables, docs):
     assert len(set(wanted.values())) < len(wanted)
 
 
-def test_op4_large_family(spark):
-    """A family that no branching makes small, compared in blocks of nodes, with copies and outsiders."""
+@pytest.mark.parametrize(("limit", "pivots"), [(16, 4), (64, 2)])
+def test_op4_large_family(spark, limit, pivots):
+    """A family that no branching makes small, compared in blocks around pivots, with copies, loose members and outsiders."""
     rng = random.Random(11)
     base = [f"b{k}" for k in range(120)]
     rows = []
-    for n in range(160):
+    for n in range(300):
         own = list(base)
         for _ in range(rng.randint(0, 5)):
             own[rng.randrange(120)] = f"v{rng.randrange(400)}"
         rows.append((n, " ".join(own)))
     rows += [(1000 + n, rows[0][1].upper()) for n in range(40)] + [(2000 + n, " ".join(f"o{n}x{k}" for k in range(30))) for n in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in op4_near_dedup.near_duplicates(df, limit=16, levels=2).collect()}
-    assert got == brute_components({k: shingles(t) for k, t in rows})
-
-
-def test_op4_intersections_in_ranges():
+    got = {r["doc_id"]: r["component_id"] for r in op4_near_dedup.near_duplicates(df, limit=limit, levels=2, pivots=pivots).collect()}
+    wanted = brute_components({k: shingles(t) for k, t in rows})
+    assert got == wanted and len(set(wanted.values())) > 100
+
+
+def test_op4_families_cost_rows_in_proportion(spark):
+    rows = [(7, n, 20_000) for n in range(20_000)]
+    tight = spark.createDataFrame(rows, "node long, rep long, members long")
+    blocks = op4_near_dedup.pivot_blocks(tight, 2048, 64).groupBy("node").count().collect()
+    assert sum(r["count"] for r in blocks) < 1.15 * len(rows) and max(r["count"] for r in blocks) < 2048
+    member = spark.createDataFrame([(n, 0) for n in range(1, 19_900)], "node long, component long")
+    rest = op4_near_dedup.left_over_blocks(tight, member, 2048)
+    assert rest.count() < 1.2 * len(rows)
+    together = rest.join(rest.where("rep >= 19900").withColumnRenamed("rep", "other"), "node").where("rep <> other").select("rep", "other").distinct().count()
+    assert together == 100 * (len(rows) - 1)
+
+
+def test_op4_recall_at_the_threshold(spark):
+    """Pairs whose similarity is just 0.85, among texts with a common passage, so that nodes are large and branch several times."""
+    rng = random.Random(12)
+    common_part = [f"common{k}" for k in range(40)]
+    rows = []
+    for n in range(3000):
+        own = [f"w{rng.getrandbits(40)}" for _ in range(64)]
+        other = own[:30] + [f"w{rng.getrandbits(40)}" for _ in range(4)] + own[34:]
+        rows += [(2 * n, " ".join(common_part + own)), (2 * n + 1, " ".join(common_part + other))]
+    assert all(0.85 <= len(a & b) / len(a | b) < 0.853 for a, b in ((shingles(rows[k][1]), shingles(rows[k + 1][1])) for k in (0, 10, 400)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in op4_near_dedup.near_duplicates(df, limit=64, levels=2).collect()}
+    assert sum(got[2 * n + 1] == 2 * n for n in range(3000)) >= 2999
+    assert all(got[2 * n] == 2 * n for n in range(3000))
+
+
+def test_op4_sketch_and_trees_together_give_the_recall():
+    miss = op4_near_dedup.sketch_miss(85)
+    assert 0 < miss < 2e-5
+    trees = op4_near_dedup.trees_for(0.9999, 85)
+    assert miss + (1 - op4_near_dedup.TREE_CHANCE) ** trees <= 1e-4 < miss + (1 - op4_near_dedup.TREE_CHANCE) ** (trees - 1)
+    with pytest.raises(ValueError):
+        op4_near_dedup.trees_for(1 - 1e-9, 85)
+
+
+def test_op4_links_do_not_depend_on_ranges(spark):
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64) >> np.uint64(56) << np.uint64(56)) for _ in range(7)]
-    got = op4_near_dedup.intersections(sets, most=100)
-    for i in range(7):
-        for j in range(i + 1, 7):
-            assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = {n: np.unique(np.concatenate((rng.permutation(base)[: 400 - 3 * n], rng.integers(0, 2**64, 3 * n, dtype=np.uint64)))) for n in range(12)}
+    digests = {n: op4_near_dedup.digest_of(x) for n, x in sets.items()}
+    clusters = spark.createDataFrame([(5, n, len(x), bytearray(digests[n])) for n, x in sets.items()] + [(9, n, len(sets[n]), bytearray(digests[n])) for n in (0, 11)], "cluster long, rep long, n_shingles long, digest binary")
+    held = spark.createDataFrame([(bytearray(digests[n]), bytearray(x.tobytes())) for n, x in sets.items()], "digest binary, shingles binary")
+    wanted = brute_components({n: frozenset(x.tolist()) for n, x in sets.items()})
+    for n_range in (50, 1000, 1 << 22):
+        links = op4_near_dedup.confirmed_links(op4_near_dedup.in_ranges(clusters, held, n_range), 85).collect()
+        assert {(r["u"], r["v"]) for r in links} == {(k, c) for k, c in wanted.items() if k != c}
+
+
+def test_op4_shared_identifiers_are_one_document(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"
+    rows = [(5, a), (6, a), (6, b), (9, b), (6, ""), (9, None), (7, "by itself it is a text of its own"), (3, ""), (None, a)]
+    got = op4_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str) == sorted([(5, 5, True), *[(6, 5, False)] * 3, *[(9, 5, False)] * 2, (7, 7, True), (3, 3, True), (None, None, True)], key=str)
+    both = [(4, a), (4, b), (8, b), (2, a + " theta")]
+    got = op4_near_dedup.near_duplicates(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(4, 4), (8, 4), (2, 2)}
 
 
 def test_op4_cases(odd, nothing):
@@ -314,23 +423,53 @@ def test_op5_verdicts(spark, url, host, path, rule, verdict):
     assert op5_url_filter.judge_urls(df.where("false")).count() == 0
 
 
+def test_op5_tables_long_urls_and_repeated_rows(spark):
+    long = "https://a.b.c.example.com/" + "x" * 200_000 + "/Forbidden-Word?q=" + "soft " * 50_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://b.c/one.Two"), (None, None)], "page_id long, url string")
+    words = spark.createDataFrame([("FORBIDDEN-word", "strict"), ("soft", "soft"), ("one", "soft"), ("two", "soft"), (None, "soft")], "term string, weight string")
+    rules = spark.createDataFrame([("C", "/o", "allow"), ("b.c", "/", "block"), ("b.c", "/one", "allow")], "host string, path string, verdict string")
+    got = sorted((r["page_id"] or 0, r["rule"], r["verdict"], r["strict_hits"], r["soft_hits"]) for r in op5_url_filter.judge_urls(df, vocabulary=words).collect())
+    assert got == [(0, None, "allow", 0, 0), (1, None, "block", 1, 1), (1, None, "block", 1, 1), (2, None, "block", 0, 2)]
+    ruled = {r["page_id"]: (r["rule"], r["verdict"]) for r in op5_url_filter.judge_urls(df, vocabulary=words, rules=rules).collect()}
+    assert ruled[2] == ("b.c/one", "allow")
+    assert op5_url_filter.judge_urls(df, vocabulary=(), rules=()).where("verdict = 'allow'").count() == 4
+
+
+def test_op5_rules_by_suffix_equal_a_scan_of_all():
+    rng = random.Random(5)
+    hosts = [".".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    rules = [(h, "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 3))), rng.choice(("allow", "block"))) for h in hosts]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    held = op5_url_filter.Rules(rules)
+    for _ in range(500):
+        host, path = ".".join(rng.choice("abc") for _ in range(rng.randint(1, 4))), "/" + "".join(rng.choice("xy/") for _ in range(4))
+        fit = [len(h + p) for h, p, _ in rules if path.startswith(p) and (host == h or host.endswith("." + h))]
+        found = held.fitting(host, path)
+        assert (len(found[0]) if found else None) == max(fit, default=None)
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------------------
 
 
 def brute_lines(rows):
-    """What op6 keeps, from all chunks of all texts at once."""
-    holders = {}
+    """What op6 keeps, from all runs of two lines and all long lines of all texts at once, compared as texts."""
+    holders, own = {}, {}
     for key, text in rows:
-        for _, _, chunk in op6_line_dedup.several_lines(text, 3, 32):
-            holders.setdefault(chunk, set()).add(key)
+        lines = text.split("\n")
+        filled = [k for k, x in enumerate(lines) if x.strip()]
+        own[key] = [(k, k + 1) for k in filled if len(lines[k].split()) > 50] + [(a, b + 1) for a, b in zip(filled, filled[1:])]
+        own[key] = sorted(own[key], key=lambda x: x[1])
+        for first, after in own[key]:
+            holders.setdefault(tuple(lines[first:after]), set()).add(key)
     out = {}
     for key, text in rows:
-        gone, seen = set(), set()
-        for first, after, chunk in op6_line_dedup.several_lines(text, 3, 32):
-            if chunk in seen or min(holders[chunk]) < key:
+        lines, gone, seen = text.split("\n"), set(), set()
+        for first, after in own[key]:
+            window = tuple(lines[first:after])
+            if window in seen or min(holders[window]) < key:
                 gone.update(range(first, after))
-            seen.add(chunk)
-        out[key] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+            seen.add(window)
+        out[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
@@ -341,6 +480,21 @@ def test_op6_equals_brute_force(docs):
     assert sum(r["n_removed"] for r in got) > 0
 
 
+def colliding(line, key):
+    """A digest under whose first two keys all lines of a length collide."""
+    return bytes([key, len(line) % 256]) * 8 if key < 3 else op6_line_dedup.digest_of(line, key)
+
+
+def test_op6_colliding_digests_leave_nothing_out(spark):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = [(1, "aa\nbb\ncc"), (2, "bb\naa\ncc"), (3, "xx\naa\nbb\nyy")]
+    try:
+        got = op6_line_dedup.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"), digest=colliding).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: rows[1][1], 3: "xx\nyy"}
+
+
 def test_op6_passages_are_found_when_shifted(spark):
     passage = [f"shared line number {k}" for k in range(40)]
     rows = [(1, "\n".join(["one", *passage, "end"])), (2, "\n".join(["other", "start", "here", *passage]))]
@@ -419,6 +573,31 @@ def test_op7_uses_no_python(docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_op7_merges_sorted_runs_in_binomial_rounds(docs):
+    runs = common.staged(op7_exact_dedup.digest_runs(docs.repartition(13)))
+    entries, left = op7_exact_dedup.leaf_entries(runs), 13
+    for number in range(1, 5):
+        entries, left = op7_exact_dedup.merge_round(entries), -(-left // 2)
+        plan = entries._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(run") == number
+        assert len(re.findall(r"SortAggregate\(key=\[run[^\n]*functions=\[max\(kept.*\n[^\n]*Sort \[run[^\n]*\n[^\n]*Exchange", plan)) == number
+        assert "HashAggregate" not in plan
+        assert {r["run"] for r in entries.select("run").distinct().collect()} == set(range(left))
+        order = entries.withColumn("at", F.monotonically_increasing_id()).collect()
+        pieces = {}
+        for r in sorted(order, key=lambda r: r["at"]):
+            pieces.setdefault(r["at"] >> 33, []).append((r["run"], bytes(r["digest"])))
+        assert all(p == sorted(set(p)) for p in pieces.values())
+    assert left == 1
+
+
+def test_op7_struct_identifiers_pick_one_row(spark):
+    rows = [(1, "A"), (1, "a"), (None, "a"), (2, "b"), (None, "c"), (None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.struct("doc_id", "row"))
+    kept = op7_exact_dedup.exact_duplicates(df, id_col="key").where("kept").select("key.doc_id").collect()
+    assert sorted((r["doc_id"] for r in kept), key=str) == [1, 2, None]
+
+
 def test_op7_cases(odd, nothing):
     got = op7_exact_dedup.exact_duplicates(odd)
     same = got.where(F.col("text_sha256") == hashlib.sha256(b"same text here, five words").hexdigest()).collect()
@@ -456,6 +635,54 @@ def test_op8_alignment_is_a_common_subsequence():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def brute_patience(a, b, doubts):
+    """Matched pairs of a patience diff, written down recursively: ends, unique common words, gaps. doubts gets a 1 where several chains of anchors are longest."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(x + 1, y + 1) for x, y in brute_patience(a[1:], b[1:], doubts)]
+    if a[-1] == b[-1]:
+        return brute_patience(a[:-1], b[:-1], doubts) + [(len(a) - 1, len(b) - 1)]
+    unique = [(a.index(w), b.index(w)) for w in dict.fromkeys(a) if a.count(w) == 1 == b.count(w)]
+    chains = [[]]
+    for pair in sorted(unique):
+        chains += [c + [pair] for c in chains if not c or c[-1][1] < pair[1]]
+    longest = [c for c in chains if len(c) == max(map(len, chains))]
+    doubts.extend([1] * (len(longest) > 1))
+    if not longest[0]:
+        return []
+    out, x, y = [], 0, 0
+    for ax, ay in [*longest[0], (len(a), len(b))]:
+        out += [(x + i, y + j) for i, j in brute_patience(a[x:ax], b[y:ay], doubts)] + [(ax, ay)]
+        x, y = ax + 1, ay + 1
+    return out[:-1]
+
+
+def test_op8_alignment_equals_a_brute_patience_diff():
+    rng = random.Random(3)
+    sure = 0
+    for _ in range(1000):
+        a, b = ([rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        doubts = []
+        wanted = brute_patience(a, b, doubts)
+        if not doubts:
+            sure += 1
+            assert op8_license_scan.align(a, b) == wanted
+    assert sure > 300
+
+
+def test_op8_ties_go_to_the_longer_template_and_then_by_name():
+    scanner = op8_license_scan.Scanner({"b": "free as in air", "a": "free as in air", "c": "free as in air and water"}, 0.8)
+    assert [x[0] for x in scanner.scan("it is free as in air and water here")] == ["c", "a", "b"]
+
+
+def test_op8_license_tags():
+    scanner = op8_license_scan.Scanner(op8_license_scan.TEMPLATES, 0.8)
+    for name in ("MIT", "GPL-2.0-only", "GPL-3.0-or-later", "Apache-2.0", "CC0-1.0"):
+        assert [x[0] for x in scanner.scan(f"// SPDX-License-Identifier: {name}")] == [f"{name}-tag"]
+    assert scanner.scan("SPDX-License-Identifier: Unknown-1.0") == []
+
+
 def test_op8_finds_each_template_in_text():
     scanner = op8_license_scan.Scanner(op8_license_scan.TEMPLATES, 0.8)
     filler = " ".join(f"word{k % 50} the of" for k in range(3000))
@@ -527,17 +754,44 @@ def test_op9_held_out_accuracy(spark, tables, docs):
 
 
 def test_op9_distance_equals_its_definition():
-    profiles = {"a": [int(g) for g in op9_language_id.ranked(op9_language_id.ngrams("the cat sat on the mat"), 30)], "b": [int(g) for g in op9_language_id.ranked(op9_language_id.ngrams("el gato en la casa"), 30)]}
+    profiles = {"a": [int(g) for g in op9_language_id.ranked("the cat sat on the mat", 30)], "b": [int(g) for g in op9_language_id.ranked("el gato en la casa", 30)]}
     for text in ("the hat", "la gata", "zzz", "Ça va"):
-        own = [int(g) for g in op9_language_id.ranked(op9_language_id.ngrams(text), 30)]
+        own = [int(g) for g in op9_language_id.ranked(text, 30)]
         distance = {k: sum(abs(n - p.index(g)) if g in p else 30 for n, g in enumerate(own)) for k, p in profiles.items()}
         best = min(sorted(distance), key=distance.get)
         assert op9_language_id.Profiles(profiles, 30).judge(text) == (best, pytest.approx(1 - distance[best] / (30 * len(own))))
 
 
-def test_op9_ngrams():
+def brute_ngrams(text):
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    out, whole = {}, f" {' '.join(low.split())} "
+    for n in (1, 2, 3):
+        for k in range(len(whole) - n + 1):
+            if (gram := whole[k : k + n]) != " " and whole.strip():
+                out[gram] = out.get(gram, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_op9_ngrams_do_not_depend_on_pieces(monkeypatch, piece):
+    monkeypatch.setattr(op9_language_id, "PIECE", piece)
     unpack = lambda g: "".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0) if g >> s)
-    assert sorted(unpack(int(g)) for g in op9_language_id.ngrams("1 Ab-c")) == sorted([*"abc", " a", "ab", "b ", " c", "c ", " ab", "ab ", "b c", " c "])
+    rng = random.Random(1)
+    for text in ["1 Ab-c", "", " ", "x", *("".join(rng.choice("aB1 é-\n文") for _ in range(rng.randint(0, 25))) for _ in range(300))]:
+        assert {unpack(int(g)): int(n) for g, n in zip(*op9_language_id.counted(text))} == brute_ngrams(text)
+
+
+def test_op9_learns_every_language_and_ties_go_by_name(spark):
+    words = {f"l{n:03d}": " ".join(chr(0x4E00 + 40 * n + k) for k in range(30)) for n in range(200)} | {"zz": "same words", "aa": "same words"}
+    rows = [(n, text, lang) for n, (lang, text) in enumerate(words.items())]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    for few in (0, 10_000):
+        op9_language_id.FEW_LANGUAGES, before = few, op9_language_id.FEW_LANGUAGES
+        profiles = op9_language_id.learn_profiles(df)
+        op9_language_id.FEW_LANGUAGES = before
+        assert set(profiles) == set(words)
+    got = {r["id"]: r["lang_pred"] for r in op9_language_id.identify(df, profiles, id_col="id").collect()}
+    assert all(got[n] == ("aa" if lang == "zz" else lang) for n, (_, _, lang) in enumerate(rows))
 
 
 def test_op9_cases(odd, nothing):
@@ -574,6 +828,51 @@ def test_op10_risk_is_kept_from_falling_below_zero():
     assert right > 0.95
 
 
+def test_op10_slope_is_the_gradient_of_its_risk():
+    rng = np.random.default_rng(6)
+    xp, xu = rng.normal(0.5, 1, (50, 6)), rng.normal(0, 1, (70, 6))
+
+    def parts(w, prior):
+        gp, gu = xp @ w, xu @ w
+        return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+    clipped = 0
+    for _ in range(60):
+        w, prior = rng.normal(0, 2, 6), rng.choice([0.3, 0.9])
+        positive, negative = parts(w, prior)
+        risk = (lambda x: sum(parts(x, prior))) if negative >= 0 else (lambda x: -parts(x, prior)[1])
+        clipped += negative < 0
+        numeric = [(risk(w + d) - risk(w - d)) / 2e-6 for d in np.eye(6) * 1e-6]
+        assert np.allclose(op10_quality.slope(w, xp, xu, prior), numeric, atol=1e-5)
+    assert 5 < clipped < 55
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_op10_prior_of_known_mixtures(prior):
+    rng = np.random.default_rng(7)
+    width, n = len(op10_quality.MEASURES), 4000
+    good = int(n * prior)
+    unlabelled = rng.permutation(np.vstack((rng.normal(1, 1, (good, width)), rng.normal(-0.5, 1, (n - good, width)))))
+    assert abs(op10_quality.estimated_prior(rng.normal(1, 1, (n, width)), unlabelled) - prior) < 0.05
+    assert op10_quality.estimated_prior(np.empty((0, width)), unlabelled) == 0.5
+
+
+def test_op10_negatives_change_nothing(spark, docs):
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality")).where("doc_id % 2 = 0")
+    other = labels.withColumn("quality", F.when(F.col("quality") == 1, 1).otherwise(0))
+    more = labels.unionByName(docs.where("doc_id % 2 = 0 AND doc_id % 3 <> 0").select("doc_id", F.lit(-5).alias("quality")))
+    first = op10_quality.learn(docs, other)
+    assert np.array_equal(first.weights, op10_quality.learn(docs, more).weights) and 0.01 <= first.prior <= 0.99
+
+
+def test_op10_shares_ids_and_reads_texts_of_chosen_ones(spark):
+    rows = [(k, f"Some words of text number {k}.") for k in range(300)] + [(3, f"hot {k}") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 300, 2)], "doc_id long, quality int")
+    model = op10_quality.learn(df, labels, sample=40)
+    assert len(model.weights) and op10_quality.score(df, model).count() == 800
+
+
 def test_op10_cases(spark, odd, nothing):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (6, 1), (77, 1), (None, 1)], "doc_id long, quality int")
     model = op10_quality.learn(odd, labels)
@@ -587,13 +886,35 @@ def test_op10_cases(spark, odd, nothing):
 # --- shared ------------------------------------------------------------------------------------------------------------
 
 
-def test_stages_are_read_back_and_cleared(spark):
-    df = common.staged(spark.range(5))
-    assert df.count() == 5
-    path = common._STAGES[-1].removeprefix("file://")
-    assert os.path.isdir(path)
-    common.clear_stages(spark)
-    assert not os.path.exists(path) and not common._STAGES
+def test_stages_are_deleted_at_the_end_of_their_block(spark):
+    with common.stages(spark) as own:
+        df = common.staged(spark.range(5))
+        kept = common.staged(df)
+        assert df.count() == 5
+        paths = [p.removeprefix("file://") for p in own]
+        own.pop()
+    assert [os.path.isdir(p) for p in paths] == [False, True] and kept.count() == 5
+    assert common.staged(spark.range(2)).count() == 2
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch, spark):
+    class Cluster:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Cluster)
+
+
+def test_no_operator_changes_the_session(spark, tables, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    op2_media.op2_media_columns(spark, tables).count()
+    op10_quality.op10_quality_classifier(spark, tables).count()
+    assert spark.conf.get(name) == before
 
 
 def test_words_and_shingles_equal_their_definition():
