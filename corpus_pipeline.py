@@ -1,7 +1,18 @@
 """The corpus pipeline: five stages, each working on all that the stage before kept.
 
 The first four filter and return the columns of documents; the last one packs what is left. The classifiers carry the whole
-row past their decision; the dedup stages join their decisions back on the identifier, so a row without one stays there.
+row past their decision. The dedup stages decide on rows, not on identifiers: they give each row a key and write the table with it once, so
+that texts which share an identifier, and rows without one, are told apart.
+
+Cases, for every stage: an empty table gives an empty one. Other columns of docs are carried along whatever their names.
+
+- quality classifier: null and empty texts are scored like any other; repeated rows share one fate; rows with a null identifier never train.
+- language id: null texts and texts without a letter are `und` and go; repeated rows stay or go together.
+- exact dedup: of equal texts (null counts as empty) one row stays, the one with the largest identifier, a null one only if no row has
+  one; of rows that repeat identifier and text, one stays.
+- near dedup: of each group of linked texts the row with the smallest identifier stays, a null one only if no row has one. Texts without
+  words are linked with nothing and stay.
+- packing: every row is packed; null and empty texts are the end id alone.
 """
 
 from __future__ import annotations
@@ -12,17 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import op3_packing, op4_near_dedup, op7_exact_dedup, op9_language_id, op10_quality
-from ledgerline.llm.common import staged, table
+from ledgerline.llm.common import staged, stages, table
 
 #: Below this likeness to every profile, a text is taken for none of the languages.
 LEAST_LIKENESS = 0.05
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One row of docs for each identifier that decisions (doc_id, kept) keeps, and the rows without an identifier."""
-    wanted = decisions.where("kept").select("doc_id").distinct()
-    named = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """(row_key, doc, *columns): every row of docs under a key of its own, written once so that the key is the same whenever it is read."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*docs.columns).alias("doc"), *columns))
+
+
+def _kept(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose keys (row_key) are kept; those grow with the corpus and are never broadcast."""
+    return keyed.select("row_key", "doc").join(staged(kept).hint("merge"), "row_key", "left_semi").select("doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +54,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _kept(docs, op7_exact_dedup.exact_duplicates(docs))
+    """One row of each group of equal texts."""
+    keyed = _keyed(docs)
+    named = keyed.select(F.struct("doc.doc_id", "row_key").alias("key"), "doc.text")
+    found = op7_exact_dedup.exact_duplicates(named, id_col="key")
+    return _kept(keyed, found.where("kept").select("key.row_key"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return _kept(docs, op4_near_dedup.near_duplicates(docs))
+    """One row of each group of near-duplicates."""
+    keyed = _keyed(docs)
+    found = op4_near_dedup.near_duplicates(keyed.select("row_key", "doc.text"), id_col="row_key").select("row_key", "component_id")
+    ids = keyed.select("row_key", "doc.doc_id").join(found, "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first")
+    return _kept(keyed, ids.groupBy("component_id").agg(first).select("first.row_key"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written as Parquet and read again, and what it was made from is deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+        with stages(spark) as own:
+            docs = staged(stage(spark, docs, sf_dir))
+            result = own.pop()
+            own.extend(before)
+        before = [result]
     return docs
