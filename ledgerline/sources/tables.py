@@ -33,9 +33,12 @@ def read_catalog(spark: SparkSession, path: str, file_format: str = "parquet", s
 
 
 def write_filings(filings: DataFrame, path: str, date_col: str = "filing_date") -> None:
-    """Filings partitioned by form and filing year, so that a read for either prunes folders; one writer a folder and hash of the key."""
+    """Filings partitioned by form and filing year, so that a read for either prunes folders.
+
+    Rows are rebalanced by these columns: Spark splits a large folder over as many writers as its size asks for, and joins small ones.
+    """
     by_year = filings.withColumn("filing_year", F.year(date_col))
-    by_year.repartition("form_type", "filing_year", F.pmod(F.xxhash64("accession"), F.lit(16))).write.mode("overwrite").partitionBy("form_type", "filing_year").parquet(path)
+    by_year.hint("rebalance", "form_type", "filing_year").write.mode("overwrite").partitionBy("form_type", "filing_year").parquet(path)
 
 
 def latest_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
