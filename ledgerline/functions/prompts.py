@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import trimmed
+from ledgerline.functions.text import ltrimmed, trimmed
 
 # Limits of the contexts, and the texts of the prompt.
 CURRENT_CHARS = (2_000, 80_000, 120_000)
@@ -26,6 +26,13 @@ def context_cap(asked: Column, limits: tuple[int, int, int]) -> Column:
     return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(asked, F.lit(default)))).cast("int")
 
 
+def size_setting(stored: Column, limits: tuple[int, int, int]) -> Column:
+    """The whole number that a stored text begins with, white space before it aside; the default if there is none; within (least, most)."""
+    least, default, most = limits
+    number = F.regexp_extract(ltrimmed(stored), r"^[+-]?\d+", 0).try_cast("double")
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(number, F.lit(default)))).cast("int")
+
+
 def smart_excerpt(text: Column, n: Column) -> Column:
     """At most n characters: head and tail around a marker if the tail has 2,000 characters or more, else the head alone."""
     head = F.floor(n * 62 / 100).cast("int")

@@ -1,23 +1,63 @@
-"""From raw anchors to the ordered outline of a document: relational steps on narrow rows."""
+"""From elements of html to the ordered outline of a document: relational steps on narrow rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import collapsed, item_key, item_rank, slugify
-from ledgerline.operators.nodes import anchor_rows
+from ledgerline.functions.text import case_folded, collapsed, is_bare_item_label, is_item_line, item_heading, item_key, item_rank, slugify, trimmed
+from ledgerline.operators.nodes import LABEL_CHARS, anchor_elements
 
 MAX_ANCHORS = 320
+# The passes of an outline, characters of a slug's input, and of an item line that is a label.
+TOC, HEADING, ITEM = 1, 2, 4
+HEADING_SLUG_CHARS, ITEM_SLUG_CHARS, ITEM_LABEL_CHARS = 200, 48, 160
+ITEM_PREFIX = "sec-item-"
+
+
+def _numbered(rows: DataFrame, id_col: str, base: Column, prefix: Column) -> DataFrame:
+    """rows with made: prefix and base, numbered from the second use of the base within document and pass; null where base is."""
+    uses = F.row_number().over(Window.partitionBy(id_col, "pass", "_base").orderBy("seq"))
+    counted = rows.withColumn("_base", base).withColumn("_use", F.when(F.col("_base").isNotNull(), uses))
+    made = F.concat(prefix, "_base", F.when(F.col("_use") > 1, F.concat(F.lit("-"), "_use")).otherwise(""))
+    return counted.withColumn("made", made).drop("_base", "_use")
 
 
 def heading_ids(headings: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """headings (id, seq, own_id, label) with anchor: the own id, else the label's slug, numbered from its second use in the document."""
-    base = F.when(F.trim(F.coalesce("own_id", F.lit(""))) == "", slugify(F.substring("label", 1, 200)))
-    uses = Window.partitionBy(id_col, "_base").orderBy("seq")
-    numbered = headings.withColumn("_base", base).withColumn("_use", F.row_number().over(uses))
-    anchor = F.when(F.col("_base").isNull(), F.trim("own_id")).when(F.col("_use") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", "_use"))
-    return numbered.withColumn("anchor", anchor).drop("_base", "_use")
+    own = F.nullif(trimmed(F.coalesce("own_id", F.lit(""))), F.lit(""))
+    base = F.when(own.isNull(), slugify(F.substring("label", 1, HEADING_SLUG_CHARS)))
+    numbered = _numbered(headings.withColumn("pass", F.lit(HEADING)), id_col, base, F.lit(""))
+    return numbered.withColumn("anchor", F.coalesce(own, "made")).drop("pass", "made")
+
+
+def anchor_rows(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+    """Raw anchors of every document: (id, pass, seq, anchor id, label, level, source), repeated ids included, blank ones not.
+
+    Links come first; one with a bare item label takes the heading that its target's row, or else the target, begins with. Headings without
+    an id are named by their slug. Item lines come last; one whose id an earlier anchor has gives none. An outline shuffles these rows once,
+    by document, and its html never.
+    """
+    found = anchor_elements(pages, id_col, html_col).repartition(id_col)
+    number = F.when(F.col("tag") == "a", TOC).when(F.col("tag").rlike("^h[1-6]$"), HEADING).otherwise(ITEM)
+    rows = found.withColumns({"pass": number, "own": F.nullif(trimmed(F.col("own_id")), F.lit(""))})
+    rows = rows.where((F.col("pass") == TOC) | ((F.col("pass") == HEADING) & (F.col("text") != "")) | ((F.col("pass") == ITEM) & is_item_line(F.col("text"))))
+    # An anchor is taken if an earlier one has its id: a link's or a heading's, or that of an item line above.
+    first = F.min(F.when(F.col("own").isNotNull(), F.struct("pass", "seq"))).over(Window.partitionBy(id_col, "own"))
+    taken = (F.col("pass") == ITEM) & F.col("own").isNotNull() & (F.struct("pass", "seq") > F.col("_first"))
+    rows = rows.withColumn("_first", first).where(~F.coalesce(taken, F.lit(False)))
+    slug = F.when((F.col("pass") == HEADING) & F.col("own").isNull(), slugify(F.substring("text", 1, HEADING_SLUG_CHARS)))
+    slug = slug.when(F.col("pass") == ITEM, slugify(F.substring("text", 1, ITEM_SLUG_CHARS)))
+    rows = _numbered(rows, id_col, slug, F.when(F.col("pass") == ITEM, ITEM_PREFIX).otherwise(""))
+    made = F.when((F.col("pass") == HEADING) | (F.coalesce("own_id", F.lit("")) == ""), F.col("made"))  # an item line whose id is blank gives none
+    label = F.when(F.col("pass") == ITEM, F.substring("text", 1, ITEM_LABEL_CHARS)).otherwise(F.col("text"))
+    rich = F.coalesce(item_heading(F.col("around")), item_heading(F.col("target")))
+    label = F.when((F.col("pass") == TOC) & is_bare_item_label(label), F.coalesce(rich, label)).otherwise(label)
+    label = F.substring(collapsed(label), 1, LABEL_CHARS)
+    level = F.when(F.col("pass") == TOC, 2).when(F.col("pass") == HEADING, F.substring("tag", 2, 1).try_cast("int")).otherwise(1)
+    source = F.when(F.col("pass") == TOC, "toc").when(F.col("pass") == HEADING, "heading").otherwise("item")
+    named = rows.select(id_col, "pass", "seq", F.coalesce("own", made).alias("id"), label.alias("label"), level.alias("level"), source.alias("source"))
+    return named.where("id IS NOT NULL").withColumn("label", F.coalesce(F.nullif("label", F.lit("")), "id"))
 
 
 def first_wins(anchors: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -35,10 +75,10 @@ def with_item_keys(anchors: DataFrame) -> DataFrame:
 def merge_items(anchors: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Of the anchors of one item in a document, the one with the richest label, with first_pass and first_seq of the item's first.
 
-    Longer labels are richer; of equal length, one with a lower-case letter; then the smaller in lower case; then the earlier.
+    Longer labels are richer; of equal length, one with a lower-case letter; then the smaller when case is folded; then the earlier.
     """
     label = collapsed(F.col("label"))
-    best = Window.partitionBy(id_col, "item_key").orderBy(F.length(label).desc(), label.rlike("[a-z]").desc(), F.lower(label), "pass", "seq")
+    best = Window.partitionBy(id_col, "item_key").orderBy(F.length(label).desc(), label.rlike("[a-z]").desc(), case_folded(label), "pass", "seq")
     first = F.min(F.struct("pass", "seq")).over(Window.partitionBy(id_col, "item_key"))
     items = anchors.where("item_key IS NOT NULL").withColumns({"_place": F.row_number().over(best), "_first": first})
     return items.where("_place = 1").select(*anchors.columns, F.col("_first.pass").alias("first_pass"), F.col("_first.seq").alias("first_seq"))
@@ -56,5 +96,5 @@ def ordered_outline(anchors: DataFrame, id_col: str = "doc_id", max_anchors: int
 
 
 def build_outline(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", max_anchors: int = MAX_ANCHORS) -> DataFrame:
-    """The outline of every document; only its anchors are shuffled, never its html."""
+    """The outline of every document; only its anchor elements are shuffled, once, never its html."""
     return ordered_outline(anchor_rows(pages, id_col, html_col), id_col, max_anchors)

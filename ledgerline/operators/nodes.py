@@ -1,17 +1,19 @@
-"""Parsing filing HTML into element rows and raw anchors: one document at a time, in Arrow batches.
+"""Parsing filing HTML into element rows: one document at a time, in Arrow batches. What the rows mean is said in DataFrames.
 
 The tree follows a lenient parser: void elements close at once; an end tag closes everything up to the nearest open element
 of its name and is ignored if there is none; nothing closes by implication; the last of repeated attributes counts, and
 one without a value is empty. Text leaves out comments and the contents of script, style and template.
+
+Parsing takes time in proportion to the html, however deeply it nests: a document's text is kept once, with white space collapsed,
+and an element is a span of it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from html.parser import HTMLParser
-from itertools import accumulate
 from urllib.parse import unquote
 
 import pandas as pd
@@ -22,111 +24,107 @@ from pyspark.sql import types as T
 # HTML's void elements, and elements whose content is no text of the document.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSHOWN = frozenset(("script", "style", "template"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-# Links and place of a table of contents, and limits on labels and item lines (in characters, but for children).
+# Links and place of a table of contents; characters of an element's text, of a label, and of what is read around a
+# link's target; elements, characters and children of item lines.
 TOC_TABLE_LINKS, TOC_TABLE_PLACE = 3, 0.42
-TEXT_CHARS, LABEL_CHARS, ROW_CHARS, ELEMENT_CHARS, RICH_CHARS, SLUG_CHARS = 900, 220, 1200, 800, 12, 200
-ITEM_CHARS, ITEM_HEAD_CHARS, ITEM_LABEL_CHARS, ITEM_SLUG_CHARS, ITEM_CHILDREN = (8, 350), 120, 160, 48, 8
+TEXT_CHARS, LABEL_CHARS, ROW_CHARS, ELEMENT_CHARS = 900, 220, 1200, 800
+ITEM_TAGS, ITEM_CHARS, ITEM_CHILDREN = frozenset(("p", "td", "div", "font", "span")), (8, 350), 8
 
 _SPACE = re.compile(r"\s+")
-_BARE = re.compile(r"\s*item\s+\d{1,2}[a-z]?\b", re.IGNORECASE)
-_BARE_REST = re.compile(r"[\s.:;—·-]*")
-_NUMBER = re.compile(r"\bitem\s+\d{1,2}[a-z]?\b", re.IGNORECASE)
-_LEAD = re.compile(r"item\s+\d{1,2}[a-z]?\b\s*[.:—·-]*\s*", re.IGNORECASE)
-_NEXT = re.compile(r"\bitem\s+\d{1,2}\b", re.IGNORECASE)
-
-
-def collapse(text: str) -> str:
-    return _SPACE.sub(" ", text).strip()
-
-
-def slug(label: str) -> str:
-    plain = label.strip().lower().replace("'", "").replace('"', "")
-    return "-".join(re.findall("[a-z0-9]+", plain)) or "section"
 
 
-def is_bare(label: str) -> bool:
-    lead = _BARE.match(label)
-    return bool(lead) and len(label[_BARE_REST.match(label, lead.end()).end() :].strip()) < 3
+class Element:
+    """An element: its place in the html, the nearest table, row and cell around it, and the spans of its text."""
 
+    __slots__ = ("tag", "attrs", "start", "inside", "table", "row", "cell", "children", "element_children", "links", "shown", "spaced")
 
-def heading_line(snippet: str) -> str | None:
-    """The rich label that begins at the first `Item N` of a text."""
-    text = collapse(snippet)
-    first = _NUMBER.search(text)
-    if not first:
-        return None
-    text = text[first.start() :]
-    lead = _LEAD.match(text).group()
-    rest = text[len(lead) :].strip()
-    other = _NEXT.search(rest)
-    rest = re.sub(r"\s*\.{3,}\s*$", "", rest[: other.start()].strip() if other else rest).strip()
-    head = lead.strip()
-    head = (head[:-1] if head[-1:] in (".", ":") else head).strip()
-    if len(rest) >= 2 and re.search("[A-Za-z]{2}", rest):
-        head = re.sub(r"\s+\.", ".", f"{head}. {rest}")
-    return head[:LABEL_CHARS]
+    def __init__(self, tag: str, attrs: dict[str, str], start: int, parent: Element | None, links: int, shown: int, spaced: int):
+        self.tag, self.attrs, self.start = tag, attrs, start
+        self.children = self.element_children = 0
+        self.inside = parent is not None and parent.inside
+        self.table = self.row = self.cell = None
+        if parent is not None:
+            self.table = parent if parent.tag == "table" else parent.table
+            self.row = parent if parent.tag == "tr" else parent.row
+            self.cell = parent if parent.tag in ("td", "th") else parent.cell
+        self.links, self.shown, self.spaced = -links, (shown, shown), (spaced, spaced)
 
+    def own_id(self) -> str:
+        """The id; of a link without one, its name."""
+        own = self.attrs.get("id", "")
+        return own or (self.attrs.get("name", "").strip() if self.tag == "a" else "")
 
-@dataclass
-class Element:
-    """An element; pieces[first:after] of its tree are its text."""
-
-    tag: str
-    attrs: dict[str, str]
-    start: int
-    parent: Element | None
-    first: int
-    after: int = -1
-    children: int = 0
-    element_children: int = 0
-    links: int = 0
-
-    def up(self, *tags: str) -> Element | None:
-        """The nearest enclosing element with one of the tags."""
-        at = self.parent
-        while at is not None and at.tag not in tags:
-            at = at.parent
-        return at
+    def fragment(self) -> str:
+        """What an in-document link points to; empty for other elements."""
+        href = self.attrs.get("href", "") if self.tag == "a" else ""
+        return unquote(href.strip()[1:]) if href.startswith("#") else ""
 
 
 class Tree(HTMLParser):
-    """Elements in document order and the text pieces between them."""
+    """The elements of a document in order, and its text in two forms: as it is read, and piece by piece with spaces between."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.elements: list[Element] = []
-        self.pieces: list[str] = []
         self.open: list[Element] = []
-        self.joined = False
+        self.names: Counter[str] = Counter()
+        self.node: list[str] | None = None
+        self.links, self.has_body, self.unshown = 0, False, 0
+        self.parts: tuple[list[str], list[str]] = [], []
+        self.sizes, self.after_space = [0, 0], True
         self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
         self.feed(html)
         self.close()
-        for e in self.open:
-            e.after = len(self.pieces)
-        self.solid = [0, *accumulate(len(p) - sum(map(len, _SPACE.findall(p))) for p in self.pieces)]
+        self._end_text()
+        while self.open:
+            self._close_last()
+        self.shown, self.spaced = ("".join(p) for p in self.parts)
+
+    def _end_text(self) -> None:
+        """Ends a run of text: adds it to both forms of the text."""
+        node, self.node = self.node, None
+        if not node or self.unshown:
+            return
+        text = _SPACE.sub(" ", "".join(node))
+        if words := text.strip(" "):
+            self.parts[1].append(" " + words)
+            self.sizes[1] += len(words) + 1
+        if self.after_space:
+            text = text.removeprefix(" ")
+        if text:
+            self.parts[0].append(text)
+            self.sizes[0] += len(text)
+            self.after_space = text[-1] == " "
 
     def _child(self, element: bool = False) -> None:
-        self.joined = False
+        self._end_text()
         if self.open:
             self.open[-1].children += 1
             self.open[-1].element_children += element
 
+    def _close_last(self) -> None:
+        e = self.open.pop()
+        self.names[e.tag] -= 1
+        self.unshown -= e.tag in UNSHOWN
+        e.links += self.links
+        e.shown, e.spaced = (e.shown[0], self.sizes[0]), (e.spaced[0], self.sizes[1])
+
     def handle_starttag(self, tag, attrs):
         self._child(True)
         line, column = self.getpos()
-        start = self.lines[line - 1] + column
-        e = Element(tag, {k: v or "" for k, v in attrs}, start, self.open[-1] if self.open else None, len(self.pieces))
+        e = Element(tag, {k: v or "" for k, v in attrs}, self.lines[line - 1] + column, self.open[-1] if self.open else None, self.links, *self.sizes)
         self.elements.append(e)
-        if tag == "a" and e.attrs.get("href", "").startswith("#"):
-            table = e.up("table")
-            while table is not None:
-                table.links += 1
-                table = table.up("table")
+        self.links += tag == "a" and e.attrs.get("href", "").startswith("#")
         if tag in VOID:
-            e.after = len(self.pieces)
-        else:
-            self.open.append(e)
+            e.links += self.links
+            return
+        self.open.append(e)
+        self.names[tag] += 1
+        self.unshown += tag in UNSHOWN
+        if tag == "body" and not self.has_body:
+            self.has_body = e.inside = True
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -134,168 +132,102 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.joined = False
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                for e in self.open[k:]:
-                    e.after = len(self.pieces)
-                del self.open[k:]
-                return
+        self._end_text()
+        if self.names[tag]:
+            while self.open[-1].tag != tag:
+                self._close_last()
+            self._close_last()
 
     def handle_data(self, data):
-        if self.joined:
-            if self.joined != "unshown":
-                self.pieces[-1] += data
-            return
-        self._child()
-        if self.open and any(e.tag in UNSHOWN for e in self.open):
-            self.joined = "unshown"
-        else:
-            self.pieces.append(data)
-            self.joined = "shown"
+        if self.node is None:
+            self._child()
+            self.node = []
+        self.node.append(data)
 
     def handle_comment(self, data):
         self._child()
 
-    def handle_decl(self, decl):
-        self._child()
-
-    def handle_pi(self, data):
-        self._child()
-
-    def unknown_decl(self, data):
-        self._child()
+    handle_decl = handle_pi = unknown_decl = handle_comment
 
     def body(self) -> list[Element]:
         """The elements inside the first body, in document order; empty without one."""
-        for k, e in enumerate(self.elements):
-            if e.tag == "body":
-                inside = {id(e)}
-                out = []
-                for x in self.elements[k + 1 :]:
-                    if x.parent is not None and id(x.parent) in inside:
-                        inside.add(id(x))
-                        out.append(x)
-                return out
-        return []
-
-    def text(self, e: Element) -> str:
-        return collapse("".join(self.pieces[e.first : e.after]))
-
-    def spaced_text(self, e: Element) -> str:
-        """The element's pieces, stripped and joined by spaces."""
-        return collapse(" ".join(s for p in self.pieces[e.first : e.after] if (s := p.strip())))
+        inside = [e for e in self.elements if e.inside]
+        return inside[1:]
+
+    def text(self, e: Element, most: int) -> str:
+        """The first `most` characters of an element's text."""
+        first, after = e.shown
+        return self.shown[first : min(after, first + most + 2)].strip(" ")[:most]
 
     def short_text(self, e: Element, most: int) -> str | None:
-        """text(), or None if it is longer than most characters; long ones are not put together."""
-        if self.solid[e.after] - self.solid[e.first] > most:
-            return None
-        text = self.text(e)
-        return text if len(text) <= most else None
+        """An element's text, or None if it has more than `most` characters."""
+        text = self.text(e, most + 1) if e.shown[1] - e.shown[0] <= most + 2 else None
+        return text if text is not None and len(text) <= most else None
+
+    def spaced_text(self, e: Element, most: int) -> str:
+        """The first `most` characters of an element's pieces of text, joined by spaces."""
+        first, after = e.spaced
+        return self.spaced[first : min(after, first + most + 1)].strip(" ")[:most]
 
 
 def in_toc(e: Element, size: int) -> bool:
     """Whether the nearest table around an element looks like a table of contents: several in-document links, early in the html."""
-    table = e if e.tag == "table" else e.up("table")
+    table = e if e.tag == "table" else e.table
     return table is not None and table.links >= TOC_TABLE_LINKS and table.start <= TOC_TABLE_PLACE * size
 
 
-def raw_anchors(html: str) -> list[tuple[int, int, str, str, int, str]]:
-    """(pass, seq, id, label, level, source) as the passes over a document push them, repeated ids included."""
+def element_rows(html: str) -> Iterator[tuple]:
+    """Rows of NODES (after the document's key) for every element of the body."""
     tree = Tree(html)
-    nodes = tree.body()
-    own = {id(e): e.attrs.get("id", "") for e in nodes}
-    for e in nodes:
-        if e.tag == "a" and not own[id(e)] and (name := e.attrs.get("name", "").strip()):
-            own[id(e)] = name
-    exact, named, folded = {}, {}, {}
+    size = max(1, len(html))
+    for k, e in enumerate(tree.body()):
+        yield k, e.tag, e.attrs.get("id"), e.attrs.get("name"), e.attrs.get("href"), e.start, e.start / size, e.children, e.element_children, tree.short_text(e, TEXT_CHARS), in_toc(e, size)
+
+
+def target_index(nodes: list[Element]) -> dict[tuple[str, str], Element]:
+    """The first element of each id, of each link name, and of each id in lower case."""
+    index: dict[tuple[str, str], Element] = {}
     for e in nodes:
-        if own[id(e)] or "id" in e.attrs:
-            exact.setdefault(own[id(e)], e)
-            folded.setdefault(own[id(e)].lower(), e)
+        if own := e.own_id():
+            index.setdefault(("id", own), e)
+            index.setdefault(("folded", own.lower()), e)
         if e.tag == "a" and "name" in e.attrs:
-            named.setdefault(e.attrs["name"].strip(), e)
-
-    def rich_label(fragment: str) -> str | None:
-        e = exact.get(fragment) or named.get(fragment) or folded.get(fragment.lower())
-        if e is None:
-            return None
-        around = e.up("tr") or e.up("td", "th") or e
-        of_row = heading_line(tree.spaced_text(around)[:ROW_CHARS])
-        if of_row and len(of_row) > RICH_CHARS:
-            return of_row
-        return of_row or heading_line(tree.spaced_text(e)[:ELEMENT_CHARS])
-
-    out: list[tuple[int, int, str, str, int, str]] = []
-    seen: set[str] = set()
-
-    def push(number: int, anchor: str, label: str, level: int, source: str) -> None:
-        anchor = anchor.strip()
-        if anchor:
-            seen.add(anchor)
-            out.append((number, len(out), anchor, collapse(label)[:LABEL_CHARS] or anchor, level, source))
+            index.setdefault(("name", e.attrs["name"].strip()), e)
+    return index
 
-    for e in nodes:
-        if e.tag == "a" and e.attrs.get("href", "").startswith("#"):
-            fragment = unquote(e.attrs["href"].strip()[1:])
-            if fragment:
-                label = tree.text(e) or fragment
-                if is_bare(label):
-                    label = rich_label(fragment) or label
-                push(1, fragment, label, 2, "toc")
-
-    slugs: dict[str, int] = {}
-    for e in nodes:
-        if re.fullmatch("h[1-6]", e.tag) and (label := tree.text(e)):
-            anchor = own[id(e)].strip()
-            if not anchor:
-                base = slug(label[:SLUG_CHARS])
-                slugs[base] = slugs.get(base, 0) + 1
-                anchor = base if slugs[base] == 1 else f"{base}-{slugs[base]}"
-            push(2, anchor, label, int(e.tag[1]), "heading")
-
-    slugs = {}
-    for e in nodes:
-        if e.tag not in ("p", "td", "div", "font", "span") or e.children > ITEM_CHILDREN:
-            continue
-        label = tree.short_text(e, ITEM_CHARS[1])
-        if label is None or len(label) < ITEM_CHARS[0] or not _NUMBER.match(label[:ITEM_HEAD_CHARS]):
-            continue
-        anchor = own[id(e)].strip()
-        if anchor and anchor in seen:
-            continue
-        base = slug(label[:ITEM_SLUG_CHARS])
-        slugs[base] = slugs.get(base, 0) + 1
-        made = f"sec-item-{base}" if slugs[base] == 1 else f"sec-item-{base}-{slugs[base]}"
-        push(4, own[id(e)] or made, label[:ITEM_LABEL_CHARS], 1, "item")
-    return out
-
-
-def element_rows(html: str) -> list[tuple]:
-    """Rows of NODES (after the document's key) for every element of the body."""
+
+def anchor_element_rows(html: str) -> Iterator[tuple]:
+    """Rows of ANCHOR_ELEMENTS for the elements that can give anchors: in-document links, headings, and short lines that begin with `item`.
+
+    A link whose text begins so carries the text around its target and the target's own.
+    """
     tree = Tree(html)
-    size = max(1, len(html))
-    return [
-        (k, e.tag, e.attrs.get("id"), e.attrs.get("name"), e.attrs.get("href"), e.start, e.start / size, e.children, e.element_children, tree.short_text(e, TEXT_CHARS), in_toc(e, size))
-        for k, e in enumerate(tree.body())
-    ]
+    nodes = tree.body()
+    index = target_index(nodes)
+    for k, e in enumerate(nodes):
+        if fragment := e.fragment():
+            label, around, own = tree.text(e, LABEL_CHARS) or fragment, None, None
+            if label.lstrip()[:4].lower() == "item":
+                target = index.get(("id", fragment)) or index.get(("name", fragment)) or index.get(("folded", fragment.lower()))
+                if target is not None:
+                    around, own = tree.spaced_text(target.row or target.cell or target, ROW_CHARS), tree.spaced_text(target, ELEMENT_CHARS)
+            yield k, e.tag, fragment, label, around, own
+        elif e.tag in HEADINGS:
+            yield k, e.tag, e.own_id(), tree.text(e, LABEL_CHARS), None, None
+        elif e.tag in ITEM_TAGS and e.children <= ITEM_CHILDREN:
+            text = tree.short_text(e, ITEM_CHARS[1])
+            if text is not None and len(text) >= ITEM_CHARS[0] and text[:4].lower() == "item":
+                yield k, e.tag, e.own_id(), text, None, None
 
 
 #: Rows that a task gathers before it hands them to Spark.
 OUTPUT_ROWS = 10_000
 NODES = "seq int, tag string, id string, name string, href string, start int, place double, children int, element_children int, text string, in_toc boolean"
-ANCHORS = "pass int, seq int, id string, label string, level int, source string"
-
-
-def _small_batches(df: DataFrame, rows: int = 64) -> None:
-    """Whole filings cross to Python a few at a time: up to 8 million characters each."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+ANCHOR_ELEMENTS = "seq int, tag string, own_id string, text string, around string, target string"
 
 
 def _per_document(pages: DataFrame, id_col: str, html_col: str, parse, fields: str) -> DataFrame:
-    _small_batches(pages)
+    """Rows that parse gives for each html. Batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
     read = pages.select(F.col(id_col).alias("doc"), F.col(html_col).alias("html")).where("html IS NOT NULL")
     schema = T.StructType([read.schema["doc"], *T._parse_datatype_string(fields).fields])
     names = schema.names
@@ -304,10 +236,11 @@ def _per_document(pages: DataFrame, id_col: str, html_col: str, parse, fields: s
         rows: list[tuple] = []
         for batch in batches:
             for doc, html in zip(batch["doc"], batch["html"]):
-                rows.extend((doc, *r) for r in parse(html))
-                if len(rows) >= OUTPUT_ROWS:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                for row in parse(html):
+                    rows.append((doc, *row))
+                    if len(rows) >= OUTPUT_ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
@@ -315,10 +248,13 @@ def _per_document(pages: DataFrame, id_col: str, html_col: str, parse, fields: s
 
 
 def html_nodes(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    """One row an element of every document's body: (id, *NODES). Text is null where it is longer than 900 characters."""
+    """One row an element of every document's body: (id, *NODES). Text is null where it is longer than 900 characters.
+
+    Operators that read nodes several times would parse as often: stage them first (sources.staging.staged).
+    """
     return _per_document(pages, id_col, html_col, element_rows, NODES)
 
 
-def anchor_rows(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    """Raw anchors of every document in the order of the passes: (id, *ANCHORS); no body, no rows."""
-    return _per_document(pages, id_col, html_col, raw_anchors, ANCHORS)
+def anchor_elements(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+    """The elements that can give anchors: (id, *ANCHOR_ELEMENTS); no body, no rows."""
+    return _per_document(pages, id_col, html_col, anchor_element_rows, ANCHOR_ELEMENTS)
