@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.prompts import answer_of, quote_of
+from ledgerline.sources.staging import staged
 from ledgerline.sources.tables import latest_by_key
 
 RECENTS, TTL_SECONDS = 12, 600
@@ -64,6 +67,34 @@ def selection_effects(events: DataFrame, action: str) -> DataFrame:
     return rows.select("user_id", session_key().alias("session_key"), "ts", "seq", "effect", F.col("payload").alias("text"), kind.alias("kind"))
 
 
+def chat_messages(events: DataFrame, selected: str, asked: str, answered: str) -> DataFrame:
+    """(user_id, session_key, ts, seq, role, kind, content, source_quote): the messages that events add to a session's thread.
+
+    A selection adds a user message of kind `selection`; a question adds one without a kind; an answer adds the assistant's message,
+    with what stands behind its quote label as source_quote (null without a quote). Other events add none.
+    """
+    action, text = F.col("action"), F.coalesce("payload", F.lit(""))
+    made = events.where(action.isin(selected, asked, answered))
+    answer = action == answered
+    return made.select(
+        "user_id",
+        session_key().alias("session_key"),
+        "ts",
+        "seq",
+        F.when(answer, "assistant").otherwise("user").alias("role"),
+        F.when(action == selected, "selection").alias("kind"),
+        F.when(answer, answer_of(text)).otherwise(text).alias("content"),
+        F.when(answer, F.nullif(quote_of(text), F.lit(""))).alias("source_quote"),
+    )
+
+
+def chat_threads(events: DataFrame, selected: str, asked: str, answered: str) -> DataFrame:
+    """(user_id, session_key, n_messages, messages): each session's thread of records (ts, seq, role, kind, content, source_quote), in order."""
+    messages = chat_messages(events, selected, asked, answered)
+    ordered = messages.select("user_id", "session_key", F.struct("ts", "seq").alias("at"), "role", "kind", "content", "source_quote")
+    return threads(ordered, ["user_id", "session_key"], "at")
+
+
 def switch_filing(switches: DataFrame, stored: DataFrame) -> DataFrame:
     """switches (user_id, session_key, new_text, new_html) with the session after the switch.
 
@@ -82,28 +113,84 @@ def switch_filing(switches: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def replay_cache(requests: DataFrame, key: list[str], ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """requests (with request_id and ts) with cached: whether the key was loaded less than ttl_seconds before.
+# --- cache replay ------------------------------------------------------------------------------------------------------
+
+
+def _next_load(times: np.ndarray, ttl: int) -> np.ndarray:
+    """For a load at each of the sorted times, the place of the next one; len(times) if there is none."""
+    return np.searchsorted(times, times + ttl)
 
-    A hit does not renew the load, so the loads of a key are a recurrence: each key's times are replayed in order. Only
-    (key, request_id, time) reach Python, as sorted partitions that are read as a stream, so no key is held whole.
+
+def _last_load(times: np.ndarray, ttl: int) -> np.ndarray:
+    """For a load at each of the sorted times, the place of the last load that follows from it, by doubling the steps."""
+    after = np.append(_next_load(times, ttl), len(times))
+    last = np.append(np.where(after[:-1] == len(times), np.arange(len(times)), -1), -1)
+    while (last[:-1] < 0).any():
+        last = np.where(last < 0, last[after], last)
+        after = after[after]
+    return last[:-1]
+
+
+def _steps(times: np.ndarray, ttl: int) -> tuple[list[int], list[int]]:
+    """What a stretch of a key's requests makes of the last load before it: for a load that lapses up to which time, which load is the last.
+
+    The first load of the stretch is its first request after the lapse, if there is one.
     """
-    narrow = requests.select(*key, "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    ordered = narrow.repartition(*key).sortWithinPartitions(*key, "_us", "request_id")
-    ttl = ttl_seconds * 1_000_000
+    times = np.unique(times)
+    exits = times[_last_load(times, ttl)]
+    edge = np.append(exits[1:] != exits[:-1], True)  # first loads with the same outcome are one step
+    return times[edge].tolist(), exits[edge].tolist()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, loaded = None, 0
+
+def replay_cache(requests: DataFrame, key: list[str], ttl_seconds: int = TTL_SECONDS, order: str = "request_id") -> DataFrame:
+    """requests (with ts) with cached: whether the key was loaded less than ttl_seconds before.
+
+    A hit does not renew the load, so the loads of a key are a recurrence. It is worked out without gathering a key anywhere:
+    requests are dealt by ranges of key and time; each stretch of a key in a range says what it makes of the last load before
+    it, whichever that is (a few steps, since chains of loads that begin close to each other soon meet); the stretches of
+    a key, narrow rows, are chained; and then every stretch is replayed from the load that it begins with. A key that all requests share
+    is spread over all ranges like any others.
+
+    Requests at the same time are taken by `order`. One without a time is not cached and loads nothing; null keys are keys like
+    any others, and repeated request identifiers are requests of their own.
+    """
+    ttl = ttl_seconds * 1_000_000
+    name = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})  # a null field differs from every value
+    rows = requests.select(F.struct(*requests.columns).alias("row"), name.alias("name"), F.col(order).alias("order"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ranged = rows.where("us IS NOT NULL").repartitionByRange("name", "us")
+    ranged = staged(ranged.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    narrow = ranged.select("name", "part", "us", "order", "place")
+
+    # Keys that go on from one range to the next: at most one for each pair of ranges, so what is known of them is as small.
+    split = F.broadcast(staged(narrow.groupBy("name").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("name")))
+
+    def stretch(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *_steps(rows["us"].to_numpy(np.int64), ttl))], columns=["name", "part", "until", "exits"])
+
+    def chain(stretches: pd.DataFrame) -> pd.DataFrame:
+        found, loaded = [], None
+        for r in stretches.sort_values("part").itertuples():
+            found.append((r.name, r.part, loaded))
+            at = 0 if loaded is None else int(np.searchsorted(r.until, loaded + ttl))
+            loaded = int(r.exits[at]) if at < len(r.until) else loaded
+        return pd.DataFrame(found, columns=["name", "part", "loaded"]).astype({"loaded": "Int64"})
+
+    steps = narrow.join(split, "name").select("name", "part", "us").groupBy("name", "part").applyInPandas(stretch, "name string, part int, until array<long>, exits array<long>")
+    begun = staged(steps.groupBy("name").applyInPandas(chain, "name string, part int, loaded long"))
+    ordered = narrow.join(F.broadcast(begun), ["name", "part"], "left").repartition("name", "part").sortWithinPartitions("name", "part", "us", "order")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, loaded = None, None
         for batch in batches:
             hits = []
-            for own, at in zip(zip(*(batch[k] for k in key)), batch["_us"]):
-                if own != now or at - loaded >= ttl:
-                    now, loaded = own, at
-                    hits.append(False)
-                else:
-                    hits.append(True)
-            yield pd.DataFrame({"request_id": batch["request_id"], "cached": hits})
-
-    kind = requests.schema["request_id"].dataType.simpleString()
-    flags = ordered.mapInPandas(run, f"request_id {kind}, cached boolean")
-    return requests.join(flags, "request_id")
+            for name, part, at, before in zip(batch["name"], batch["part"], batch["us"], batch["loaded"]):
+                if (name, part) != now:
+                    now, loaded = (name, part), None if pd.isna(before) else int(before)
+                hit = loaded is not None and at - loaded < ttl
+                loaded = loaded if hit else at
+                hits.append(hit)
+            yield pd.DataFrame({"place": batch["place"], "cached": hits})
+
+    flags = ordered.select("name", "part", "us", "loaded", "place").mapInPandas(replay, "place long, cached boolean")
+    timed = ranged.select("row", "place").join(flags, "place").select("row.*", "cached")
+    return timed.unionByName(rows.where("us IS NULL").select("row.*", F.lit(False).alias("cached")))

@@ -5,32 +5,63 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.operators.sessions import TTL_SECONDS, session_key
-from ledgerline.sources.tables import latest_by_key
+from ledgerline.sources.staging import delete
+from ledgerline.sources.tables import latest_by_key, upsert
 
 
-def store_sessions(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest session of each user and key under path.
+KEY, ORDER = ["user_id", "session_key"], ["ts", "seq"]
 
-    Every micro-batch is reduced to its last event of each key and appended under its number, written over if the batch is
-    repeated, so that a restart adds nothing twice; read_sessions() takes the last of what is there.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        latest = latest_by_key(batch.withColumn("session_key", session_key()), ["user_id", "session_key"], ["ts", "seq"])
-        latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def _parts(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the parts of a store that are written whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(root)]
+    return sorted(int(n.removeprefix("part=")) for n in names if n.startswith("part=") and files.exists(hadoop.Path(f"{path}/{n}/_SUCCESS")))
+
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _read_parts(spark: SparkSession, path: str, parts: list[int]) -> DataFrame:
+    return spark.read.parquet(*(f"{path}/part={n}" for n in parts))
 
 
-def read_sessions(spark, path: str) -> DataFrame:
+def upsert_sessions(batch: DataFrame, path: str, most_parts: int = 16) -> None:
+    """Writes a batch of events over the sessions under path: the last event of each user and key stays.
+
+    The batch's last events become a part of the store. Once there are more than most_parts, all parts are merged into one and
+    deleted, so a session is written again only once in so many batches. Every part is keyed and the last write wins, so a batch that is
+    repeated, also under a new checkpoint, changes nothing, and a merge that is cut short leaves parts that say the same twice.
+    """
+    spark = batch.sparkSession
+    rows = batch.withColumns({"session_key": session_key(), "payload": F.coalesce("payload", F.lit(""))})
+    parts = _parts(spark, path)
+    number = parts[-1] + 1 if parts else 0
+    latest_by_key(rows, KEY, ORDER).write.mode("overwrite").parquet(f"{path}/part={number}")
+    parts.append(number)
+    if len(parts) > most_parts:
+        merged = upsert(_read_parts(spark, path, parts[:-1]), _read_parts(spark, path, parts[-1:]), KEY, ORDER)
+        merged.write.mode("overwrite").parquet(f"{path}/part={number + 1}")
+        for n in parts:
+            delete(spark, f"{path}/part={n}")
+
+
+def store_sessions(events: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None, most_parts: int = 16) -> StreamingQuery:
+    """Keeps the latest session of each user and key under path, as a stream; trigger as in writeStream.trigger(), what is there by default."""
+    write = lambda batch, _: upsert_sessions(batch, path, most_parts)
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """The sessions that store_sessions() keeps: one row a user and key."""
-    return latest_by_key(spark.read.parquet(path).drop("batch"), ["user_id", "session_key"], ["ts", "seq"])
+    return latest_by_key(_read_parts(spark, path, _parts(spark, path)), KEY, ORDER)
 
 
 def cache_flags(requests: DataFrame, key: str, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
@@ -54,8 +85,8 @@ def cache_flags(requests: DataFrame, key: str, ttl_seconds: int = TTL_SECONDS) -
             loaded = loaded if hit else at
             hits.append(hit)
         state.update((int(loaded),))
-        if (until := (int(loaded) + ttl) // 1000) > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
+        # A load that has lapsed already is dropped as soon as the watermark moves.
+        state.setTimeoutTimestamp(max((int(loaded) + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": rows["key"], "request_id": rows["request_id"], "cached": hits})
 
     grouped = narrow.withWatermark("ts", f"{ttl_seconds} seconds").groupBy("key")
