@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import blank_to_null, first_chars, head_slice, html_to_text, is_partial, trimmed
+from ledgerline.operators.anchors import build_outline
+from ledgerline.sources.staging import staged
 
 HTML_CHARS, TEXT_CHARS, HEAD_CHARS = 8_000_000, 500_000, 500_000
 
@@ -49,16 +51,29 @@ def filing_display(df: DataFrame, head_chars: int = HEAD_CHARS, lazy: bool = Tru
     return df.withColumns({"display_html": head_slice(html, head_chars, lazy), "html_partial": is_partial(html, head_chars, lazy)})
 
 
-def filing_pack(requests: DataFrame, catalog: DataFrame, bodies: DataFrame, outline: DataFrame, head_chars: int = HEAD_CHARS) -> DataFrame:
+#: Values that rows without a key are spread over in a join, so that they do not all meet in one task.
+SPREAD = 1024
+
+
+def attach(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with found on key; rows whose key is null are spread instead of meeting in one partition."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")).otherwise(0)
+    return rows.withColumn("_salt", salt).join(found.withColumn("_salt", F.lit(0)), [key, "_salt"], "left").drop("_salt")
+
+
+def filing_pack(requests: DataFrame, catalog: DataFrame, bodies: DataFrame, *, body_key: str = "accession", head_chars: int = HEAD_CHARS) -> DataFrame:
     """One row a request: its filing, text, display html, partial flag and anchors.
 
-    Filings are picked on narrow rows; wide bodies (accession, html, text, markdown) come last, for the distinct filings
-    that were picked. outline has one row an anchor: (accession, place, id, label, level, source).
+    Filings are picked on narrow rows; then the bodies (body_key, html, text, markdown) that were picked are read, each once however
+    often it was asked for, and resolved, outlined and shown. A catalog in which several filings share a body names it by body_key.
     """
+    keys = catalog.select("accession", body_key).distinct() if body_key != "accession" else None
     picked = pick_filing(requests, catalog)
-    wanted = picked.select("accession").distinct()
-    shown = filing_display(resolve_body(bodies.join(wanted, "accession", "left_semi")), head_chars)
+    picked = staged(picked if keys is None else attach(picked, keys, "accession"))
+    wanted = bodies.join(picked.select(body_key).where(F.col(body_key).isNotNull()).distinct(), body_key, "left_semi")
+    read = resolve_body(wanted)
     anchor = F.struct("place", "id", "label", "level", "source")
-    anchors = outline.join(wanted, "accession", "left_semi").groupBy("accession").agg(F.array_sort(F.collect_list(anchor)).alias("anchors"))
-    packs = shown.select("accession", "text", "display_html", "html_partial").join(anchors, "accession", "left")
-    return normalize_key(picked).join(packs, "accession", "left")
+    outline = build_outline(read.select(body_key, "html"), body_key).groupBy(body_key).agg(F.array_sort(F.collect_list(anchor)).alias("anchors"))
+    shown = filing_display(read, head_chars).select(body_key, "text", "display_html", "html_partial")
+    packs = shown.join(outline, body_key, "left")
+    return normalize_key(attach(picked, packs, body_key))

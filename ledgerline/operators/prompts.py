@@ -20,12 +20,36 @@ from ledgerline.functions.prompts import (
     mark_first,
     occurrences,
     quote_of,
+    size_setting,
     smart_excerpt,
 )
 from ledgerline.functions.text import trimmed
 
 DEFAULT_MODEL = "default"
-DEFAULT_SYSTEM_PROMPT = "Answer from the filing excerpts below only, and quote one short passage from the current filing word for word."
+# Fixed value: the default system prompt; the assistant's name is a parameter.
+DEFAULT_SYSTEM_PROMPT = (
+    "You are {assistant}. Answer using only the excerpts below. "
+    "When 'Additional context' contains another SEC filing or year, use it for comparisons or questions about that period. "
+    "If an answer appears in 'Current filing context', state it and quote it; do not claim numbers are absent when they appear there. "
+    "If you cannot find a figure in the excerpts (including after truncation), say it is not in the provided excerpt—not that the filing has no such data. "
+    "Return one short verbatim source quote from the current filing when possible."
+)
+ASSISTANT = "a filing research assistant"
+# Fixed values: (least, default, most) of the context sizes that a user can set.
+CURRENT_SETTING, ADDITIONAL_SETTING = (5_000, 80_000, 120_000), (0, 60_000, 80_000)
+
+
+def chat_settings(stored: DataFrame) -> DataFrame:
+    """stored with a request's effective settings: current_context_max_chars, additional_context_max_chars, use_custom_prompt, custom_prompt.
+
+    Reads the stored texts current_max, additional_max, use_custom and prompt_draft, null where nothing was stored. A size is the number
+    that its text begins with, else the default, within its limits. A custom prompt is used if the switch says so (`1` or `true`; `0` or
+    `false` means no), or, where the switch says neither, if a draft that is not blank is stored; it is the draft, or null if that is blank.
+    """
+    draft = F.nullif(trimmed(F.coalesce("prompt_draft", F.lit(""))), F.lit(""))
+    use = F.when(F.col("use_custom").isin("1", "true"), True).when(F.col("use_custom").isin("0", "false"), False).otherwise(draft.isNotNull())
+    sizes = {"current_context_max_chars": size_setting(F.col("current_max"), CURRENT_SETTING), "additional_context_max_chars": size_setting(F.col("additional_max"), ADDITIONAL_SETTING)}
+    return stored.withColumns({**sizes, "use_custom_prompt": use, "custom_prompt": F.when(use, draft)})
 
 
 def context_caps(questions: DataFrame) -> DataFrame:
@@ -33,7 +57,7 @@ def context_caps(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"current_cap": context_cap(F.col("current_context_max_chars"), CURRENT_CHARS), "additional_cap": context_cap(F.col("additional_context_max_chars"), ADDITIONAL_CHARS)})
 
 
-def assemble_prompts(questions: DataFrame, *, allow_custom: bool = False, system_prompt: str | None = None, default_model: str = DEFAULT_MODEL) -> DataFrame:
+def assemble_prompts(questions: DataFrame, *, allow_custom: bool = False, system_prompt: str | None = None, default_model: str = DEFAULT_MODEL, assistant: str = ASSISTANT) -> DataFrame:
     """questions with model, system_prompt, user_prompt and status (`ok`, or `custom prompt not allowed` in place of an error).
 
     Reads question, selected_text, current_context, additional_context, llm_model, system_prompt and the two asked
@@ -43,7 +67,7 @@ def assemble_prompts(questions: DataFrame, *, allow_custom: bool = False, system
     model = F.coalesce(F.nullif(trimmed(F.col("llm_model")), F.lit("")), F.lit(default_model))
     own = F.nullif(trimmed(F.coalesce("system_prompt", F.lit(""))), F.lit(""))
     refused = own.isNotNull() & F.lit(not allow_custom)
-    fallback = (system_prompt or "").strip() or DEFAULT_SYSTEM_PROMPT
+    fallback = (system_prompt or "").strip() or DEFAULT_SYSTEM_PROMPT.format(assistant=assistant)
     shown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(NONE))
     user = F.concat(
         F.lit(QUESTION), F.col("question"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.questions import explicit_year, form_key, names_year_before, question_form, wants_comparison
+from ledgerline.functions.questions import comparison_year, explicit_year, form_key, question_form, wants_comparison
 from ledgerline.functions.text import first_chars
-from ledgerline.operators.catalog import pick_filing, resolve_body
+from ledgerline.operators.catalog import attach, pick_filing, resolve_body
+from ledgerline.sources.staging import staged
 
 # Characters of a second filing's text, and the line above it.
 COMPARISON_CHARS = 60_000
@@ -22,38 +23,34 @@ def plan_comparison(questions: DataFrame) -> DataFrame:
     """
     question, active = F.col("question"), F.col("year").try_cast("int")
     form = F.coalesce(F.nullif(question_form(question), F.lit("")), F.col("form_type"))
-    same = form_key(form) == form_key(F.col("form_type"))
-    # Without a named year, what comparison_year() leaves at the active year or later is clamped to the year before for the
-    # same form, so the same form always means the year before.
-    unnamed = F.when(same | names_year_before(question), active - 1).otherwise(active)
-    asked = F.coalesce(explicit_year(question).try_cast("int"), unnamed)
-    itself = same & (asked == active)
-    wanted = F.coalesce(wants_comparison(question) & active.isNotNull() & ~itself, F.lit(False))
-    asked = questions.withColumns({"_form": form, "_year": asked, "_wanted": wanted})
-    wanted = F.col("_wanted")
-    return asked.select(
-        *questions.columns,
-        wanted.alias("wanted"),
-        F.when(wanted, F.col("_form")).alias("comparison_form"),
-        F.when(wanted, F.col("_year").cast("string")).alias("comparison_year"),
-    )
-
-
-def comparison_context(questions: DataFrame, catalog: DataFrame, bodies: DataFrame, chars: int = COMPARISON_CHARS, planned: bool = False) -> DataFrame:
+    read = questions.withColumns({"_wants": wants_comparison(question), "_named": explicit_year(question), "_form": form, "_active": active})
+    read = read.withColumn("_same", form_key(F.col("_form")) == form_key(F.col("form_type")))
+    read = read.withColumn("_year", comparison_year(question, F.col("year"), F.col("_same")).try_cast("int"))
+    # Without a named year, the active year or a later one is clamped to the year before for the same form.
+    clamped = F.when(F.col("_same") & F.col("_named").isNull() & (F.col("_year") >= F.col("_active")), F.col("_active") - 1).otherwise(F.col("_year"))
+    read = read.withColumn("_year", F.when(F.col("_active").isNotNull(), clamped))
+    itself = F.col("_same") & (F.col("_year") == F.col("_active"))
+    read = read.withColumn("wanted", F.coalesce(F.col("_wants") & F.col("_year").isNotNull() & ~itself, F.lit(False)))
+    return read.select(*questions.columns, "wanted", F.when(F.col("wanted"), F.col("_form")).alias("comparison_form"), F.when(F.col("wanted"), F.col("_year").cast("string")).alias("comparison_year"))
+
+
+def comparison_context(questions: DataFrame, catalog: DataFrame, bodies: DataFrame, chars: int = COMPARISON_CHARS, *, body_key: str = "accession") -> DataFrame:
     """questions with additional_context: label and text of the second filing, or empty.
 
-    Each different (ticker, form, year) is picked once, and each picked body is read and cut once, before the texts
-    meet the questions.
+    The plan is worked out once and staged, so that its patterns are in one small projection. Each different (ticker, form, year) is
+    picked once, and each picked body is read and cut once, before the texts meet the questions. Questions that want nothing have no
+    body; they are spread in that join. A catalog in which several filings share a body names it by body_key.
     """
-    plan = questions if planned else plan_comparison(questions)
-    plan = plan.withColumns({"_ticker": F.upper("ticker"), "_form": F.upper("comparison_form")})
-    # Questions that want nothing have a null form here, which no filing has; a filter on what is computed from the question would
-    # only be computed twice.
-    keys = plan.select(F.col("_ticker").alias("ticker"), F.col("_form").alias("form_type"), F.col("comparison_year").alias("year")).distinct()
-    picked = pick_filing(keys, catalog).where("accession IS NOT NULL").select(F.col("ticker").alias("_ticker"), F.col("form_type").alias("_form"), F.col("year").alias("comparison_year"), "accession")
-    wanted = picked.select("accession").distinct()
-    texts = resolve_body(bodies.join(wanted, "accession", "left_semi")).select("accession", first_chars(F.col("text"), chars).alias("_text"))
+    columns = [*questions.columns, "wanted", "comparison_form", "comparison_year"]
+    plan = staged(plan_comparison(questions).withColumns({"_ticker": F.upper("ticker"), "_form": F.upper("comparison_form")}))
+    keys = plan.where("wanted").select(F.col("_ticker").alias("ticker"), F.col("_form").alias("form_type"), F.col("comparison_year").alias("year")).distinct()
+    picked = pick_filing(keys, catalog).where("accession IS NOT NULL")
+    if body_key != "accession":
+        picked = picked.join(catalog.select("accession", body_key).distinct(), "accession")
+    picked = staged(picked.select(F.col("ticker").alias("_ticker"), F.col("form_type").alias("_form"), F.col("year").alias("comparison_year"), body_key))
+    wanted = bodies.join(picked.select(body_key).distinct(), body_key, "left_semi")
+    texts = resolve_body(wanted).select(body_key, first_chars(F.col("text"), chars).alias("_text"))
+    met = plan.where("wanted").join(picked, ["_ticker", "_form", "comparison_year"], "left").unionByName(plan.where("NOT wanted"), allowMissingColumns=True)
     label = F.format_string(CONTEXT_LABEL, "comparison_form", "comparison_year")
-    met = plan.join(picked, ["_ticker", "_form", "comparison_year"], "left").join(texts, "accession", "left")
     context = F.when(F.col("_text").isNotNull(), F.concat(label, F.col("_text"))).otherwise("")
-    return met.select(*(c for c in plan.columns if c not in ("_ticker", "_form")), context.alias("additional_context"))
+    return attach(met, texts, body_key).select(*columns, context.alias("additional_context"))
