@@ -36,8 +36,8 @@ def comparison_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def comparison_context(spark: SparkSession, sf: str) -> DataFrame:
-    found = questions.comparison_context(fixture(spark, sf, "questions"), fixture(spark, sf, "filing_catalog"), fixture(spark, sf, "catalog_bodies"), 500)
-    return found.select("request_id", "additional_context")
+    found = questions.comparison_context(fixture(spark, sf, "questions"), fixture(spark, sf, "filing_catalog"), fixture(spark, sf, "document_bodies"), body_key="doc_id")
+    return found.select("request_id", F.length("additional_context").cast("long").alias("chars"), F.md5("additional_context").alias("context_md5"))
 
 
 def context_caps(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,10 +80,25 @@ def recent_filings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def restore_key(spark: SparkSession, sf: str) -> DataFrame:
-    events = fixture(spark, sf, "session_events")
-    users = events.select("user_id").distinct()
-    active = events.where("user_id % 3 = 0").groupBy("user_id").agg(F.max_by(F.struct("ticker", "year", "form_type"), F.struct("ts", "seq")).alias("k")).select("user_id", "k.ticker", F.when(F.col("user_id") % 2 == 0, F.col("k.year")).alias("year"), "k.form_type")
-    return sessions.restore_key(users, active, events.where("user_id % 5 <> 0"))
+    return sessions.restore_key(fixture(spark, sf, "known_users"), fixture(spark, sf, "active_keys"), fixture(spark, sf, "session_events"))
+
+
+def session_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    found = sessions.with_session_defaults(fixture(spark, sf, "stored_sessions"))
+    return found.select("user_id", "seq", "document_html", "document_html_partial", F.size("document_anchors").cast("long").alias("anchors"))
+
+
+def chat_settings(spark: SparkSession, sf: str) -> DataFrame:
+    found = prompts.chat_settings(fixture(spark, sf, "stored_settings"))
+    sizes = (F.col(c).cast("long").alias(c) for c in ("current_context_max_chars", "additional_context_max_chars"))
+    return found.select("user_id", "event_id", *sizes, "use_custom_prompt", "custom_prompt")
+
+
+def session_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """Threads of records: selections (click), questions (view) and answers (purchase) of each session."""
+    found = sessions.chat_threads(fixture(spark, sf, "thread_events"), "click", "view", "purchase")
+    shown = F.concat_ws("|", F.transform("messages", lambda m: F.concat_ws(":", m["role"], F.coalesce(m["kind"], F.lit("-")), m["content"], F.coalesce(m["source_quote"], F.lit("-")))))
+    return found.select("user_id", "session_key", "n_messages", F.md5(shown).alias("thread_md5"))
 
 
 def chat_threads(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +123,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         wants_comparison, question_form, question_year, comparison_year, comparison_plan, comparison_context, context_caps, smart_excerpt, chat_prompts, parse_answer,
-        quote_in_text, quote_in_html, latest_sessions, recent_filings, restore_key, chat_threads, session_highlights, switch_merge,
+        quote_in_text, quote_in_html, latest_sessions, recent_filings, restore_key, chat_threads, session_highlights, switch_merge, session_defaults, chat_settings, session_threads,
     )
 }
 
@@ -148,13 +163,13 @@ SELECT request_id, coalesce(wanted, false) AS wanted, CASE WHEN wanted THEN form
 """,
     "comparison_context": f"""
 {with_sql("questions", "filing_catalog")}, {PLAN}, {PICK_SQL}
-SELECT p.request_id, CASE WHEN p.wanted AND d.doc_id IS NOT NULL
-  THEN concat('Additional SEC filing context (', p.form, ', filing_date calendar year ~', CAST(p.cy AS VARCHAR), '):', chr(10), substring({trim_sql("d.text")}, 1, 500)) ELSE '' END AS additional_context
+SELECT request_id, length(c) AS chars, md5(c) AS context_md5 FROM (SELECT p.request_id, CASE WHEN p.wanted AND d.doc_id IS NOT NULL
+  THEN concat('Additional SEC filing context (', p.form, ', filing_date calendar year ~', CAST(p.cy AS VARCHAR), '):', chr(10), substring({trim_sql("d.text")}, 1, {questions.COMPARISON_CHARS})) ELSE '' END AS c
 FROM plan p
 LEFT JOIN in_year a ON a.ticker = upper(p.ticker) AND a.form_type = upper(p.form) AND a.y = p.cy
 LEFT JOIN newest n ON n.ticker = upper(p.ticker) AND n.form_type = upper(p.form) AND n.rn = 1
 LEFT JOIN filing_catalog c ON c.accession = coalesce(a.accession, n.accession)
-LEFT JOIN documents d ON d.doc_id = c.doc_id
+LEFT JOIN documents d ON d.doc_id = c.doc_id)
 """,
     "context_caps": f"{with_sql('chat_requests')} SELECT request_id, CAST(current_cap AS BIGINT) AS current_cap, CAST(additional_cap AS BIGINT) AS additional_cap FROM (SELECT request_id, {CAPS} FROM chat_requests)",
     "smart_excerpt": f"SELECT doc_id, length(e) AS chars, md5(e) AS excerpt_md5 FROM (SELECT doc_id, {EXCERPT.format(t='text', n='6000')} AS e FROM documents)",
@@ -167,7 +182,7 @@ LEFT JOIN documents d ON d.doc_id = c.doc_id
       'Additional context:', chr(10), coalesce(nullif(substring(additional_context, 1, additional_cap), ''), '(none)'), chr(10), chr(10),
       'Output format:', chr(10), 'ANSWER: <answer>', chr(10), 'SOURCE_QUOTE: <quote or none>') AS user_prompt
   FROM capped)
-SELECT request_id, model, CASE WHEN NOT refused THEN '{prompts.DEFAULT_SYSTEM_PROMPT}' END AS system_prompt,
+SELECT request_id, model, CASE WHEN NOT refused THEN '{prompts.DEFAULT_SYSTEM_PROMPT.format(assistant=prompts.ASSISTANT).replace(chr(39), chr(39) * 2)}' END AS system_prompt,
        CASE WHEN refused THEN 'custom prompt not allowed' ELSE 'ok' END AS status,
        CASE WHEN NOT refused THEN length(user_prompt) END AS prompt_chars, CASE WHEN NOT refused THEN md5(user_prompt) END AS prompt_md5
 FROM made
@@ -199,13 +214,32 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_key ORDER BY ts
 """,
     "recent_filings": f"{with_sql('session_events')}, {LAST_USED.format(source='session_events')}, {RECENT} SELECT user_id, place, ticker, year, form_type FROM recent WHERE place <= 12",
     "restore_key": f"""
-{with_sql("session_events")}, part AS (SELECT * FROM session_events WHERE user_id % 5 <> 0), {LAST_USED.format(source="part")}, {RECENT}, active AS (
-  SELECT user_id, arg_max(ticker, (ts, seq)) AS ticker, arg_max(year, (ts, seq)) AS year, arg_max(form_type, (ts, seq)) AS form_type
-  FROM session_events WHERE user_id % 3 = 0 AND user_id % 2 = 0 GROUP BY user_id)
+{with_sql("session_events", "active_keys", "known_users")}, {LAST_USED.format(source="session_events")}, {RECENT}
 SELECT u.user_id, coalesce(a.ticker, r.ticker, '{sessions.DEFAULT_KEY[0]}') AS ticker, coalesce(a.year, r.year, '{sessions.DEFAULT_KEY[1]}') AS year,
        coalesce(a.form_type, r.form_type, '{sessions.DEFAULT_KEY[2]}') AS form_type,
        CASE WHEN a.user_id IS NOT NULL THEN 'active' WHEN r.user_id IS NOT NULL THEN 'recent' ELSE 'default' END AS origin
-FROM (SELECT DISTINCT user_id FROM session_events) u LEFT JOIN active a ON a.user_id = u.user_id LEFT JOIN recent r ON r.user_id = u.user_id AND r.place = 1
+FROM known_users u LEFT JOIN active_keys a ON a.user_id = u.user_id AND a.year IS NOT NULL LEFT JOIN recent r ON r.user_id = u.user_id AND r.place = 1
+""",
+    "session_defaults": f"""
+{with_sql("stored_sessions")}
+SELECT user_id, seq, coalesce(document_html, '') AS document_html, coalesce(document_html_partial, false) AS document_html_partial, coalesce(len(document_anchors), 0) AS anchors FROM stored_sessions
+""",
+    "chat_settings": f"""
+{with_sql("stored_settings")}, s AS (
+  SELECT *, CAST(nullif(regexp_extract(trim(current_max), '^[+-]?[0-9]+'), '') AS DOUBLE) AS c, CAST(nullif(regexp_extract(trim(additional_max), '^[+-]?[0-9]+'), '') AS DOUBLE) AS a,
+         nullif(trim(coalesce(prompt_draft, '')), '') AS draft FROM stored_settings
+), t AS (SELECT *, CASE WHEN use_custom IN ('1', 'true') THEN true WHEN use_custom IN ('0', 'false') THEN false ELSE draft IS NOT NULL END AS used FROM s)
+SELECT user_id, event_id, CAST(greatest(5000, least(120000, coalesce(c, 80000))) AS BIGINT) AS current_context_max_chars, CAST(greatest(0, least(80000, coalesce(a, 60000))) AS BIGINT) AS additional_context_max_chars,
+       used AS use_custom_prompt, CASE WHEN used THEN draft END AS custom_prompt FROM t
+""",
+    "session_threads": f"""
+{with_sql("thread_events")}, e AS (
+  SELECT *, {SESSION_KEY} AS session_key, coalesce(payload, '') AS p, contains(coalesce(payload, ''), 'SOURCE_QUOTE:') AS quoted FROM thread_events WHERE action IN ('click', 'view', 'purchase')
+), m AS (
+  SELECT *, CASE WHEN action = 'purchase' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN action = 'click' THEN 'selection' ELSE '-' END AS kind,
+    CASE WHEN action = 'purchase' AND quoted THEN {trim_sql("replace(split_part(p, 'SOURCE_QUOTE:', 1), 'ANSWER:', '')")} ELSE p END AS content,
+    CASE WHEN action = 'purchase' AND quoted AND lower({trim_sql("split_part(p, 'SOURCE_QUOTE:', 2)")}) <> 'none' THEN coalesce(nullif({trim_sql("split_part(p, 'SOURCE_QUOTE:', 2)")}, ''), '-') ELSE '-' END AS quote FROM e)
+SELECT user_id, session_key, count(*) AS n_messages, md5(string_agg(concat(role, ':', kind, ':', content, ':', quote), '|' ORDER BY ts, seq)) AS thread_md5 FROM m GROUP BY ALL
 """,
     "chat_threads": """
 SELECT conv_id, count(*) AS n_messages, md5(string_agg(concat(role, ':', text), '|' ORDER BY turn)) AS thread_md5 FROM conversations GROUP BY conv_id
