@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+from urllib.parse import unquote
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,14 +28,43 @@ def test_no_body_has_no_anchors(spark):
 
 def test_unclosed_tags_nest_and_end_tags_close_up():
     tree = nodes.Tree("<body><p>a<p>b</body><i>c</i>")
-    assert [(e.tag, e.parent and e.parent.tag) for e in tree.elements] == [("body", None), ("p", "body"), ("p", "p"), ("i", None)]
+    assert [(e.tag, e.element_children, e.inside) for e in tree.elements] == [("body", 1, True), ("p", 1, True), ("p", 0, True), ("i", 0, False)]
     tree = nodes.Tree("<body><div><br>x</span>y</div>")
     assert [(e.tag, e.children) for e in tree.elements] == [("body", 1), ("div", 3), ("br", 0)]
 
 
 def test_text_leaves_out_scripts_and_comments():
     tree = nodes.Tree("<body><p>a&amp;b<!-- c --><script>d</script> e</p></body>")
-    assert tree.text(tree.body()[0]) == "a&b e"
+    assert tree.text(tree.body()[0], 100) == tree.text(tree.body()[0], 5) == "a&b e"
+    assert tree.text(tree.body()[0], 3) == "a&b"
+
+
+def test_text_joins_and_spaced_text_parts():
+    tree = nodes.Tree("<body><td> one<b>two </b>  three\n<i> </i>four</td></body>")
+    cell, bold = tree.body()[:2]
+    assert (tree.text(cell, 99), tree.spaced_text(cell, 99), tree.spaced_text(cell, 7)) == ("onetwo three four", "one two three four", "one two")
+    assert (tree.text(bold, 99), tree.short_text(cell, 16), tree.short_text(cell, 17)) == ("two", None, "onetwo three four")
+
+
+@pytest.mark.parametrize("piece", ["<p>a", "<p>\n", "<p><a href='#x'>Item 1.</a>", "<table><tr id='x'><td><a href='#x'>Item 1", "<h2>Title", "x</span><p>", "<div>Item 2 y<script>", "<td id=k> Item 3. word word"])
+def test_unclosed_tags_take_linear_time(piece):
+    times = {}
+    for n in (20_000, 80_000):
+        html = f"<body>{piece * n}"
+        began = time.process_time()
+        assert sum(1 for _ in nodes.element_rows(html)) + sum(1 for _ in nodes.anchor_element_rows(html)) > 0
+        times[n] = time.process_time() - began
+    assert times[80_000] < 10 * times[20_000] + 0.5
+    assert times[80_000] < 20
+
+
+def test_eight_megabytes_of_unclosed_tags(spark):
+    html = "<body>" + "<p>Item 1. Business" * 420_000
+    assert len(html) > 7_900_000
+    began = time.monotonic()
+    df = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    assert anchors.build_outline(df).count() == 1  # every line but the last goes on to the end of the document, so is not short
+    assert time.monotonic() - began < 60
 
 
 def test_last_attribute_counts():
@@ -53,6 +87,31 @@ def test_item_lines(spark):
     assert got == [("sec-item-item-1-business", "Item 1. Business", 1, "item"), ("s", "ITEM 1B. STAFF", 1, "item")]
 
 
+def test_bare_links_take_the_heading_of_their_target(spark):
+    toc = "<a href='#A'>Item 1.</a><a href='#b'>Item 2</a><a href='#c'>Item 3</a><a href='#d'> Item 4 . </a><a href='#%65'>Item 5</a><a href='# f '>Item 6: plan</a><a href='#'>x</a>"
+    body = "<table><tr><td id='a'>Item 1</td><td>Business</td></tr></table><a name=' b '></a><p id='c'><b>Item</b> 3. <i>Legal</i> Item 4. Next</p><div><div id='d'>nothing</div></div><p id='e'>Item 5 ..... 12</p>"
+    got = {x[0]: x[1] for x in outline(spark, f"<body>{toc}{body}</body>") if x[3] == "toc"}
+    assert got == {"A": "Item 1. Business", "b": "Item 2", "c": "Item 3. Legal", "d": "Item 4 .", "e": "Item 5 ....", "f": "Item 6: plan"}
+
+
+def test_item_lines_with_ids_that_are_taken(spark):
+    got = outline(spark, "<body><a href='#x'>Link</a><p id='x'>Item 1. One</p><p id='y'>Item 2. Two</p><p id='y'>Item 3. Two</p><p id=' '>Item 4. Four</p><p>Item 4. Four</p><h1 id='z'>Z</h1><p id='z'>Item 5. Five</p></body>")
+    assert [(x[0], x[3]) for x in got] == [("x", "toc"), ("z", "heading"), ("y", "item"), ("sec-item-item-4-four-2", "item")]
+
+
+def test_outline_shuffles_once(spark):
+    df = spark.createDataFrame([(1, "<body><h1>A</h1></body>")], "doc_id long, html string")
+    plan = anchors.build_outline(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 + plan.count("ReusedExchange") + plan.count("BroadcastExchange") or plan.count("MapInPandas") == plan.count("Exchange hashpartitioning(doc_id")
+
+
+def test_richer_label_folds_case(spark):
+    rows = [(1, 1, 1, "b", "Item 1. Strasza", 1, "toc"), (1, 1, 2, "c", "Item 1. Straßex", 1, "toc")]
+    df = spark.createDataFrame(rows, "doc_id long, pass int, seq int, id string, label string, level int, source string")
+    assert anchors.merge_items(anchors.with_item_keys(df)).first()["id"] == "c"  # strassex comes before strasza
+    assert one(spark, tx.case_folded, "ΟΔΟΣ ẞß") == "οδοσ ssss"
+
+
 def test_items_are_cut_last(spark):
     got = outline(spark, "<body><p>Item 10. Tenth</p><p>Item 2. Second</p><h1>First</h1></body>")
     assert [x[0] for x in got] == ["first", "sec-item-item-2-second", "sec-item-item-10-tenth"]
@@ -62,17 +121,40 @@ def test_items_are_cut_last(spark):
 
 @pytest.mark.parametrize(
     ("fragment", "start"),
-    [("i1", "<a name"), ("##i1", "<a name"), (" i1 ", "<a name"), ("I1A", '<p id="i1a"'), ("i1%61", '<p id="i1a"'), ("I7", "<div id='i7'"), ("", None), ("#", None), ("zzz", None)],
+    [("i0", "<a name"), ("##i0", "<a name"), (" i0 ", "<a name"), ("I2", '<p id="i2"'), ("i%32", '<p id="i2"'), ("I7", "<div id='i7'"), ("", None), ("#", None), ("zzz", None)],
 )
 def test_fragments(spark, tables, fragment, start):
     html = fixture(spark, tables, "filing_html").where("doc_id = 0").first()["html"]
-    at = sections.fragment_start(html, fragment)
+    at = sections.fragment_starts(html, [fragment])[0]
     assert at is None if start is None else html[at:].startswith(start)
 
 
-def test_double_quotes_go_first():
-    html = "<p id='x'>a</p><p id=\"x\">b</p>"
-    assert html[sections.fragment_start(html, "x") :].startswith('<p id="x"')
+def test_double_quotes_go_first_then_single_then_alike():
+    html = "<p id='X '>0</p><p name=' x'>1</p><p id='x'>2</p><p data-id=\"y\">3</p><p dataid=\"x\">4</p><p dataid='z'>5</p><p ID = \"X\">6</p><p id=\"y\">7"
+    starts = sections.fragment_starts(html, ["x", "y", "z", "w", "X%20"])
+    assert [None if at is None else html[at : html.index("<", at + 1)][-1] for at in starts] == ["6", "3", "5", None, "0"]
+    assert sections.fragment_starts("id='a'", ["a"]) == [0] and sections.fragment_starts("", ["a", ""]) == [None, None]
+
+
+def by_searches(html, fragment):
+    """The rule said as searches over the whole html, one after the other."""
+    wanted = unquote(fragment.strip().lstrip("#"))
+    if not wanted:
+        return None
+    for pattern in (r'\b(?:id|name)\s*=\s*"%s"', r"(?:id|name)\s*=\s*'%s'"):
+        if found := re.search(pattern % re.escape(wanted), html, re.I):
+            break
+    else:
+        found = next((m for m in re.finditer(r"""\b(?:id|name)\s*=\s*["']([^"']+)["']""", html, re.I) if m[1].strip().lower() == wanted.lower()), None)
+    return None if found is None else max(html.rfind("<", 0, found.start()), -1) if html.rfind("<", 0, found.start()) >= 0 else found.start()
+
+
+def test_one_scan_finds_what_searches_find():
+    rng = random.Random(3)
+    for _ in range(3000):
+        html = "".join(rng.choice(["<p ", "id=", "name =", " ID= ", "data-id=", "xname=", '"a"', "'a'", "'A '", '"b"', "' b'", '"', "'", ">", "a", "b"]) for _ in range(rng.randint(1, 14)))
+        for fragment in ("a", "B", "#a"):
+            assert sections.fragment_starts(html, [fragment]) == [by_searches(html, fragment)], html
 
 
 def test_second_candidate_is_the_body(spark):
@@ -106,18 +188,16 @@ def one(spark, column, value):
 )
 def test_heading_lines(spark, label, heading):
     assert one(spark, tx.item_heading, label) == heading
-    assert nodes.heading_line(label) == heading
 
 
 @pytest.mark.parametrize(("label", "bare"), [("Item 1.", True), ("Item 1A —", True), ("Item 1. AB", True), ("Item 1. Bus", False), ("Note 1", False)])
 def test_bare_labels(spark, label, bare):
     assert one(spark, tx.is_bare_item_label, label) is bare
-    assert nodes.is_bare(label) is bare
 
 
 @pytest.mark.parametrize(("label", "slug"), [("Management's \"Plan\" — 2024", "managements-plan-2024"), ("***", "section")])
 def test_slugs(spark, label, slug):
-    assert one(spark, tx.slugify, label) == nodes.slug(label) == slug
+    assert one(spark, tx.slugify, label) == slug
 
 
 def test_unicode_space_is_space(spark):

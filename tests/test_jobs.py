@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import random
+import subprocess
+import sys
 
-from ledgerline.operators import catalog, sessions
+import numpy as np
+import pytest
+
+from ledgerline.operators import catalog, prompts, sessions
+from ledgerline.plans import filings, research
+from ledgerline.sources import staging
 from ledgerline.sources import tables as src
 from ledgerline.streaming import sessions as streams
 
 T0 = dt.datetime(2024, 1, 1)
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def at(seconds):
@@ -57,6 +67,43 @@ def test_cache_is_not_renewed_by_hits(spark):
     assert got[99] is False
 
 
+def test_cache_replay_keeps_every_request(spark):
+    rows = [("k", 1, at(0), "x"), ("k", 1, at(10), "y"), ("k", None, at(20), "z"), (None, None, at(0), "n"), (None, 5, at(1), "m"), ("k", 7, None, "t"), ("", 9, at(5), "e")]
+    df = spark.createDataFrame(rows, "k string, request_id long, ts timestamp, id string")
+    got = {r["id"]: r["cached"] for r in sessions.replay_cache(df, ["k"]).collect()}
+    assert got == {"x": False, "y": True, "z": True, "n": False, "m": True, "t": False, "e": False}
+    assert sessions.replay_cache(df, ["k"]).columns == [*df.columns, "cached"]
+    assert sessions.replay_cache(df.where("false"), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("spread", [200, 3_000, 400_000])
+def test_cache_replay_of_a_hot_key_in_many_ranges(spark, spread):
+    rng = random.Random(spread)
+    rows = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(6)}", n, at(rng.randrange(spread))) for n in range(3000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        df = spark.createDataFrame(rows, "k string, request_id long, ts timestamp")
+        got = {r["request_id"]: r["cached"] for r in sessions.replay_cache(df, ["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for key in {r[0] for r in rows}:
+        own = sorted((r[2], r[1]) for r in rows if r[0] == key)
+        assert [got[n] for _, n in own] == replayed([(t - T0).total_seconds() for t, _ in own])
+
+
+def test_steps_of_a_stretch_say_its_last_load():
+    rng = random.Random(2)
+    for _ in range(300):
+        times = sorted(rng.randrange(60) for _ in range(rng.randint(1, 25)))
+        until, exits = sessions._steps(np.array(times), 7)
+        for before in range(-20, 60):
+            loaded = before
+            for t in times:
+                loaded = t if t - loaded >= 7 else loaded
+            place = int(np.searchsorted(until, before + 7))
+            assert loaded == (exits[place] if place < len(until) else before)
+
+
 def test_threads_keep_every_message_in_order(spark):
     df = spark.createDataFrame([("s", 2, "b"), ("s", 1, "a"), ("s", 3, "b")], "k string, seq int, text string")
     row = sessions.threads(df, ["k"]).first()
@@ -80,6 +127,27 @@ def test_session_store_survives_a_second_run(spark, tmp_path):
     assert got == [(1, "session:T:2020:10-K", "y"), (2, "session:T:2020:10-K", "z")]
 
 
+def test_session_store_merges_parts_and_never_loses_one(spark, tmp_path):
+    out = str(tmp_path / "store")
+    wanted = {}
+    for n in range(9):
+        rows = [(n % 4, n, at(n), "t", "2020", "10-K", "a", f"p{n}"), (7, n, at(100 - n), "t", "2020", "10-K", "a", f"q{n}")]
+        streams.upsert_sessions(spark.createDataFrame(rows, EVENTS), out, most_parts=3)
+        wanted |= {n % 4: f"p{n}", 7: "q0"}
+        assert {r["user_id"]: r["payload"] for r in streams.read_sessions(spark, out).collect()} == wanted
+        assert len([x for x in os.listdir(out) if x.startswith("part=")]) <= 4
+    streams.upsert_sessions(spark.createDataFrame([(7, 8, at(92), "t", "2020", "10-K", "a", "q8")], EVENTS), out)  # a batch that is repeated
+    assert {r["user_id"]: r["payload"] for r in streams.read_sessions(spark, out).collect()} == wanted
+
+
+def test_session_store_outlives_its_checkpoint(spark, tmp_path):
+    source, out = (str(tmp_path / x) for x in ("in", "out"))
+    for n, check in enumerate(("one", "two")):
+        spark.createDataFrame([(n, 1, at(n), "t", "2020", "10-K", "a", "x")], EVENTS).write.parquet(f"{source}{n}")
+        streams.store_sessions(spark.readStream.schema(EVENTS).parquet(f"{source}{n}"), out, str(tmp_path / check)).awaitTermination()
+    assert {r["user_id"] for r in streams.read_sessions(spark, out).collect()} == {0, 1}
+
+
 def test_cache_stream_equals_the_batch(spark, tmp_path):
     seconds = [0, 599, 600, 1100, 1300, 5000]
     df = spark.createDataFrame([("k", n, at(s)) for n, s in enumerate(seconds)], "k string, request_id long, ts timestamp")
@@ -89,3 +157,54 @@ def test_cache_stream_equals_the_batch(spark, tmp_path):
     query.awaitTermination()
     got = {r["request_id"]: r["cached"] for r in spark.table("flags").collect()}
     assert [got[n] for n in range(len(seconds))] == replayed(seconds)
+
+
+def test_attach_spreads_rows_without_a_key(spark):
+    rows = spark.createDataFrame([(n, None if n % 3 else n) for n in range(300)], "n long, k long")
+    found = spark.createDataFrame([(k, f"v{k}") for k in range(0, 300, 3)] + [(None, "never")], "k long, v string")
+    got = {r["n"]: r["v"] for r in catalog.attach(rows, found, "k").collect()}
+    assert got == {n: None if n % 3 else f"v{n}" for n in range(300)}
+
+
+def test_pack_of_an_empty_catalog_and_bodies_read_once(spark):
+    asked = spark.createDataFrame([("t", "2020", "10-k"), ("t", "2020", "10-k"), ("u", "2020", "10-K")], "ticker string, year string, form_type string")
+    listed = spark.createDataFrame([(1, "T", "10-K", dt.date(2020, 1, 1), 5), (2, "T", "10-K", dt.date(2019, 1, 1), 5)], "accession long, ticker string, form_type string, filing_date date, body long")
+    bodies = spark.createDataFrame([(5, "<body><h1>One</h1>text</body>", None, None), (6, "x", None, None)], "body long, html string, text string, markdown string")
+    got = catalog.filing_pack(asked, listed, bodies, body_key="body").collect()
+    assert sorted((r["ticker"], r["accession"] or 0, r["text"] or "", [a["id"] for a in r["anchors"] or []]) for r in got) == [("T", 1, "One text", ["one"]), ("T", 1, "One text", ["one"]), ("U", 0, "", [])]
+    assert catalog.filing_pack(asked, listed.where("false"), bodies, body_key="body").where("text IS NULL").count() == 3
+
+
+@pytest.mark.parametrize(
+    ("stored", "wanted"),
+    [
+        ((None, None, None, None), (80_000, 60_000, False, None)), (("12k", "-3", "1", " Be brief. "), (12_000 - 7_000, 0, True, "Be brief.")), ((" +90000.5", "x", "0", "Be brief."), (90_000, 60_000, False, None)),
+        (("999999999999999999999", "1e9", "maybe", "Draft"), (120_000, 1, True, "Draft")), (("", "", "true", "  "), (80_000, 60_000, True, None)), (("6000", "80001", None, "  "), (6_000, 80_000, False, None)),
+    ],
+)
+def test_chat_settings(spark, stored, wanted):
+    df = spark.createDataFrame([stored], "current_max string, additional_max string, use_custom string, prompt_draft string")
+    row = prompts.chat_settings(df).first()
+    assert (row["current_context_max_chars"], row["additional_context_max_chars"], row["use_custom_prompt"], row["custom_prompt"]) == wanted
+
+
+def test_chat_threads_hold_records(spark):
+    rows = [(1, 3, at(3), "t", "2020", "10-k", "answer", "ANSWER: yes SOURCE_QUOTE: so it is"), (1, 1, at(1), "T", "2020", "10-K", "select", "picked"), (1, 2, at(2), "T", "2020", "10-K", "ask", "why?"), (1, 4, at(4), "T", "2020", "10-K", "open", "x"), (1, 5, at(5), "T", "2020", "10-K", "answer", None)]
+    found = sessions.chat_threads(spark.createDataFrame(rows, EVENTS), "select", "ask", "answer").collect()
+    assert len(found) == 1 and found[0]["n_messages"] == 4
+    assert [(m["role"], m["kind"], m["content"], m["source_quote"]) for m in found[0]["messages"]] == [("user", "selection", "picked", None), ("user", None, "why?", None), ("assistant", None, "yes", "so it is"), ("assistant", None, "", None)]
+
+
+def test_stages_are_deleted_at_the_end_of_their_block(spark):
+    with staging.stages(spark) as own:
+        df = staging.staged(spark.range(5))
+        kept = staging.staged(df)
+        paths = [p.removeprefix("file://") for p in own]
+        own.pop()
+    assert [os.path.isdir(p) for p in paths] == [False, True] and kept.count() == 5
+
+
+def test_core_is_registered_without_what_the_subpackage_needs():
+    blocked = "import sys; sys.modules['ahocorasick'] = None; sys.modules['ledgerline.llm.queries'] = None; import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries())[:1])"
+    got = subprocess.run([sys.executable, "-c", blocked], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert got.stdout.split()[0] == str(len(filings.QUERIES) + len(research.QUERIES)), got.stderr
