@@ -2,66 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.sources.staging import shared_folder, staged, stages  # noqa: F401  (for the operators)
+
 # Whole texts reach Python in Arrow batches, which Spark bounds by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by
 # default) as well as by rows; so no operator has to change a setting of the session.
 
-_OWN_FOLDER: list[str] = []
-_STAGES: ContextVar[list[str] | None] = ContextVar("stages", default=None)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset and Spark runs on this machine alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="spark-ledgerline-"))
-    return _OWN_FOLDER[0]
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: lineage ends here, so a lost executor costs a read."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    own = _STAGES.get()
-    if own is not None:
-        own.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def stages(spark: SparkSession) -> Iterator[list[str]]:
-    """The paths that staged() writes within the block. All are deleted at its end, but for those that the block takes off the list.
-
-    For callers that write an operator's result and need its staged tables no longer. Blocks may be nested, and run in several threads.
-    """
-    own: list[str] = []
-    token = _STAGES.set(own)
-    try:
-        yield own
-    finally:
-        _STAGES.reset(token)
-        for name in own:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_crc32(column) -> F.Column:
     """CRC-32 of an id written as text, the number that folds are made from; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
