@@ -36,16 +36,15 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
 
+def digests(norm: Column) -> dict[str, Column]:
+    """What a normalised text is known by: the columns of KEY."""
+    return {"digest": F.unhex(F.sha2(norm, 256)), "digest2": F.xxhash64(norm), "n_bytes": F.octet_length(norm)}
+
+
 def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One narrow row a document: identifier, digests of the normalised text, and the run (input partition) it is in."""
     norm = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    return norm.select(
-        "id",
-        F.unhex(F.sha2("norm", 256)).alias("digest"),
-        F.xxhash64("norm").alias("digest2"),
-        F.octet_length("norm").alias("n_bytes"),
-        F.spark_partition_id().alias("run"),
-    )
+    return norm.select("id", *(c.alias(n) for n, c in digests(F.col("norm")).items()), F.spark_partition_id().alias("run"))
 
 
 def leaf_entries(runs: DataFrame) -> DataFrame:
@@ -69,12 +68,31 @@ def merge_tree(entries: DataFrame, n_runs: int, fan_in: int = 2) -> DataFrame:
             return entries
 
 
+def root_run(runs: DataFrame, fan_in: int = 2) -> DataFrame:
+    """(*KEY, keep_id, group_size): the root run over staged digest runs.
+
+    Staged as well, so that a join with it has a plain shuffle on both sides, of which Spark can split the rows of a hot digest.
+    """
+    n_runs = (runs.agg(F.max("run").alias("last")).first()["last"] or 0) + 1
+    return staged(merge_tree(leaf_entries(runs), n_runs, fan_in).select(*KEY, F.col("kept.id").alias("keep_id"), "group_size"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one of each group of equal texts: a row with the largest identifier, null only if all are.
+
+    Rows that repeat identifier and text collapse on the map side; the texts are shuffled once.
+    """
+    root = root_run(staged(digest_runs(docs, id_col, text_col)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id")).alias("own"), normalised(F.col(text_col)).alias("norm"))
+    single = rows.select("row", "own", *(c.alias(n) for n, c in digests(F.col("norm")).items())).dropDuplicates(["own", *KEY])
+    wanted = root.select(F.struct(F.col("keep_id").alias("id")).alias("own"), *KEY)
+    return single.join(wanted.hint("merge"), ["own", *KEY], "left_semi").select("row.*")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row; of equal texts the largest identifier is kept."""
     runs = staged(digest_runs(docs, id_col, text_col))
-    n_runs = (runs.agg(F.max("run").alias("last")).first()["last"] or 0) + 1
-    # Read back, so that the join has a plain shuffle on both sides, of which Spark can split the rows of a hot digest.
-    root = staged(merge_tree(leaf_entries(runs), n_runs, fan_in).select(*KEY, F.col("kept.id").alias("keep_id"), "group_size"))
+    root = root_run(runs, fan_in)
     joined = runs.drop("run").join(root, KEY)
     return joined.select(
         F.col("id").alias(id_col),
