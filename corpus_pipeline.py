@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages, each working on all that the stage before kept.
 
 The first four filter and return the columns of documents; the last one packs what is left. The classifiers carry the whole
-row past their decision. The dedup stages decide on rows, not on identifiers: they give each row a key and write the table with it once, so
-that texts which share an identifier, and rows without one, are told apart.
+row past their decision. The dedup stages decide on rows, not on identifiers, so that texts which share an identifier, and rows without one, are
+told apart: exact dedup by identifier and text, near dedup by a key that each row gets in a table written once.
 
 Cases, for every stage: an empty table gives an empty one. Other columns of docs are carried along whatever their names.
 
@@ -29,16 +29,6 @@ from ledgerline.llm.common import staged, stages, table
 LEAST_LIKENESS = 0.05
 
 
-def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """(row_key, doc, *columns): every row of docs under a key of its own, written once so that the key is the same whenever it is read."""
-    return staged(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*docs.columns).alias("doc"), *columns))
-
-
-def _kept(keyed: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose keys (row_key) are kept; those grow with the corpus and are never broadcast."""
-    return keyed.select("row_key", "doc").join(staged(kept).hint("merge"), "row_key", "left_semi").select("doc.*")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = op10_quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -55,19 +45,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    keyed = _keyed(docs)
-    named = keyed.select(F.struct("doc.doc_id", "row_key").alias("key"), "doc.text")
-    found = op7_exact_dedup.exact_duplicates(named, id_col="key")
-    return _kept(keyed, found.where("kept").select("key.row_key"))
+    return op7_exact_dedup.one_of_each(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates."""
-    keyed = _keyed(docs)
+    keyed = staged(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*docs.columns).alias("doc")))
     found = op4_near_dedup.near_duplicates(keyed.select("row_key", "doc.text"), id_col="row_key").select("row_key", "component_id")
     ids = keyed.select("row_key", "doc.doc_id").join(found, "row_key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first")
-    return _kept(keyed, ids.groupBy("component_id").agg(first).select("first.row_key"))
+    kept = staged(ids.groupBy("component_id").agg(first).select("first.row_key"))
+    return keyed.join(kept.hint("merge"), "row_key", "left_semi").select("doc.*")  # kept grows with the corpus and is never broadcast
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
