@@ -58,7 +58,7 @@ def heading_ctes(name: str, source: str, column: str) -> str:
 
 def _filings(spark: SparkSession, sf: str) -> DataFrame:
     """The derived filings, written as a table of html would be: html that is read several times is not made as often."""
-    return staged(fixture(spark, sf, "filing_html").select("doc_id", "html"))
+    return staged(fixture(spark, sf, "filing_html").select("doc_id", "html").repartition("doc_id"))
 
 
 def normalize_filing_key(spark: SparkSession, sf: str) -> DataFrame:
