@@ -13,6 +13,9 @@ from ledgerline.llm import (
     op8_license_scan,
     op9_language_id,
     op10_quality,
+    op11_spelling,
+    op12_conversation_repair,
+    op13_secret_scan,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan.op8_license_scan,
     "op9_language_id": op9_language_id.op9_language_id,
     "op10_quality_classifier": op10_quality.op10_quality_classifier,
+    "op11_spelling_variants": op11_spelling.op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair.op12_conversation_repair,
+    "op13_secret_scan": op13_secret_scan.op13_secret_scan,
 }
 
 ORACLE_SQL = {
