@@ -198,22 +198,27 @@ class Automaton:
         """Whether a value is of a length that was learned from, and each of its symbols somewhere led on."""
         return self.shortest <= len(value) <= self.longest and self.anywhere.keys() >= set(value)
 
+    def _bits(self, at: int, count: int) -> float:
+        """-log2 of the share of a step or end that was taken so often in a state. As many as were different there are set aside for those never taken."""
+        different = len(self.used[at]) + (self.ended[at] > 0)
+        seen = self.reached[at] + max(1, different)
+        return math.log2(seen / count) if count else math.log2(seen / max(1, different) * max(1, SYMBOLS + 1 - different))
+
     def bits(self, value: str) -> float:
         """-log2 of the likelihood of a value.
 
-        Steps and ends that were never taken have a small share of every state; behind such a step, the automaton goes on where the symbol led
-        most often, or else all symbols are as likely, whichever says more.
+        Behind a step that was never taken, the automaton goes on where the symbol led most often, or else all symbols are as likely,
+        whichever says more.
         """
-        at, total, even = 0, 0.0, math.log2(SYMBOLS + 1)
-        least = math.inf
+        at, total, even, least = 0, 0.0, math.log2(SYMBOLS + 1), math.inf
         for k, symbol in enumerate(value, 1):
-            total -= math.log2((self.used[at].get(symbol, 0) + 1 / (SYMBOLS + 1)) / (self.reached[at] + 1))
+            total += self._bits(at, self.used[at].get(symbol, 0))
             if symbol in self.step[at]:
                 at = self.step[at][symbol]
             else:
                 least = min(least, total + (len(value) - k) * even)
                 at = self.anywhere.get(symbol, at)
-        return min(least, total - math.log2((self.ended[at] + 1 / (SYMBOLS + 1)) / (self.reached[at] + 1)))
+        return min(least, total + self._bits(at, self.ended[at]))
 
 
 def infer(values: Iterable[str], alpha: float = ALPHA) -> Automaton:
