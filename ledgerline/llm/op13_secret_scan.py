@@ -161,7 +161,7 @@ class Automaton:
                     todo.append((own, after))
 
     def merge(self, alpha: float = ALPHA) -> Automaton:
-        """Merges compatible states. Settled states grow from the root; each state that one of them leads to joins the first that it agrees with, or settles."""
+        """Merges compatible states. Settled states grow from the root; each state that one of them leads to joins the one, of those that it agrees with, that expects its steps most, or settles."""
         width = math.sqrt(0.5 * math.log(2 / alpha))
         settled, known, open_at = [0], {0}, 0
         while open_at < len(settled):
@@ -170,7 +170,7 @@ class Automaton:
                 b = self.step[a][symbol]
                 if b in known:
                     continue
-                into = next((r for r in settled if self.compatible(r, b, width)), None)
+                into = min((r for r in settled if self.compatible(r, b, width)), key=lambda r: self._surprise(r, b), default=None)
                 if into is None:
                     settled.append(b)
                     known.add(b)
@@ -204,6 +204,10 @@ class Automaton:
         seen = self.reached[at] + max(1, different)
         return math.log2(seen / count) if count else math.log2(seen / max(1, different) * max(1, SYMBOLS + 1 - different))
 
+    def _surprise(self, a: int, b: int) -> float:
+        """-log2 of the likelihood of what left and ended in b by the shares of a."""
+        return sum(n * self._bits(a, self.used[a].get(s, 0)) for s, n in self.used[b].items()) + self.ended[b] * self._bits(a, self.ended[a])
+
     def bits(self, value: str) -> float:
         """-log2 of the likelihood of a value.
 
