@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.questions import comparison_year, explicit_year, form_key, question_form, wants_comparison
 from ledgerline.functions.text import first_chars
-from ledgerline.operators.catalog import attach, pick_filing, resolve_body
+from ledgerline.operators.catalog import attach, in_folders, pick_filing, resolve_body
 from ledgerline.sources.staging import staged
 
 # Characters of a second filing's text, and the line above it.
@@ -34,23 +34,25 @@ def plan_comparison(questions: DataFrame) -> DataFrame:
     return read.select(*questions.columns, "wanted", F.when(F.col("wanted"), F.col("_form")).alias("comparison_form"), F.when(F.col("wanted"), F.col("_year").cast("string")).alias("comparison_year"))
 
 
-def comparison_context(questions: DataFrame, catalog: DataFrame, bodies: DataFrame, chars: int = COMPARISON_CHARS, *, body_key: str = "accession") -> DataFrame:
+def comparison_context(questions: DataFrame, catalog: DataFrame, bodies: DataFrame, chars: int = COMPARISON_CHARS, *, body_key: str = "accession", folders: tuple[str, ...] = ()) -> DataFrame:
     """questions with additional_context: label and text of the second filing, or empty.
 
     The plan is worked out once and staged, so that its patterns are in one small projection. Each different (ticker, form, year) is
-    picked once, and each picked body is read and cut once, before the texts meet the questions. Questions that want nothing have no
-    body; they are spread in that join. A catalog in which several filings share a body names it by body_key.
+    picked once, and each picked body is read and cut once, before the texts meet the questions. Questions that want nothing, or find nothing, pass
+    that join by. body_key and folders are as in filing_pack().
     """
     columns = [*questions.columns, "wanted", "comparison_form", "comparison_year"]
     plan = staged(plan_comparison(questions).withColumns({"_ticker": F.upper("ticker"), "_form": F.upper("comparison_form")}))
     keys = plan.where("wanted").select(F.col("_ticker").alias("ticker"), F.col("_form").alias("form_type"), F.col("comparison_year").alias("year")).distinct()
-    picked = pick_filing(keys, catalog).where("accession IS NOT NULL")
-    if body_key != "accession":
-        picked = picked.join(catalog.select("accession", body_key).distinct(), "accession")
-    picked = staged(picked.select(F.col("ticker").alias("_ticker"), F.col("form_type").alias("_form"), F.col("year").alias("comparison_year"), body_key))
-    wanted = bodies.join(picked.select(body_key).distinct(), body_key, "left_semi")
+    shared = () if body_key == "accession" else (body_key,)
+    picked = pick_filing(keys, catalog, (*shared, *folders)).where("match_kind <> 'none'").withColumnRenamed(f"filed_{body_key}", body_key)
+    filed = {f"filed_{c}": c for c in folders}
+    picked = staged(picked.select(F.col("ticker").alias("_ticker"), F.col("form_type").alias("_form"), F.col("year").alias("comparison_year"), body_key, "match_kind", *filed))
+    near = in_folders(bodies, picked, filed) if folders else bodies
+    picked = picked.drop("match_kind", *filed)
+    wanted = near.select(body_key, "html", "text", "markdown").join(picked.select(body_key).distinct(), body_key, "left_semi")
     texts = resolve_body(wanted).select(body_key, first_chars(F.col("text"), chars).alias("_text"))
-    met = plan.where("wanted").join(picked, ["_ticker", "_form", "comparison_year"], "left").unionByName(plan.where("NOT wanted"), allowMissingColumns=True)
     label = F.format_string(CONTEXT_LABEL, "comparison_form", "comparison_year")
+    met = attach(plan.where("wanted").join(picked, ["_ticker", "_form", "comparison_year"], "left"), texts, body_key)
     context = F.when(F.col("_text").isNotNull(), F.concat(label, F.col("_text"))).otherwise("")
-    return attach(met, texts, body_key).select(*columns, context.alias("additional_context"))
+    return met.select(*columns, context.alias("additional_context")).unionByName(plan.where("NOT wanted").select(*columns, F.lit("").alias("additional_context")))

@@ -14,6 +14,8 @@ from ledgerline.sources.staging import staged
 from ledgerline.sources.tables import latest_by_key
 
 RECENTS, TTL_SECONDS = 12, 600
+#: Messages of a page of a thread.
+PAGE_MESSAGES = 100
 KEY = ["ticker", "year", "form_type"]
 # Fixed value: the filing that a new user sees first.
 DEFAULT_KEY = ("CHGG", "2026", "10-K")
@@ -54,11 +56,38 @@ def restore_key(users: DataFrame, active: DataFrame, events: DataFrame, default:
 
 
 def threads(messages: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
-    """(*key, n_messages, messages): the ordered messages of each session, none left out."""
+    """(*key, n_messages, messages): the ordered messages of each session, none left out, in one row. thread_pages() is for sessions of any length."""
     rest = [c for c in messages.columns if c not in (*key, order)]
     return messages.groupBy(*key).agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct(order, *rest))).alias("messages"))
 
 
+def thread_pages(messages: DataFrame, key: list[str], order: list[str], size: int = PAGE_MESSAGES) -> DataFrame:
+    """(*key, page, first, n_messages, messages): each session's messages in order, `size` of them a row; page counts from 0, first from 1.
+
+    No session is gathered anywhere, however long: messages are dealt by ranges of key and order, and numbered by counts at two levels,
+    within a range and over the ranges of a session. A page that goes on from one range to the next is put together from its pieces; the sessions
+    that do so are at most one for each pair of ranges. Messages that are equal in order keep the order of their ranges.
+    """
+    rest = [c for c in messages.columns if c not in key]
+    ranged = staged(messages.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    name = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})  # a null field differs from every value
+    named = ranged.withColumn("_name", name)
+    counts = named.groupBy("_name", "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    own = Window.partitionBy("_name").orderBy("_part")
+    before = F.coalesce(F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    split = F.count("*").over(Window.partitionBy("_name")) > 1
+    ranges = staged(counts.select("_name", "_part", "_first", before.alias("_before"), split.alias("_split")))
+    number = F.col("_place") - F.col("_first") + F.col("_before")
+    placed = named.join(ranges, ["_name", "_part"]).withColumn("page", F.floor(number / size))
+    message = F.struct("_place", F.struct(*rest).alias("message"))
+    pieces = placed.groupBy("_name", "_part", *key, "page", "_split").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    pieces = pieces.withColumn("messages", F.transform("messages", lambda m: m["message"]))
+    whole = pieces.where("NOT _split").select(*key, "page", "messages")
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "messages"))), lambda p: p["messages"]))
+    pages = whole.unionByName(pieces.where("_split").groupBy("_name", *key, "page").agg(joined.alias("messages")).drop("_name"))
+    return pages.select(*key, "page", (F.col("page") * size + 1).alias("first"), F.size("messages").alias("n_messages"), "messages")
+
+
 def selection_effects(events: DataFrame, action: str) -> DataFrame:
     """Each selection event as its three effects: a highlight, the selected text, and a user message of kind `selection`."""
     made = F.array(*(F.lit(e) for e in ("highlight", "message", "selected_text")))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as tx
 from ledgerline.operators import anchors, catalog, nodes, sections, sessions
 from ledgerline.plans.fixtures import MANY, PARTS, fixture, item_text, part, toc_label, with_sql
-from ledgerline.sources.staging import staged
+from ledgerline.sources.staging import scratch, staged
+from ledgerline.sources.tables import write_filings
 
 HEAD = 2000
 
@@ -71,10 +72,10 @@ def pick_filing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PICK_SQL = """
-by_year AS (
-  SELECT ticker, form_type, year(filing_date) AS y, max(filing_date) AS d FROM filing_catalog GROUP BY ALL
+listed AS (SELECT upper(ticker) AS ticker, upper(form_type) AS form_type, filing_date, accession FROM filing_catalog), by_year AS (
+  SELECT ticker, form_type, year(filing_date) AS y, max(filing_date) AS d FROM listed GROUP BY ALL
 ), in_year AS (
-  SELECT c.ticker, c.form_type, b.y, max(c.accession) AS accession, b.d FROM by_year b JOIN filing_catalog c
+  SELECT c.ticker, c.form_type, b.y, max(c.accession) AS accession, b.d FROM by_year b JOIN listed c
   ON c.ticker = b.ticker AND c.form_type = b.form_type AND c.filing_date = b.d GROUP BY ALL
 ), newest AS (
   SELECT ticker, form_type, accession, d, row_number() OVER (PARTITION BY ticker, form_type ORDER BY d DESC) AS rn FROM in_year
@@ -98,7 +99,19 @@ def html_head_slice(spark: SparkSession, sf: str) -> DataFrame:
 def filing_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Requests with the outlined html filings that they pick, whole."""
     bodies = _filings(spark, sf).select("doc_id", "html", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("markdown"))
-    pack = catalog.filing_pack(fixture(spark, sf, "filing_requests"), fixture(spark, sf, "filing_catalog"), bodies, body_key="doc_id")
+    return _shown_pack(catalog.filing_pack(fixture(spark, sf, "filing_requests"), fixture(spark, sf, "filing_catalog"), bodies, body_key="doc_id"))
+
+
+def archive_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over an archive that is partitioned by form and filing year: one filing a document, folders that no request picks unread."""
+    path, none = scratch(spark), F.lit(None).cast("string")
+    html = fixture(spark, sf, "filing_html").select("doc_id", "html", none.alias("text"), none.alias("markdown"))
+    write_filings(fixture(spark, sf, "archive_catalog").join(html, "doc_id").drop("doc_id"), path)
+    archive = spark.read.parquet(path)
+    return _shown_pack(catalog.filing_pack(fixture(spark, sf, "filing_requests"), archive, archive, folders=("form_type", "filing_year")))
+
+
+def _shown_pack(pack: DataFrame) -> DataFrame:
     anchor_ids = F.md5(F.concat_ws(",", F.transform("anchors", lambda a: a["id"])))
     return pack.select("request_id", "ticker", "year", "form_type", "accession", "match_kind", "html_partial", F.length("display_html").cast("long").alias("shown_chars"), F.md5("text").alias("text_md5"), F.when(F.col("anchors").isNotNull(), anchor_ids).alias("anchor_ids"))
 
@@ -302,7 +315,7 @@ def resolve_section(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_filing_key, pick_filing, resolve_filing_body, html_to_text, html_head_slice, filing_pack, request_cache_flag, html_nodes,
+        normalize_filing_key, pick_filing, resolve_filing_body, html_to_text, html_head_slice, filing_pack, archive_pack, request_cache_flag, html_nodes,
         toc_links, toc_elements, heading_anchors, heading_ids, anchor_first_wins, item_anchor_merge, anchor_outline, filing_outline, bare_item_label,
         item_heading_line, item_key_rank, slugify_heading, decode_fragment, fragment_slice, anchor_target, locate_section, resolve_section,
     )
@@ -330,6 +343,7 @@ FROM b
 SELECT page_id, least(length(html), {HEAD}) AS shown_chars, md5(substring(html, 1, {HEAD})) AS shown_md5, length(html) > {HEAD} AS html_partial FROM pages
 """,
     "filing_pack": PACK_SQL,
+    "archive_pack": PACK_SQL.replace(with_sql("filing_catalog").removeprefix("WITH "), with_sql("archive_catalog").removeprefix("WITH ")).replace("filing_catalog", "archive_catalog"),
     "request_cache_flag": """
 WITH RECURSIVE o AS (
   SELECT event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events

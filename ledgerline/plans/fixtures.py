@@ -60,11 +60,16 @@ def item_html(k: int) -> str:
 
 FIXTURES = {
     "filing_catalog": """
-SELECT o_orderkey AS accession, concat('T', CAST(o_custkey % 50 AS STRING)) AS ticker,
+SELECT o_orderkey AS accession, concat(CASE WHEN o_orderkey % 3 = 0 THEN 't' ELSE 'T' END, CAST(o_custkey % 50 AS STRING)) AS ticker,
        CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '10-Q' WHEN '3-MEDIUM' THEN '8-K'
             WHEN '4-NOT SPECIFIED' THEN '20-F' ELSE '6-K' END AS form_type,
        CAST(o_orderdate AS DATE) AS filing_date, o_orderkey % (SELECT count(*) FROM {documents}) AS doc_id
 FROM {orders}""",
+    "archive_catalog": """
+SELECT doc_id AS accession, concat('T', CAST(doc_id % 50 AS STRING)) AS ticker,
+       CASE doc_id % 7 WHEN 0 THEN '10-K' WHEN 1 THEN '10-q' WHEN 2 THEN '8-K' WHEN 3 THEN '20-F' WHEN 4 THEN '10-K' ELSE '6-K' END AS form_type,
+       CAST('1994-01-01' AS DATE) + CAST(doc_id * 37 % 3600 AS INT) AS filing_date, doc_id
+FROM {documents}""",
     "filing_requests": """
 SELECT event_id AS request_id, ts, user_id,
        concat(CASE WHEN event_id % 2 = 0 THEN 't' ELSE 'T' END, CAST(user_id % 53 AS STRING)) AS ticker,
@@ -117,7 +122,7 @@ SELECT doc_id, k,
          WHEN 2 THEN concat('Part I Item ', CAST(doc_id % 15 AS STRING), '. ', part, ' Item 2. Properties')
          WHEN 3 THEN concat('Item 5 ..... ', substring(part, 1, CAST(doc_id % 4 AS INT))) WHEN 4 THEN concat('Item 1 — ', part) WHEN 5 THEN concat('ITEM 7A: ', part, ' ......')
          WHEN 6 THEN part WHEN 7 THEN concat('Management''s "Plan" — ', part) WHEN 8 THEN '***'
-         WHEN 9 THEN concat(part, ' See Item ', CAST(doc_id % 15 AS STRING), ' below') WHEN 10 THEN concat('a%20b+c%C3%A9', replace(part, '%', ''))
+         WHEN 9 THEN concat(part, ' See Item ', CAST(doc_id % 15 AS STRING), ' below') WHEN 10 THEN concat('a%20b+c%C3%A9% ', CAST(k AS STRING), '%zz 50%25 % ', part, '%4')
          WHEN 11 THEN concat('#Item%20', CAST(k AS STRING)) WHEN 12 THEN concat('Item 1. ', substring(part, 1, CAST(k % 5 AS INT))) ELSE 'item 1A —' END AS label
 FROM {text_parts}""",
     "filing_bodies": """

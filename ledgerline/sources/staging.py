@@ -26,13 +26,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDER[0]
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: lineage ends here, so a lost executor costs a read."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted at the end of the block of stages() around it."""
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     own = _STAGES.get()
     if own is not None:
         own.append(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read back: lineage ends here, so a lost executor costs a read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

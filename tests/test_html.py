@@ -230,3 +230,12 @@ def test_comparison_plan(spark, question, form, year):
     df = spark.createDataFrame([("10-K", "2024", question)], "form_type string, year string, question string")
     row = plan_comparison(df).first()
     assert (row["comparison_form"], row["comparison_year"], row["wanted"]) == (form, year, form is not None)
+
+
+@pytest.mark.parametrize(("raw", "decoded"), [("50%25 %", "50% %"), ("caf%C3%A9%", "café%"), ("%zz%2", "%zz%2"), ("a%%41+b", "a%A+b"), ("%", "%"), ("%2", "%2"), ("", ""), ("%E2%82%AC+%2B", "€++"), ("100%", "100%")])
+def test_decode_fragment_leaves_bad_escapes_alone(spark, raw, decoded):
+    from urllib.parse import unquote
+
+    assert unquote(raw) == decoded
+    df = spark.createDataFrame([(raw,), (None,)], "f string").select(tx.decode_fragment(F.col("f")).alias("d"))
+    assert [r["d"] for r in df.collect()] == [decoded, None]

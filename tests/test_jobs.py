@@ -7,6 +7,7 @@ import os
 import random
 import subprocess
 import sys
+import threading
 
 import numpy as np
 import pytest
@@ -43,6 +44,13 @@ def test_upsert_keeps_the_last_write(spark):
     assert sorted(map(tuple, src.upsert(old, new, ["k"], ["ts"]).collect())) == [("a", 2, "z"), ("b", 1, "y"), ("c", 1, "w")]
 
 
+def test_pick_is_blind_to_case_on_both_sides(spark):
+    listed = spark.createDataFrame([(1, "t1", "10-k", dt.date(2020, 1, 1)), (2, "T1", "10-K", dt.date(2021, 1, 1)), (3, None, "10-K", dt.date(2021, 1, 1))], "accession long, ticker string, form_type string, filing_date date")
+    asked = spark.createDataFrame([("t1", "2020", "10-k"), ("T1", None, "10-K"), (None, "2021", "10-K"), ("t1", "2021", None)], "ticker string, year string, form_type string")
+    got = sorted((str(r["ticker"]), str(r["year"]), r["accession"] or 0, r["match_kind"]) for r in catalog.pick_filing(asked, listed).collect())
+    assert got == [("None", "2021", 0, "none"), ("T1", "2020", 1, "year"), ("T1", "2021", 0, "none"), ("T1", "None", 2, "latest")]
+
+
 def test_pick_breaks_ties_by_accession(spark):
     listed = spark.createDataFrame([(1, "T", "10-K", dt.date(2020, 1, 1)), (2, "T", "10-K", dt.date(2020, 1, 1))], "accession long, ticker string, form_type string, filing_date date")
     asked = spark.createDataFrame([("t", "2020", "10-k"), ("t", "1999", "10-K"), ("t", "x", "10-K"), ("u", "2020", "10-K")], "ticker string, year string, form_type string")
@@ -110,6 +118,24 @@ def test_threads_keep_every_message_in_order(spark):
     assert [m["text"] for m in row["messages"]] == ["a", "b", "b"]
 
 
+@pytest.mark.parametrize("partitions", ["1", "23"])
+def test_thread_pages_of_a_session_over_many_ranges(spark, partitions):
+    rng = random.Random(1)
+    rows = [("hot", n, f"m{n}") for n in range(20_000)] + [(k, n, f"{k}{n}") for k in ("a", "b", None) for n in range(rng.randint(1, 9))] + [("same", 5, "x")] * 7
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = sessions.thread_pages(spark.createDataFrame(rows, "k string, seq int, text string").repartition(6), ["k"], ["seq"], 90).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for key in {r[0] for r in rows}:
+        wanted = sorted((seq, text) for k, seq, text in rows if k == key)
+        pages = sorted((r for r in found if r["k"] == key), key=lambda r: r["page"])
+        assert [(m["seq"], m["text"]) for p in pages for m in p["messages"]] == wanted
+        assert [p["page"] for p in pages] == list(range(len(pages))) and [p["first"] for p in pages] == [90 * n + 1 for n in range(len(pages))]
+        assert all(p["n_messages"] == 90 for p in pages[:-1])
+
+
 def test_session_defaults(spark):
     df = spark.createDataFrame([(None, None, None)], "document_html string, document_html_partial boolean, document_anchors array<struct<id string>>")
     assert tuple(sessions.with_session_defaults(df).first()) == ("", False, [])
@@ -132,10 +158,11 @@ def test_session_store_merges_parts_and_never_loses_one(spark, tmp_path):
     wanted = {}
     for n in range(9):
         rows = [(n % 4, n, at(n), "t", "2020", "10-K", "a", f"p{n}"), (7, n, at(100 - n), "t", "2020", "10-K", "a", f"q{n}")]
-        streams.upsert_sessions(spark.createDataFrame(rows, EVENTS), out, most_parts=3)
+        streams.upsert_sessions(spark.createDataFrame(rows, EVENTS), out, fan=3, keep=1, keep_seconds=0)
         wanted |= {n % 4: f"p{n}", 7: "q0"}
         assert {r["user_id"]: r["payload"] for r in streams.read_sessions(spark, out).collect()} == wanted
-        assert len([x for x in os.listdir(out) if x.startswith("part=")]) <= 4
+        assert len(streams.session_store(spark, out)._newest()[1]["parts"]) <= 4
+    assert len(os.listdir(f"{out}/parts")) < 9 + 4  # parts that no snapshot needs are gone
     streams.upsert_sessions(spark.createDataFrame([(7, 8, at(92), "t", "2020", "10-K", "a", "q8")], EVENTS), out)  # a batch that is repeated
     assert {r["user_id"]: r["payload"] for r in streams.read_sessions(spark, out).collect()} == wanted
 
@@ -148,15 +175,88 @@ def test_session_store_outlives_its_checkpoint(spark, tmp_path):
     assert {r["user_id"] for r in streams.read_sessions(spark, out).collect()} == {0, 1}
 
 
-def test_cache_stream_equals_the_batch(spark, tmp_path):
-    seconds = [0, 599, 600, 1100, 1300, 5000]
-    df = spark.createDataFrame([("k", n, at(s)) for n, s in enumerate(seconds)], "k string, request_id long, ts timestamp")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = streams.cache_flags(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k")
-    query = stream.writeStream.format("memory").queryName("flags").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+def test_empty_session_store_is_an_empty_table(spark, tmp_path):
+    empty = streams.read_sessions(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and empty.columns == streams.SESSIONS.names
+
+
+def test_session_store_is_read_while_it_is_written(spark, tmp_path):
+    out, done, failed, seen = str(tmp_path / "store"), threading.Event(), [], []
+
+    def read():
+        while not done.is_set():
+            try:
+                rows = streams.read_sessions(spark, out).select("user_id", "session_key", "seq").collect()
+                keys = [(r["user_id"], r["session_key"]) for r in rows]
+                assert len(keys) == len(set(keys))
+                seen.append(max((r["seq"] for r in rows), default=-1))
+            except Exception as e:
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for n in range(50):
+            rows = [(n % 5, n, at(n), "t", "2020", "10-K", "a", f"p{n}"), (9, n, at(n), "t", "2021", "10-K", "a", None)]
+            streams.upsert_sessions(spark.createDataFrame(rows, EVENTS).coalesce(1), out, fan=3, keep=2, keep_seconds=3)
+    finally:
+        done.set()
+        reader.join()
+    assert not failed and len(seen) > 5 and seen == sorted(seen)
+    assert {(r["user_id"], r["seq"], r["payload"]) for r in streams.read_sessions(spark, out).collect()} == {*((n % 5, n, f"p{n}") for n in range(45, 50)), (9, 49, "")}
+    store = streams.session_store(spark, out)
+    assert len(store._newest()[1]["parts"]) <= 8 and len(os.listdir(f"{out}/parts")) < 50
+
+
+def test_session_store_snapshots_and_repeated_batches(spark, tmp_path):
+    out = str(tmp_path / "store")
+    for n in range(3):
+        streams.upsert_sessions(spark.createDataFrame([(1, n, at(n), "t", "2020", "10-K", "a", f"p{n}")], EVENTS), out, stream="s", batch_id=n)
+    store = streams.session_store(spark, out)
+    assert store.snapshots() == [1, 2, 3] and store.read(2).first()["payload"] == "p1"
+    again = spark.createDataFrame([(1, 9, at(9), "t", "2020", "10-K", "a", "never")], EVENTS)
+    streams.upsert_sessions(again, out, stream="s", batch_id=2)
+    assert store.snapshots() == [1, 2, 3] and store.read().first()["payload"] == "p2"
+    assert not store._commit(3, {"parts": []})  # a number is taken once
+    assert store.read(3).first()["payload"] == "p2" and not [n for n in os.listdir(f"{out}/manifests") if n.startswith("_")]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_cache_stream_of_late_requests_equals_the_batch(rocksdb, tmp_path):
+    spark, rng = rocksdb, random.Random(6)
+    rows = [(rng.choice(("hot", "k", None)), n, at(20 * n + rng.randrange(300))) for n in range(300)]
+    rows += [("k", None, at(100)), ("k", 5, at(100)), ("k", 5, at(100)), ("hot", 900, None)]
+    rows.sort(key=lambda r: (r[2] or T0) + dt.timedelta(seconds=rng.randrange(250)))  # late by less than the delay
+    schema = "k string, request_id long, ts timestamp"
+    for n in range(5):
+        part = rows[n * 61 : (n + 1) * 61] + ([(k, 10_000, at(100_000)) for k in ("hot", "k", "other")] if n == 4 else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/n={n}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = streams.cache_flags(source, "k").writeStream.format("memory").queryName("flags").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
-    got = {r["request_id"]: r["cached"] for r in spark.table("flags").collect()}
-    assert [got[n] for n in range(len(seconds))] == replayed(seconds)
+    flags = lambda rows: sorted((str(r[0]), str(r["request_id"]), str(r["ts"]), r["cached"]) for r in rows if r["ts"] is not None and r["request_id"] != 10_000)
+    got = flags(spark.table("flags").collect())
+    assert got == flags(sessions.replay_cache(spark.createDataFrame(rows, schema), ["k"]).collect())
+    assert len(got) == 303 and {g[3] for g in got} == {True, False}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 4  # what waits, a load and a timer of each key
+
+
+def test_recents_stream_equals_the_batch_after_every_batch(rocksdb, tmp_path):
+    spark, rng = rocksdb, random.Random(3)
+    rows = [(rng.randrange(4), n, at(rng.randrange(400)), f"T{rng.randrange(6)}", rng.choice(("2020", "2021", None)), rng.choice(("10-K", "10-k")), "a", "x") for n in range(400)] + [(1, None, at(5), "no", "n", "n", "a", "x")]
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    assert streams.read_recents(spark, out).collect() == []
+    for n in range(4):
+        spark.createDataFrame(rows[n * 100 : n * 100 + 101 * (n == 3) + 100], EVENTS).coalesce(1).write.mode("append").parquet(source)
+        streams.store_recents(spark.readStream.schema(EVENTS).parquet(source), out, check, n=5).awaitTermination()
+        wanted = sessions.recent_filings(spark.createDataFrame(rows[: n * 100 + 100], EVENTS), 5)
+        assert sorted(map(str, streams.read_recents(spark, out).collect())) == sorted(map(str, wanted.collect()))
 
 
 def test_attach_spreads_rows_without_a_key(spark):
@@ -175,6 +275,21 @@ def test_pack_of_an_empty_catalog_and_bodies_read_once(spark):
     assert catalog.filing_pack(asked, listed.where("false"), bodies, body_key="body").where("text IS NULL").count() == 3
 
 
+def test_pack_reads_only_the_folders_of_its_picks(spark, tmp_path):
+    rows = [(n, f"T{n % 3}", "10-K" if n % 2 else "10-q", dt.date(2010 + n % 6, 1, 1), f"<body><h1>N{n}</h1></body>", None, None) for n in range(60)]
+    src.write_filings(spark.createDataFrame(rows, src.CATALOG), str(tmp_path / "p"))
+    archive = spark.read.parquet(str(tmp_path / "p"))
+    asked = spark.createDataFrame([("t1", "2011", "10-k"), ("t9", "2011", "10-k"), (None, None, None)], "ticker string, year string, form_type string")
+    picked = catalog.pick_filing(asked, archive, ("form_type", "filing_year"))
+    near = catalog.in_folders(archive, staging.staged(picked), {"filed_form_type": "form_type", "filed_filing_year": "filing_year"})
+    plan = near._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert {(r["form_type"], r["filing_year"]) for r in near.collect()} == {("10-K", 2011)}
+    got = catalog.filing_pack(asked, archive, archive, folders=("form_type", "filing_year"))
+    assert sorted(got.columns) == sorted(["ticker", "year", "form_type", "accession", "filing_date", "match_kind", "text", "display_html", "html_partial", "anchors"])
+    assert sorted((r["ticker"] or "", r["text"] or "", r["match_kind"]) for r in got.collect()) == [("", "", "none"), ("T1", "N55", "year"), ("T9", "", "none")]
+
+
 @pytest.mark.parametrize(
     ("stored", "wanted"),
     [
