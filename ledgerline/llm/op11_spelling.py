@@ -79,27 +79,35 @@ def tiles(words: DataFrame) -> DataFrame:
 
 
 def code_points(words: list[str], l: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of l or l + 1 code points as two padded matrices, aligned to the left and to the right, and their lengths."""
+    """Words of l or l + 1 code points as two padded matrices, aligned to the left and, read backwards, to the right, and their lengths."""
     left = np.array(words, f"<U{l + 1}").view(np.uint32).reshape(len(words), l + 1)
+    if left.max(initial=0) < 256:  # a quarter of the bytes to compare
+        left = left.astype(np.uint8)
     long = left[:, l] != 0
     right = np.zeros_like(left)
     right[long], right[~long, 1:] = left[long], left[~long, :-1]
-    return left, right[:, ::-1], np.where(long, l + 1, l)
+    return left, np.ascontiguousarray(right[:, ::-1]), np.where(long, l + 1, l)
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row of a and each of b, how many code points from the left are alike."""
-    differ = a[:, None, :] != b[None, :, :]
-    first = differ.argmax(axis=2)
-    return np.where(differ.any(axis=2), first, a.shape[1])
+def _alike(a: np.ndarray, b: np.ndarray, l: int) -> np.ndarray:
+    """How many of the first l code points are alike from the left, of each row of a and the same row of b."""
+    differ = a[:, :l] != b[:, :l]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), l)
 
 
 def near_pairs(a, b, l: int, side: str) -> np.ndarray:
-    """Which rows of two blocks (as of code_points) are one edit apart, of the pairs that count on this side."""
-    prefix, suffix = (np.minimum(_alike(a[k], b[k]), l) for k in (0, 1))
-    longer = np.maximum(a[2][:, None], b[2][None, :])
-    near = (prefix + suffix >= longer - 1) & ~((a[2][:, None] > l) & (b[2][None, :] > l))  # two long words are of the next class
-    return near & (prefix >= l // 2 if side == "prefix" else prefix < l // 2)
+    """Which rows of two blocks (as of code_points) are one edit apart, of the pairs that count on this side.
+
+    All pairs are compared on the side's part of the words; common prefix and suffix are measured where it is alike.
+    """
+    own, need = (0, l // 2) if side == "prefix" else (1, l - l // 2)
+    alike = (a[own][:, None, :need] == b[own][None, :, :need]).all(axis=2)
+    alike &= (a[2][:, None] == l) | (b[2][None, :] == l)  # two longer words are of the next class
+    i, j = np.nonzero(alike)
+    prefix, suffix = (_alike(a[k][i], b[k][j], l) for k in (0, 1))
+    near = prefix + suffix >= np.maximum(a[2][i], b[2][j]) - 1
+    alike[i, j] = near if side == "prefix" else near & (prefix < l // 2)
+    return alike
 
 
 def compare_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +138,9 @@ def compare_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n_near, best_n, best) of the words (word, n) that have near words."""
-    found = tiles(words).groupBy("l", "side", "group", "first", "second").applyInPandas(compare_tile, "word string, n_near long, best_n long, best string")
+    # Comparing takes long for its bytes: as many tasks as a shuffle has, not as few as its bytes would fill.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = tiles(words).repartition(tasks, "l", "side", "group", "first", "second").groupBy("l", "side", "group", "first", "second").applyInPandas(compare_tile, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("minus"), F.col("best").alias("word"))).alias("b")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", (-F.col("b.minus")).alias("best_n"), F.col("b.word").alias("best"))
 
