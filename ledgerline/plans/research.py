@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import prompts as px
 from ledgerline.functions import questions as qx
-from ledgerline.operators import prompts, questions, sessions
+from ledgerline.operators import needles, prompts, questions, sessions
 from ledgerline.plans.filings import PICK_SQL, trim_sql
 from ledgerline.plans.fixtures import fixture, with_sql
 from ledgerline.sources.staging import scratch
@@ -66,6 +66,12 @@ def quote_in_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.col("quote_count").cast("long").alias("quote_count"), F.col("quote_start").cast("long").alias("quote_start"), F.md5("marked_text").alias("marked_md5"))
 
 
+def quote_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place of many quotes in each document."""
+    found = needles.quote_offsets(fixture(spark, sf, "asked_quotes"), fixture(spark, sf, "documents"))
+    return found.select("doc_id", "k", F.col("quote_offset").cast("long").alias("quote_offset"))
+
+
 def quote_in_html(spark: SparkSession, sf: str) -> DataFrame:
     found = prompts.mark_quotes_in_html(fixture(spark, sf, "quotes"))
     return found.select("doc_id", F.length("marked_html").cast("long").alias("marked_chars"), F.md5("marked_html").alias("marked_md5"))
@@ -143,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         wants_comparison, question_form, question_year, comparison_year, comparison_plan, comparison_context, context_caps, smart_excerpt, chat_prompts, parse_answer,
-        quote_in_text, quote_in_html, latest_sessions, recent_filings, restore_key, chat_threads, session_highlights, switch_merge, session_defaults, chat_settings, session_threads, thread_pages, session_store,
+        quote_in_text, quote_offsets, quote_in_html, latest_sessions, recent_filings, restore_key, chat_threads, session_highlights, switch_merge, session_defaults, chat_settings, session_threads, thread_pages, session_store,
     )
 }
 
@@ -218,6 +224,13 @@ SELECT doc_id, CASE WHEN source_quote = '' THEN 0 ELSE CAST((length(text) - leng
        CASE WHEN source_quote = '' THEN 0 ELSE strpos(text, source_quote) END AS quote_start,
        md5(CASE WHEN source_quote = '' THEN text ELSE replace(text, source_quote, concat('<mark>', source_quote, '</mark>')) END) AS marked_md5
 FROM quotes
+""",
+    "quote_offsets": f"""
+{with_sql("asked_quotes")}, p AS (
+  SELECT q.doc_id, q.k, q.source_quote, unnest(string_split(d.text, q.source_quote)) AS piece, generate_subscripts(string_split(d.text, q.source_quote), 1) AS i
+  FROM asked_quotes q JOIN documents d ON d.doc_id = q.doc_id WHERE q.source_quote <> ''
+), o AS (SELECT *, 1 + sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY i) + (i - 1) * length(source_quote) AS quote_offset, max(i) OVER (PARTITION BY doc_id, k) AS n FROM p)
+SELECT doc_id, k, CAST(quote_offset AS BIGINT) AS quote_offset FROM o WHERE i < n
 """,
     "quote_in_html": f"""
 {with_sql("quotes")}, m AS (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import prompts as px
 from ledgerline.functions import text as tx
-from ledgerline.operators import anchors, nodes, sections
+from ledgerline.operators import anchors, needles, nodes, sections
 from ledgerline.operators.questions import plan_comparison
 from ledgerline.plans.fixtures import fixture
 
@@ -239,3 +239,38 @@ def test_decode_fragment_leaves_bad_escapes_alone(spark, raw, decoded):
     assert unquote(raw) == decoded
     df = spark.createDataFrame([(raw,), (None,)], "f string").select(tx.decode_fragment(F.col("f")).alias("d"))
     assert [r["d"] for r in df.collect()] == [decoded, None]
+
+
+def test_many_needles_in_one_document(spark):
+    rng = random.Random(4)
+    docs = [(d, "".join(rng.choice("abé ") for _ in range(400)) if d else None) for d in range(4)]
+    asked = [(d, k, "".join(rng.choice("abé ") for _ in range(rng.randint(0, 4))) if k % 9 else None) for d in range(5) for k in range(80)] + [(1, 900, "aa"), (1, 901, "aa"), (None, 1, "a")]
+    frames = spark.createDataFrame(asked, "doc_id long, k int, source_quote string"), spark.createDataFrame(docs, "doc_id long, text string")
+    wanted = sorted((d, k, m.start() + 1) for d, k, q in asked if d is not None and q and dict(docs).get(d) for m in re.finditer(re.escape(q), dict(docs)[d]))
+    got = needles.quote_offsets(*frames)
+    assert sorted((r["doc_id"], r["k"], r["quote_offset"]) for r in got.collect()) == wanted and len(wanted) > 1000
+    lists = needles.needle_lists(frames[0], "doc_id", "source_quote", most=10).where("doc_id = 1")
+    assert lists.count() > 3
+    again = needles.with_hits(frames[1].where("doc_id = 1").select("doc_id", F.array(F.struct("text")).alias("texts")).join(lists, "doc_id"))
+    assert again.select(F.explode("hits.needle").alias("n")).distinct().count() == len({q for d, _, q in asked if d == 1 and q and q in docs[1][1]})
+
+
+def test_labels_are_found_in_one_scan(spark):
+    rng = random.Random(5)
+    words = ["risk", "factors", "legal", "matters", "notes", "cash"]
+    body = "".join(f"<p>{' '.join(rng.choice(words) for _ in range(6))}</p>" for _ in range(60))
+    pages = spark.createDataFrame([(1, f"<html><body>{body}</body></html>")], "doc_id long, html string")
+    labels = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))).title() for _ in range(40)] + ["xyz", "Cash  Notes"]
+    wanted = spark.createDataFrame([(1, x) for x in labels], "doc_id long, label string")
+    html = pages.first()["html"]
+    elements = [(m.start(), m[1]) for m in re.finditer("<p>([^<]*)</p>", html)]
+
+    def place(label):
+        needle = " ".join(label.lower().split())[:48]
+        hits = [at for at, text in elements if needle in text]
+        if hits and max(hits) / len(html) > 0.1:
+            hits = [at for at in hits if at / len(html) > 0.06]
+        return max(hits, default=None) if len(needle) >= 4 else None
+
+    got = {r["label"]: r["start"] for r in sections.locate_sections(nodes.html_nodes(pages), wanted).collect()}
+    assert got == {x: place(x) for x in labels if place(x) is not None} and len(got) > 10
