@@ -39,17 +39,23 @@ ASSISTANT = "a filing research assistant"
 CURRENT_SETTING, ADDITIONAL_SETTING = (5_000, 80_000, 120_000), (0, 60_000, 80_000)
 
 
-def chat_settings(stored: DataFrame) -> DataFrame:
+# The status codes of responses.
+DONE, REFUSED, NOT_FOUND, FAILED = 200, 403, 404, 500
+
+
+def chat_settings(stored: DataFrame, assistant: str = ASSISTANT) -> DataFrame:
     """stored with a request's effective settings: current_context_max_chars, additional_context_max_chars, use_custom_prompt, custom_prompt.
 
     Reads the stored texts current_max, additional_max, use_custom and prompt_draft, null where nothing was stored. A size is the number
     that its text begins with, else the default, within its limits. A custom prompt is used if the switch says so (`1` or `true`; `0` or
-    `false` means no), or, where the switch says neither, if a draft that is not blank is stored; it is the draft, or null if that is blank.
+    `false` means no), or, where the switch says neither, if a draft that is not blank is stored; it is the draft, or null if that is blank. What an
+    editor shows, prompt_to_edit, is the draft as it was stored, blank or not, and the default prompt where none was.
     """
     draft = F.nullif(trimmed(F.coalesce("prompt_draft", F.lit(""))), F.lit(""))
     use = F.when(F.col("use_custom").isin("1", "true"), True).when(F.col("use_custom").isin("0", "false"), False).otherwise(draft.isNotNull())
     sizes = {"current_context_max_chars": size_setting(F.col("current_max"), CURRENT_SETTING), "additional_context_max_chars": size_setting(F.col("additional_max"), ADDITIONAL_SETTING)}
-    return stored.withColumns({**sizes, "use_custom_prompt": use, "custom_prompt": F.when(use, draft)})
+    shown = F.coalesce("prompt_draft", F.lit(DEFAULT_SYSTEM_PROMPT.format(assistant=assistant)))
+    return stored.withColumns({**sizes, "use_custom_prompt": use, "custom_prompt": F.when(use, draft), "prompt_to_edit": shown})
 
 
 def context_caps(questions: DataFrame) -> DataFrame:
@@ -85,6 +91,23 @@ def assemble_prompts(questions: DataFrame, *, allow_custom: bool = False, system
     )
 
 
+def with_status(rows: DataFrame, *, filing: str | None = None, html: str | None = None, fragment: str | None = None, prompt: str | None = None) -> DataFrame:
+    """rows with status_code, by the columns that are named: of several faults, the first of these counts.
+
+    A filing that was not found (match kind `none`) has failed; a fragment that is null or empty, or whose filing has no html, is not found; a
+    prompt whose status is not `ok` is refused. What has no fault is done.
+    """
+    code = F.lit(DONE)
+    if prompt:
+        code = F.when(F.col(prompt) != "ok", REFUSED).otherwise(code)
+    for c in (fragment, html):
+        if c:
+            code = F.when(F.coalesce(F.col(c), F.lit("")) == "", NOT_FOUND).otherwise(code)
+    if filing:
+        code = F.when(F.col(filing) == "none", FAILED).otherwise(code)
+    return rows.withColumn("status_code", code)
+
+
 def parse_answers(responses: DataFrame, content: str = "content") -> DataFrame:
     """responses with answer and source_quote."""
     return responses.withColumns({"answer": answer_of(F.col(content)), "source_quote": quote_of(F.col(content))})

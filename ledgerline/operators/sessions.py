@@ -211,13 +211,17 @@ def replay_cache(requests: DataFrame, key: list[str], ttl_seconds: int = TTL_SEC
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, loaded = None, None
         for batch in batches:
-            hits = []
-            for name, part, at, before in zip(batch["name"], batch["part"], batch["us"], batch["loaded"]):
-                if (name, part) != now:
-                    now, loaded = (name, part), None if pd.isna(before) else int(before)
-                hit = loaded is not None and at - loaded < ttl
-                loaded = loaded if hit else at
-                hits.append(hit)
+            times, names, parts, before = batch["us"].to_numpy(np.int64), batch["name"].to_numpy(), batch["part"].to_numpy(), batch["loaded"]
+            starts = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (parts[1:] != parts[:-1]))) if len(times) else ()
+            hits = np.ones(len(times), bool)
+            for start, end in zip(starts, [*starts[1:], len(times)]):
+                if (names[start], parts[start]) != now:
+                    now, loaded = (names[start], parts[start]), None if pd.isna(before.iloc[start]) else int(before.iloc[start])
+                own = times[start:end]
+                miss = 0 if loaded is None else int(np.searchsorted(own, loaded + ttl))
+                while miss < len(own):  # from load to load
+                    hits[start + miss], loaded = False, int(own[miss])
+                    miss = max(miss + 1, int(np.searchsorted(own, loaded + ttl)))
             yield pd.DataFrame({"place": batch["place"], "cached": hits})
 
     flags = ordered.select("name", "part", "us", "loaded", "place").mapInPandas(replay, "place long, cached boolean")

@@ -25,11 +25,11 @@ def _filing_html() -> str:
     toc = "".join(
         f"""'<tr><td', CASE kind WHEN 1 THEN ' id="I{k}"' WHEN 2 THEN ' id="i{k}"' ELSE '' END, '><a href="#i{k}">', {toc_label(k)}, '</a></td></tr>', """ for k in range(PARTS)
     )
-    parts = "".join(f"{heading_html(k)}, {item_html(k)}, '<p>', {part(k)}, '</p>', " for k in range(PARTS))
+    parts = "".join(f"{heading_html(k)}, {item_html(k)}, '<p>', {entities(part(k))}, '</p>', " for k in range(PARTS))
     return f"""concat(CASE WHEN kind = 4 THEN '<html><div>' ELSE '<html><body>' END, '<table>', {toc}'</table>',
   CASE WHEN kind = 3 THEN repeat('<h6>Note</h6>', {MANY}) ELSE '' END, {parts}
   '<p>See Item 10 below, Item 14</p><script>var x="Item 2. Nope";</script>',
-  CASE WHEN doc_id % 50 = 7 THEN repeat(concat('<p>', t, '</p>'), CAST(ceil(520000.0 / (length(t) + 7)) AS INT)) ELSE '' END,
+  CASE WHEN doc_id % 50 = 7 THEN repeat(concat('<p>', {entities("t")}, '</p>'), CAST(ceil(520000.0 / (length(t) + 7)) AS INT)) ELSE '' END,
   CASE WHEN kind = 4 THEN '</div></html>' ELSE '</body></html>' END)"""
 
 
@@ -38,6 +38,11 @@ def part(k: int | str) -> str:
     return f"substring(t, CAST(1 + {k} * size AS INT), CAST(size AS INT))"
 
 
+def entities(x: str) -> str:
+    """A text as it is written in html."""
+    return f"replace(replace({x}, '&', '&amp;'), '<', '&lt;')"
+
+
 def item_text(k: int | str) -> str:
     """The item line of section k: number, perhaps a letter, and a title."""
     return f"concat('Item ', CAST({k} + 1 AS STRING), CASE WHEN {k} % 3 = 1 THEN 'A' ELSE '' END, '. ', CASE {k} % 4 WHEN 0 THEN 'Business of ' WHEN 1 THEN 'Risk Factors ' WHEN 2 THEN 'Properties ..... ' ELSE 'Legal Matters, ' END, upper(substring(md5(t), CAST(1 + {k} AS INT), 4)))"
@@ -50,7 +55,7 @@ def toc_label(k: int | str) -> str:
 
 def heading_html(k: int) -> str:
     level = f"CAST(1 + (doc_id + {k}) % 6 AS STRING)"
-    return f"'<h', {level}, '>', substring({part(k)}, 1, 30), '</h', {level}, '>'"
+    return f"'<h', {level}, '>', {entities(f'substring({part(k)}, 1, 30)')}, '</h', {level}, '>'"
 
 
 def item_html(k: int) -> str:
@@ -77,9 +82,12 @@ SELECT event_id AS request_id, ts, user_id,
        CASE event_type WHEN 'click' THEN '10-K' WHEN 'view' THEN '10-q' WHEN 'error' THEN '8-K' WHEN 'signup' THEN '20-F'
             ELSE '10-K' END AS form_type
 FROM {events}""",
+    "user_texts": """
+SELECT conv_id, min_by(text, turn) AS text FROM {conversations} WHERE role = 'user' GROUP BY conv_id""",
     "questions": """
 SELECT request_id, ticker, year, form_type,
-       CASE request_id % 20
+       CASE WHEN request_id % 3 = 0 THEN concat(coalesce(u.text, ''), ' ', asked) WHEN request_id % 7 = 1 THEN coalesce(u.text, '') ELSE asked END AS question
+FROM (SELECT *, CASE request_id % 20
          WHEN 0 THEN 'Compare revenue with the filing' WHEN 1 THEN 'What changed versus 1997?'
          WHEN 2 THEN 'Show the 10 Q and the 10-K for the prior year' WHEN 3 THEN 'previous year margin?'
          WHEN 4 THEN 'revenue last year in the 8k' WHEN 5 THEN 'How did cash compare to the past 10-K?'
@@ -88,8 +96,8 @@ SELECT request_id, ticker, year, form_type,
          WHEN 12 THEN 'look at 1999 and 2001 20-F' WHEN 13 THEN 'relative to older numbers'
          WHEN 14 THEN 'summarise item 7' WHEN 15 THEN 'cross-year view of 20F'
          WHEN 16 THEN 'last 10 filings' WHEN 17 THEN 'comparison with 8-K' WHEN 18 THEN ''
-         ELSE 'historical filing, year 2030' END AS question
-FROM {filing_requests}""",
+         ELSE 'historical filing, year 2030' END AS asked FROM {filing_requests}) r
+CROSS JOIN (SELECT coalesce(max(conv_id), 0) + 1 AS n FROM {conversations}) c LEFT JOIN {user_texts} u ON u.conv_id = r.request_id % c.n""",
     "llm_responses": """
 SELECT conv_id, turn,
        CASE (conv_id + turn) % 6
@@ -102,7 +110,7 @@ SELECT conv_id, turn,
 FROM {conversations} WHERE role = 'assistant'""",
     "filing_texts": """
 SELECT doc_id, doc_id % 5 AS kind, t, ceil(length(t) / 8.0) AS size
-FROM (SELECT doc_id, replace(replace(coalesce(text, ''), '<', ' '), '&', ' ') AS t FROM {documents}) d""",
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM {documents}) d""",
     "filing_html": f"SELECT doc_id, kind, {_filing_html()} AS html FROM {{filing_texts}}",
     "session_events": """
 SELECT event_id AS seq, ts, user_id,

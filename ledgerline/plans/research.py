@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import prompts as px
 from ledgerline.functions import questions as qx
 from ledgerline.operators import needles, prompts, questions, sessions
+from ledgerline.operators.catalog import pick_filing
 from ledgerline.plans.filings import PICK_SQL, trim_sql
 from ledgerline.plans.fixtures import fixture, with_sql
 from ledgerline.sources.staging import scratch
@@ -99,7 +100,15 @@ def session_defaults(spark: SparkSession, sf: str) -> DataFrame:
 def chat_settings(spark: SparkSession, sf: str) -> DataFrame:
     found = prompts.chat_settings(fixture(spark, sf, "stored_settings"))
     sizes = (F.col(c).cast("long").alias(c) for c in ("current_context_max_chars", "additional_context_max_chars"))
-    return found.select("user_id", "event_id", *sizes, "use_custom_prompt", "custom_prompt")
+    return found.select("user_id", "event_id", *sizes, "use_custom_prompt", "custom_prompt", F.md5("prompt_to_edit").alias("edit_md5"))
+
+
+def response_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Status codes of the filing and the prompt of each request."""
+    picked = pick_filing(fixture(spark, sf, "filing_requests"), fixture(spark, sf, "filing_catalog"))
+    filings = prompts.with_status(picked, filing="match_kind").select("request_id", F.col("status_code").cast("long").alias("filing_status"))
+    made = prompts.assemble_prompts(fixture(spark, sf, "chat_requests"))
+    return filings.join(prompts.with_status(made, prompt="status").select("request_id", F.col("status_code").cast("long").alias("chat_status")), "request_id", "left")
 
 
 def session_threads(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         wants_comparison, question_form, question_year, comparison_year, comparison_plan, comparison_context, context_caps, smart_excerpt, chat_prompts, parse_answer,
-        quote_in_text, quote_offsets, quote_in_html, latest_sessions, recent_filings, restore_key, chat_threads, session_highlights, switch_merge, session_defaults, chat_settings, session_threads, thread_pages, session_store,
+        quote_in_text, quote_offsets, quote_in_html, latest_sessions, recent_filings, restore_key, chat_threads, session_highlights, switch_merge, session_defaults, chat_settings, session_threads, thread_pages, session_store, response_status,
     )
 }
 
@@ -263,7 +272,13 @@ SELECT user_id, seq, coalesce(document_html, '') AS document_html, coalesce(docu
          nullif(trim(coalesce(prompt_draft, '')), '') AS draft FROM stored_settings
 ), t AS (SELECT *, CASE WHEN use_custom IN ('1', 'true') THEN true WHEN use_custom IN ('0', 'false') THEN false ELSE draft IS NOT NULL END AS used FROM s)
 SELECT user_id, event_id, CAST(greatest(5000, least(120000, coalesce(c, 80000))) AS BIGINT) AS current_context_max_chars, CAST(greatest(0, least(80000, coalesce(a, 60000))) AS BIGINT) AS additional_context_max_chars,
-       used AS use_custom_prompt, CASE WHEN used THEN draft END AS custom_prompt FROM t
+       used AS use_custom_prompt, CASE WHEN used THEN draft END AS custom_prompt, md5(coalesce(prompt_draft, '{prompts.DEFAULT_SYSTEM_PROMPT.format(assistant=prompts.ASSISTANT).replace(chr(39), chr(39) * 2)}')) AS edit_md5 FROM t
+""",
+    "response_status": f"""
+{with_sql("filing_requests", "filing_catalog", "chat_requests")}, {PICK_SQL}
+SELECT r.request_id, CAST(CASE WHEN n.accession IS NULL THEN 500 ELSE 200 END AS BIGINT) AS filing_status,
+       CASE WHEN c.request_id IS NOT NULL THEN CAST(CASE WHEN nullif({trim_sql("coalesce(c.system_prompt, '')")}, '') IS NOT NULL THEN 403 ELSE 200 END AS BIGINT) END AS chat_status
+FROM filing_requests r LEFT JOIN newest n ON n.ticker = upper(r.ticker) AND n.form_type = upper(r.form_type) AND n.rn = 1 LEFT JOIN chat_requests c ON c.request_id = r.request_id
 """,
     "session_threads": f"""
 {with_sql("thread_events")}, e AS (

@@ -303,6 +303,16 @@ def test_chat_settings(spark, stored, wanted):
     assert (row["current_context_max_chars"], row["additional_context_max_chars"], row["use_custom_prompt"], row["custom_prompt"]) == wanted
 
 
+def test_status_codes(spark):
+    rows = [("year", "<p>", "<p>", "ok"), ("none", None, None, "ok"), ("latest", None, None, "ok"), ("latest", "<p>", "", "ok"), ("year", "<p>", "x", "custom prompt not allowed")]
+    df = spark.createDataFrame(rows, "kind string, html string, part string, prompt string")
+    got = [r["status_code"] for r in prompts.with_status(df, filing="kind", html="html", fragment="part", prompt="prompt").collect()]
+    assert got == [200, 500, 404, 404, 403]
+    drafts = spark.createDataFrame([(None,), ("  ",), ("x",)], "prompt_draft string").selectExpr("prompt_draft", "null AS current_max", "null AS additional_max", "null AS use_custom")
+    shown = [r["prompt_to_edit"] for r in prompts.chat_settings(drafts, "an aide").collect()]
+    assert shown[0].startswith("You are an aide.") and shown[1:] == ["  ", "x"]
+
+
 def test_chat_threads_hold_records(spark):
     rows = [(1, 3, at(3), "t", "2020", "10-k", "answer", "ANSWER: yes SOURCE_QUOTE: so it is"), (1, 1, at(1), "T", "2020", "10-K", "select", "picked"), (1, 2, at(2), "T", "2020", "10-K", "ask", "why?"), (1, 4, at(4), "T", "2020", "10-K", "open", "x"), (1, 5, at(5), "T", "2020", "10-K", "answer", None)]
     found = sessions.chat_threads(spark.createDataFrame(rows, EVENTS), "select", "ask", "answer").collect()
