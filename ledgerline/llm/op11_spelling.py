@@ -95,13 +95,24 @@ def _alike(a: np.ndarray, b: np.ndarray, l: int) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), l)
 
 
+def _packed(part: np.ndarray) -> np.ndarray:
+    """Rows of code points as rows of 64-bit numbers, equal where these are."""
+    raw = np.ascontiguousarray(part).view(np.uint8).reshape(len(part), -1)
+    wide = np.zeros((len(part), -(-raw.shape[1] // 8) * 8), np.uint8)
+    wide[:, : raw.shape[1]] = raw
+    return wide.view(np.uint64)
+
+
 def near_pairs(a, b, l: int, side: str) -> np.ndarray:
     """Which rows of two blocks (as of code_points) are one edit apart, of the pairs that count on this side.
 
     All pairs are compared on the side's part of the words; common prefix and suffix are measured where it is alike.
     """
     own, need = (0, l // 2) if side == "prefix" else (1, l - l // 2)
-    alike = (a[own][:, None, :need] == b[own][None, :, :need]).all(axis=2)
+    left, right = _packed(a[own][:, :need]), _packed(b[own][:, :need])
+    alike = left[:, None, 0] == right[None, :, 0]
+    for k in range(1, left.shape[1]):
+        alike &= left[:, None, k] == right[None, :, k]
     alike &= (a[2][:, None] == l) | (b[2][None, :] == l)  # two longer words are of the next class
     i, j = np.nonzero(alike)
     prefix, suffix = (_alike(a[k][i], b[k][j], l) for k in (0, 1))
@@ -116,6 +127,8 @@ def compare_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["n", "word"], ascending=[False, True], kind="stable")  # so that the first near row is the best
     blocks = [rows[rows["part"] == p].reset_index(drop=True) for p in ((0,) if first == second else (0, 1))]
     matrices = [code_points(list(b["word"]), l) for b in blocks]
+    if len({m[0].dtype for m in matrices}) > 1:
+        matrices = [(m[0].astype(np.uint32), m[1].astype(np.uint32), m[2]) for m in matrices]
     a, b = matrices[0], matrices[-1]
     step = max(1, int((STEP_BYTES / (l + 1)) ** 0.5))
     found = [(np.zeros(len(m[2]), np.int64), np.full(len(m[2]), -1)) for m in (a, b)]
