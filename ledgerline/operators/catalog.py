@@ -86,7 +86,7 @@ def filing_pack(requests: DataFrame, catalog: DataFrame, bodies: DataFrame, *, b
     near = in_folders(bodies, picked, {f"filed_{c}": c for c in folders}) if folders else bodies
     picked = picked.drop(*(f"filed_{c}" for c in folders))
     wanted = near.select(body_key, "html", "text", "markdown").join(picked.select(body_key).where(F.col(body_key).isNotNull()).distinct(), body_key, "left_semi")
-    read = staged(resolve_body(wanted).drop("markdown"))
+    read = staged(resolve_body(wanted).drop("markdown"), compression="zstd")
     anchor = F.struct("place", "id", "label", "level", "source")
     outline = build_outline(read.select(body_key, "html"), body_key).groupBy(body_key).agg(F.array_sort(F.collect_list(anchor)).alias("anchors"))
     shown = filing_display(read, head_chars).select(body_key, "text", "display_html", "html_partial")

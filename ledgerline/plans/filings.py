@@ -104,9 +104,8 @@ def filing_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 def archive_pack(spark: SparkSession, sf: str) -> DataFrame:
     """The same over an archive that is partitioned by form and filing year: one filing a document, folders that no request picks unread."""
-    path, none = scratch(spark), F.lit(None).cast("string")
-    html = fixture(spark, sf, "filing_html").select("doc_id", "html", none.alias("text"), none.alias("markdown"))
-    write_filings(fixture(spark, sf, "archive_catalog").join(html, "doc_id").drop("doc_id"), path)
+    path = scratch(spark)
+    write_filings(fixture(spark, sf, "filing_archive"), path)
     archive = spark.read.parquet(path)
     return _shown_pack(catalog.filing_pack(fixture(spark, sf, "filing_requests"), archive, archive, folders=("form_type", "filing_year")))
 

@@ -63,6 +63,11 @@ def item_html(k: int) -> str:
     return f"""CASE kind WHEN 0 THEN {named} WHEN 2 THEN concat('<div><p>', {item_text(k)}, '</p></div>') ELSE concat('<p id="i{k}">', {item_text(k)}, '</p>') END"""
 
 
+#: The catalog's columns of an archive in which every document is a filing of its own.
+ARCHIVED = """doc_id AS accession, concat('T', CAST(doc_id % 50 AS STRING)) AS ticker,
+       CASE doc_id % 7 WHEN 0 THEN '10-K' WHEN 1 THEN '10-q' WHEN 2 THEN '8-K' WHEN 3 THEN '20-F' WHEN 4 THEN '10-K' ELSE '6-K' END AS form_type,
+       CAST('1994-01-01' AS DATE) + CAST(doc_id * 37 % 3600 AS INT) AS filing_date"""
+
 FIXTURES = {
     "filing_catalog": """
 SELECT o_orderkey AS accession, concat(CASE WHEN o_orderkey % 3 = 0 THEN 't' ELSE 'T' END, CAST(o_custkey % 50 AS STRING)) AS ticker,
@@ -70,11 +75,8 @@ SELECT o_orderkey AS accession, concat(CASE WHEN o_orderkey % 3 = 0 THEN 't' ELS
             WHEN '4-NOT SPECIFIED' THEN '20-F' ELSE '6-K' END AS form_type,
        CAST(o_orderdate AS DATE) AS filing_date, o_orderkey % (SELECT count(*) FROM {documents}) AS doc_id
 FROM {orders}""",
-    "archive_catalog": """
-SELECT doc_id AS accession, concat('T', CAST(doc_id % 50 AS STRING)) AS ticker,
-       CASE doc_id % 7 WHEN 0 THEN '10-K' WHEN 1 THEN '10-q' WHEN 2 THEN '8-K' WHEN 3 THEN '20-F' WHEN 4 THEN '10-K' ELSE '6-K' END AS form_type,
-       CAST('1994-01-01' AS DATE) + CAST(doc_id * 37 % 3600 AS INT) AS filing_date, doc_id
-FROM {documents}""",
+    "archive_catalog": f"SELECT {ARCHIVED}, doc_id FROM {{documents}}",
+    "filing_archive": f"SELECT {ARCHIVED}, html, CAST(NULL AS STRING) AS text, CAST(NULL AS STRING) AS markdown FROM {{filing_html}}",
     "filing_requests": """
 SELECT event_id AS request_id, ts, user_id,
        concat(CASE WHEN event_id % 2 = 0 THEN 't' ELSE 'T' END, CAST(user_id % 53 AS STRING)) AS ticker,

@@ -35,10 +35,10 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: lineage ends here, so a lost executor costs a read."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
