@@ -119,6 +119,10 @@ SELECT event_id AS seq, ts, user_id,
        CASE WHEN event_id % 5 = 0 THEN 't' ELSE 'T' END || CAST(event_id % 30 AS STRING) AS ticker,
        CAST(1995 + event_id % 4 AS STRING) AS year, '10-K' AS form_type, event_type AS action, props AS payload
 FROM {events}""",
+    "chat_events": """
+SELECT turn AS seq, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL '1' MINUTE * CAST(coalesce(turn, 0) / 2 AS INT) AS ts, conv_id AS user_id,
+       CASE WHEN turn % 2 = 0 THEN 't' ELSE 'T' END || CAST(turn % 3 AS STRING) AS ticker, '2023' AS year, role AS form_type, role AS action, text AS payload
+FROM {conversations}""",
     "document_bodies": """
 SELECT doc_id, CAST(NULL AS STRING) AS html, text, CAST(NULL AS STRING) AS markdown FROM {documents}""",
     "text_parts": """

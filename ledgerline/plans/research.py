@@ -125,19 +125,17 @@ def chat_threads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def thread_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The same threads as pages of 20 messages."""
-    messages = sessions.chat_messages(fixture(spark, sf, "thread_events"), "click", "view", "purchase")
-    found = sessions.thread_pages(messages, ["user_id", "session_key"], ["ts", "seq"], 20)
-    shown = F.concat_ws("|", F.transform("messages", lambda m: F.concat_ws(":", m["seq"], m["role"], m["content"])))
-    return found.select("user_id", "session_key", F.col("page").cast("long").alias("page"), F.col("first").cast("long").alias("first"), F.col("n_messages").cast("long").alias("n_messages"), F.md5(shown).alias("page_md5"))
+    """Conversations as pages of 20 messages."""
+    found = sessions.thread_pages(fixture(spark, sf, "conversations"), ["conv_id"], ["turn", "role", "text"], 20)
+    shown = F.concat_ws("|", F.transform("messages", lambda m: F.concat_ws(":", m["turn"], m["role"], m["text"])))
+    return found.select("conv_id", F.col("page").cast("long").alias("page"), F.col("first").cast("long").alias("first"), F.col("n_messages").cast("long").alias("n_messages"), F.md5(shown).alias("page_md5"))
 
 
 def session_store(spark: SparkSession, sf: str) -> DataFrame:
-    """The sessions that a stream of all events, eight files of them as micro-batches, leaves in a store."""
-    source, events = scratch(spark), fixture(spark, sf, "session_events")
+    """The sessions that a stream of chat events, eight files of them as micro-batches, leaves in a store."""
+    source, path, events = scratch(spark), scratch(spark), fixture(spark, sf, "chat_events")
     events.repartition(8).write.parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    path = scratch(spark)
     streams.store_sessions(stream, path, scratch(spark), fan=3).awaitTermination()
     return streams.read_sessions(spark, path).select("user_id", "session_key", "seq", "action", "payload")
 
@@ -289,15 +287,9 @@ FROM filing_requests r LEFT JOIN newest n ON n.ticker = upper(r.ticker) AND n.fo
     CASE WHEN action = 'purchase' AND quoted AND lower({trim_sql("split_part(p, 'SOURCE_QUOTE:', 2)")}) <> 'none' THEN coalesce(nullif({trim_sql("split_part(p, 'SOURCE_QUOTE:', 2)")}, ''), '-') ELSE '-' END AS quote FROM e)
 SELECT user_id, session_key, count(*) AS n_messages, md5(string_agg(concat(role, ':', kind, ':', content, ':', quote), '|' ORDER BY ts, seq)) AS thread_md5 FROM m GROUP BY ALL
 """,
-    "thread_pages": f"""
-{with_sql("thread_events")}, e AS (
-  SELECT *, {SESSION_KEY} AS session_key, coalesce(payload, '') AS p, contains(coalesce(payload, ''), 'SOURCE_QUOTE:') AS quoted FROM thread_events WHERE action IN ('click', 'view', 'purchase')
-), m AS (
-  SELECT *, CASE WHEN action = 'purchase' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN action = 'click' THEN 'selection' ELSE '-' END AS kind,
-    CASE WHEN action = 'purchase' AND quoted THEN {trim_sql("replace(split_part(p, 'SOURCE_QUOTE:', 1), 'ANSWER:', '')")} ELSE p END AS content,
-    CASE WHEN action = 'purchase' AND quoted AND lower({trim_sql("split_part(p, 'SOURCE_QUOTE:', 2)")}) <> 'none' THEN coalesce(nullif({trim_sql("split_part(p, 'SOURCE_QUOTE:', 2)")}, ''), '-') ELSE '-' END AS quote FROM e)
-SELECT user_id, session_key, CAST((n - 1) // 20 AS BIGINT) AS page, min(n) AS first, count(*) AS n_messages, md5(string_agg(concat(seq, ':', role, ':', content), '|' ORDER BY n)) AS page_md5
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_key ORDER BY ts, seq) AS n FROM m) GROUP BY 1, 2, 3
+    "thread_pages": """
+SELECT conv_id, CAST((n - 1) // 20 AS BIGINT) AS page, min(n) AS first, count(*) AS n_messages, md5(string_agg(concat_ws(':', turn, role, text), '|' ORDER BY n)) AS page_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM conversations) GROUP BY 1, 2
 """,
     "chat_threads": """
 SELECT conv_id, count(*) AS n_messages, md5(string_agg(concat(role, ':', text), '|' ORDER BY turn)) AS thread_md5 FROM conversations GROUP BY conv_id
@@ -316,4 +308,4 @@ SELECT s.user_id, s.session_key, CASE WHEN coalesce(new_text, '') <> '' THEN new
 FROM switches s LEFT JOIN stored t ON t.user_id = s.user_id AND t.session_key = s.session_key
 """,
 }
-ORACLE_SQL["session_store"] = ORACLE_SQL["latest_sessions"]
+ORACLE_SQL["session_store"] = ORACLE_SQL["latest_sessions"].replace(with_sql("session_events"), with_sql("chat_events")).replace("session_events", "chat_events")
