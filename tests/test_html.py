@@ -274,3 +274,33 @@ def test_labels_are_found_in_one_scan(spark):
 
     got = {r["label"]: r["start"] for r in sections.locate_sections(nodes.html_nodes(pages), wanted).collect()}
     assert got == {x: place(x) for x in labels if place(x) is not None} and len(got) > 10
+
+
+def tree_rows(html, regular):
+    tree = nodes.Tree(html, regular)
+    shown = [(e.tag, e.attrs, e.start, e.inside, e.children, e.element_children, e.links, e.shown, e.spaced) for e in tree.elements]
+    around = [tuple(x and x.start for x in (e.table, e.row, e.cell)) for e in tree.elements]
+    return shown, around, tree.shown, tree.spaced, tree.has_body
+
+
+def test_regular_markup_reads_like_the_lenient_parser(spark, tables):
+    rng = random.Random(11)
+    pieces = ["<p>", "</p>", "<DIV class='a' id=\"x\">", "</div>", "<br>", "<br/>", "<td/>", "<a href=\"#i1\" name=n1>", "</a >", "<td nowrap>", "<ix:nonFraction a.b=1>", "</ix:nonfraction>", "text &amp; more", "&lt;", "&", "&#8212;", " \n\t", "é 😀\u00a0",
+              "<!-- a - b -->", "<!---->", "<!-- x -- y -->", "<!DOCTYPE html>", "<script>var a='<p>&amp;</p>';</script>", "<style>p{}</style >", "<SCRIPT src='x'></Script>", "<title>T &amp; t</title>", "<body>", "</body>", "<table>", "<tr>", "</tr>", "</table>"]
+    odd = ["<", "< p>", "<p a=\"b", "<p/a>", "<p a=b/c>", "<a href=\"x?a&amp;b=1\">", "<?pi?>", "<!x>", "<!-->", "<p a='1'b='2'>", "</>", "</p x>", "<script>", "<title>a<b>c</title>", "<![CDATA[x]]>", "<p =a>", "<textarea>", "--!>", "<\x00p>", "<p \xa0 b>", "<!-- a --!> b -->"]
+    for k in range(3000):
+        some = pieces if k % 2 else pieces + odd
+        html = "".join(rng.choice(some) for _ in range(rng.randint(1, 25)))
+        assert tree_rows(html, True) == tree_rows(html, False), html
+    regular = 0
+    for html in [r["html"] for r in spark.read.parquet(f"{tables}/pages.parquet").select("html").collect()] + [r["html"] for r in fixture(spark, tables, "filing_html").where("doc_id % 50 <> 7").select("html").collect()]:
+        assert tree_rows(html, True) == tree_rows(html, False)
+        try:
+            bare = nodes.Tree.__new__(nodes.Tree)
+            super(nodes.Tree, bare).__init__()
+            bare._begin()
+            bare._read_regular(html)
+            regular += 1
+        except nodes.Irregular:
+            pass
+    assert regular > 150
