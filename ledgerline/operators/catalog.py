@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import blank_to_null, first_chars, head_slice, html_to_text, is_partial, trimmed
@@ -10,6 +10,8 @@ from ledgerline.operators.anchors import build_outline
 from ledgerline.sources.staging import staged
 
 HTML_CHARS, TEXT_CHARS, HEAD_CHARS = 8_000_000, 500_000, 500_000
+#: Bodies that are parsed in one task at the least.
+BODIES_PER_FILE = 500
 
 
 def normalize_key(df: DataFrame, ticker: str = "ticker", form: str = "form_type") -> DataFrame:
@@ -72,13 +74,16 @@ def in_folders(bodies: DataFrame, picked: DataFrame, folders: dict[str, str]) ->
     return bodies.join(F.broadcast(named), list(folders.values()), "left_semi")
 
 
-def filing_pack(requests: DataFrame, catalog: DataFrame, bodies: DataFrame, *, body_key: str = "accession", head_chars: int = HEAD_CHARS, folders: tuple[str, ...] = ()) -> DataFrame:
+def filing_pack(requests: DataFrame, catalog: DataFrame, bodies: DataFrame, *, body_key: str = "accession", head_chars: int = HEAD_CHARS, folders: tuple[str, ...] = (), shown_as: dict[str, Column] | None = None) -> DataFrame:
     """One row a request: its filing, text, display html, partial flag and anchors.
 
     Filings are picked on narrow rows; then the bodies (body_key, html, text, markdown) that were picked are read, each once however
     often it was asked for, and resolved once; outlines are made from what that wrote, and whole bodies are shuffled only to meet
     their requests. A catalog in which several filings share a body names it by body_key. Where catalog and bodies both have the
     columns that bodies are partitioned by (write_filings: form_type and filing_year), folders names them: other folders are not read.
+
+    A caller that needs no whole texts says what it wants of text, display_html and html_partial in shown_as, by name: that is worked out once a
+    body, and only that meets the requests, in place of the three.
     """
     shared = () if body_key == "accession" else (body_key,)
     picked = pick_filing(requests, catalog, (*shared, *folders))
@@ -86,8 +91,9 @@ def filing_pack(requests: DataFrame, catalog: DataFrame, bodies: DataFrame, *, b
     near = in_folders(bodies, picked, {f"filed_{c}": c for c in folders}) if folders else bodies
     picked = picked.drop(*(f"filed_{c}" for c in folders))
     wanted = near.select(body_key, "html", "text", "markdown").join(picked.select(body_key).where(F.col(body_key).isNotNull()).distinct(), body_key, "left_semi")
-    read = staged(resolve_body(wanted).drop("markdown"), compression="zstd")
+    read = staged(resolve_body(wanted).drop("markdown"), compression="zstd", rows_per_file=BODIES_PER_FILE)
     anchor = F.struct("place", "id", "label", "level", "source")
     outline = build_outline(read.select(body_key, "html"), body_key).groupBy(body_key).agg(F.array_sort(F.collect_list(anchor)).alias("anchors"))
-    shown = filing_display(read, head_chars).select(body_key, "text", "display_html", "html_partial")
+    wanted_of_body = {c: F.col(c) for c in ("text", "display_html", "html_partial")} if shown_as is None else shown_as
+    shown = filing_display(read, head_chars).select(body_key, *(column.alias(name) for name, column in wanted_of_body.items()))
     return attach(picked, shown.join(outline, body_key, "left"), body_key)

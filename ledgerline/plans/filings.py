@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as tx
@@ -96,10 +96,15 @@ def html_head_slice(spark: SparkSession, sf: str) -> DataFrame:
     return shown.select("page_id", F.length("display_html").cast("long").alias("shown_chars"), F.md5("display_html").alias("shown_md5"), "html_partial")
 
 
+def _checked_by() -> dict[str, Column]:
+    """What packs are checked by, in place of whole texts."""
+    return {"html_partial": F.col("html_partial"), "shown_chars": F.length("display_html").cast("long"), "text_md5": F.md5("text")}
+
+
 def filing_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Requests with the outlined html filings that they pick, whole."""
     bodies = _filings(spark, sf).select("doc_id", "html", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("markdown"))
-    return _shown_pack(catalog.filing_pack(fixture(spark, sf, "filing_requests"), fixture(spark, sf, "filing_catalog"), bodies, body_key="doc_id"))
+    return _shown_pack(catalog.filing_pack(fixture(spark, sf, "filing_requests"), fixture(spark, sf, "filing_catalog"), bodies, body_key="doc_id", shown_as=_checked_by()))
 
 
 def archive_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,12 +112,12 @@ def archive_pack(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
     write_filings(fixture(spark, sf, "filing_archive"), path)
     archive = spark.read.parquet(path)
-    return _shown_pack(catalog.filing_pack(fixture(spark, sf, "filing_requests"), archive, archive, folders=("form_type", "filing_year")))
+    return _shown_pack(catalog.filing_pack(fixture(spark, sf, "filing_requests"), archive, archive, folders=("form_type", "filing_year"), shown_as=_checked_by()))
 
 
 def _shown_pack(pack: DataFrame) -> DataFrame:
     anchor_ids = F.md5(F.concat_ws(",", F.transform("anchors", lambda a: a["id"])))
-    return pack.select("request_id", "ticker", "year", "form_type", "accession", "match_kind", "html_partial", F.length("display_html").cast("long").alias("shown_chars"), F.md5("text").alias("text_md5"), F.when(F.col("anchors").isNotNull(), anchor_ids).alias("anchor_ids"))
+    return pack.select("request_id", "ticker", "year", "form_type", "accession", "match_kind", "html_partial", "shown_chars", "text_md5", F.when(F.col("anchors").isNotNull(), anchor_ids).alias("anchor_ids"))
 
 
 # Raw anchors of the filings, from the parts that they are made of and the rules of the passes, without reading html.

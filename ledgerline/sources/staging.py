@@ -35,10 +35,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: lineage ends here, so a lost executor costs a read."""
+def staged(df: DataFrame, compression: str | None = None, rows_per_file: int = 0) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read back: lineage ends here, so a lost executor costs a read.
+
+    Rows that take long for their bytes are written to files of few rows, so that as many tasks can read them.
+    """
     path = scratch(df.sparkSession)
-    df.write.parquet(path, compression=compression)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
