@@ -11,11 +11,13 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import catalog, prompts, sessions
 from ledgerline.plans import filings, research
 from ledgerline.sources import staging
 from ledgerline.sources import tables as src
+from ledgerline.sources.catalog_source import FilingCatalog
 from ledgerline.streaming import sessions as streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -290,6 +292,50 @@ def test_pack_reads_only_the_folders_of_its_picks(spark, tmp_path):
     assert sorted((r["ticker"] or "", r["text"] or "", r["match_kind"]) for r in got.collect()) == [("", "", "none"), ("T1", "N55", "year"), ("T9", "", "none")]
 
 
+@pytest.fixture
+def archive(spark, tmp_path):
+    rows = [(n, f"T{n % 7}", ("10-K", "10-K/A", None)[n % 3], dt.date(2010 + n % 4, 1 + n % 12, 1), f"<p>{n}", None, "é") for n in range(300)]
+    src.write_filings(spark.createDataFrame(rows, src.CATALOG), str(tmp_path / "archive"))
+    spark.dataSource.register(FilingCatalog)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    yield str(tmp_path / "archive")
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_catalog_source_reads_what_parquet_reads(spark, archive, tmp_path):
+    load = lambda: spark.read.format("filing_catalog").load(archive)
+    whole = load()
+    stored = spark.read.parquet(archive)
+    same = lambda a, b: sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+    assert same(whole, stored) and whole.count() == 300
+    for wanted in ("form_type = '10-K' AND ticker = 'T3'", "filing_year IN (2011, 2013) AND ticker IN ('T1', 'T2', 'x')", "form_type IS NULL", "form_type = 'none'", "filing_year = 2010 AND accession > 50", "ticker = 'T1' OR filing_year = 2012"):
+        assert same(load().where(wanted), stored.where(wanted)), wanted
+    narrow = spark.read.format("filing_catalog").option("bodies", "false").load(archive)
+    assert "html" not in narrow.columns and narrow.where("ticker = 'T1'").count() == stored.where("ticker = 'T1'").count()
+    plan = load().where("form_type = '10-K' AND ticker = 'T3'")._jdf.queryExecution().executedPlan().toString()
+    assert "= 10-K" not in plan and "= T3" not in plan  # the source has taken them
+    assert load().where("form_type = '10-K' AND filing_year = 2010").rdd.getNumPartitions() < load().rdd.getNumPartitions()
+    assert spark.read.format("filing_catalog").load(str(tmp_path / "nothing")).count() == 0
+
+
+def test_catalog_stream_has_new_filings_once(spark, archive, tmp_path):
+    read = spark.readStream.format("filing_catalog").option("bodies", "false").load(archive)
+    query = read.writeStream.format("memory").queryName("filed").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+        assert sorted(r["accession"] for r in spark.table("filed").collect()) == list(range(300))
+        last = spark.read.parquet(archive).agg(F.max("filing_date")).first()[0]
+        more = [(1000 + n, "T1", "10-K", last + dt.timedelta(days=n // 2), None, None, None) for n in range(6)]
+        src.write_filings(spark.createDataFrame(more, src.CATALOG), str(tmp_path / "more"))
+        for path in (tmp_path / "more").rglob("*.parquet"):
+            (tmp_path / "archive" / path.parent.relative_to(tmp_path / "more")).mkdir(parents=True, exist_ok=True)
+            path.rename(tmp_path / "archive" / path.relative_to(tmp_path / "more"))
+        query.processAllAvailable()
+        assert sorted(r["accession"] for r in spark.table("filed").collect()) == [*range(300), *range(1000, 1006)]
+    finally:
+        query.stop()
+
+
 @pytest.mark.parametrize(
     ("stored", "wanted"),
     [
