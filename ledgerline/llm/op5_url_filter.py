@@ -16,6 +16,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,6 +48,8 @@ RULES = (
     ("org", "/es/", "block"),
 )
 _LOWER = {c: int(_FOLD[c]) for c in range(65, 91)}
+#: What a worker made of the parameters that it had last, so that its next task need not.
+_MADE: dict = {}
 _PARTS = re.compile(r"([^/?#]*)([^?#]*)")
 
 
@@ -122,8 +125,12 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     shared = pages.sparkSession.sparkContext.broadcast((rows_of(vocabulary, 2), rows_of(rules, 3)))
 
+    own = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, own_rules = automaton(shared.value[0]), Rules(shared.value[1])
+        if _MADE.get("own") != own:
+            _MADE.update(own=own, made=(automaton(shared.value[0]), Rules(shared.value[1])))
+        terms, own_rules = _MADE["made"]
         for batch in batches:
             rows = []
             for url in batch.column(1).to_pylist():

@@ -9,6 +9,12 @@ whatever its coverage. So windows lie around the places of its first phrase, as
 no other place of the text can hold it. In short templates nothing may be inserted either. Some texts begin like a sibling
 that goes on; phrases that only the sibling has exclude them.
 
+License tags (`SPDX-License-Identifier:` and `License:` lines) are read as expressions: every identifier in them is found, whether a template
+knows it or not, as `<identifier>-tag` with coverage 1; what stands behind WITH is an exception, no license.
+
+A template of the caller's own has no such phrases: alignment starts where SEED_WORDS of its words stand together in the text, once for each
+stretch that an alignment has not matched already.
+
 Cases: a null or empty text has no license, nor has one that names a family without the version. Ties in coverage go to the longer
 template and then to the first name. Very long texts are read whole. Null identifiers and repeated rows are returned as they
 came; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -88,9 +94,14 @@ for _kind, _name in {"BY": "", "BY-SA": "-ShareAlike", "BY-NC": "-NonCommercial"
     for _version, _port in (("3.0", "Unported"), ("4.0", "International")):
         TEMPLATES[f"CC-{_kind}-{_version}"] = f"Licensed under CC {_kind} {_version}"
         TEMPLATES[f"CC-{_kind}-{_version}-name"] = f"licensed under a Creative Commons Attribution{_name} {_version} {_port} License"
-for _id in ("0BSD", "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib"):
-    for _form in ("", "-only", "-or-later") if "GPL" in _id else ("",):
-        TEMPLATES[f"{_id}{_form}-tag"] = f"SPDX-License-Identifier: {_id}{_form}"
+# The titles of whole license texts.
+for _id, _title in {
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "Apache-2.0": "Apache License Version 2.0, January 2004", "Artistic-2.0": "The Artistic License 2.0",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003", "CC0-1.0": "CC0 1.0 Universal", "EPL-2.0": "Eclipse Public License - v 2.0", "EUPL-1.2": "EUROPEAN UNION PUBLIC LICENCE v. 1.2",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "MPL-1.1": "MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions", "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions", "OFL-1.1": "SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007",
+}.items():
+    TEMPLATES[f"{_id}-title"] = _title
 TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + (
     " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
     "software without specific prior written permission."
@@ -123,7 +134,7 @@ PHRASES = {
     "Zlib": ["alter it and redistribute it freely"],
 }
 for _id in TEMPLATES:
-    if _id.endswith("-tag"):
+    if _id.endswith("-title"):
         PHRASES[_id] = [TEMPLATES[_id]]
     elif "GPL" in _id:
         _name = {"L": "Lesser", "A": "Affero"}.get(_id[0], "")
@@ -140,6 +151,12 @@ UNLESS = {
 FOLLOWING = 40
 #: Templates of so many words allow no insertion.
 SHORT = 20
+#: Words that have to stand together where the alignment with a template without phrases starts.
+SEED_WORDS = 3
+# What a license tag begins with, an identifier, and what joins identifiers.
+_TAG = re.compile(r"(?:SPDX-License-Identifier|^[ \t#*/-]*License)[ \t]*:[ \t]*([A-Za-z0-9.+\-() \t]+)", re.IGNORECASE | re.MULTILINE)
+_IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*[A-Za-z0-9+]")
+_VERSIONED = re.compile(r"-\d|^(?:0BSD|MIT|ISC|Zlib|Unlicense|PSF|X11|NCSA|WTFPL|Beerware|BSD|curl)\b", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 LEAST_COVERAGE = 0.8
 
@@ -208,7 +225,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Templates as words, and the scan of one text. A template without phrases is told by each of its words."""
+    """Templates as words, and the scan of one text. A template without phrases is told by its words alone."""
 
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
@@ -218,9 +235,12 @@ class Scanner:
         self.phrases = [[words_of(p)[0] for p in PHRASES.get(name, ()) if templates[name] == TEMPLATES.get(name)] for name, _ in self.templates]
         self.unless = [[words_of(p)[0] for p in UNLESS.get(name, ())] if own else [] for (name, _), own in zip(self.templates, self.phrases)]
         for n, ((_, template), phrases) in enumerate(zip(self.templates, self.phrases)):
-            for seed in phrases[:1] or [[w] for w in dict.fromkeys(template)]:
+            together = min(SEED_WORDS, len(template))
+            for seed in phrases[:1] or [list(g) for g in dict.fromkeys(zip(*(template[j:] for j in range(together))))]:
                 for at in places_of(seed, template):
                     self.seeds.setdefault(seed[0], []).append((n, at, seed))
+        #: Tags belong to the library's own templates.
+        self.own = templates is TEMPLATES or templates == TEMPLATES
 
     def match(self, n: int, at: int, k: int, words: list[str]) -> list[tuple[int, int]]:
         """Matched places of template n and the text, when the template's place at is the text's place k; none without the phrases."""
@@ -240,24 +260,53 @@ class Scanner:
         stretch = words[pairs[0][1] : pairs[-1][1] + FOLLOWING] if pairs else []
         return [] if any(places_of(phrase, stretch) for phrase in self.unless[n]) else pairs
 
+    @staticmethod
+    def tags(text: str) -> list[tuple[str, int, int]]:
+        """(identifier, first character, after the last) of the identifiers in a text's license tags, each once, in order."""
+        found: dict[str, tuple[int, int]] = {}
+        for tag in _TAG.finditer(text):
+            exception = False
+            for m in _IDENTIFIER.finditer(text, *tag.span(1)):
+                joins = m[0].upper()
+                if joins in ("AND", "OR", "WITH"):
+                    exception = joins == "WITH"
+                    continue
+                if not exception:
+                    if not _VERSIONED.search(m[0]):
+                        break  # prose
+                    found.setdefault(m[0].rstrip("."), m.span())
+                exception = False
+        return [(name, *span) for name, span in found.items()]
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word) of every template that is covered enough, best first."""
         if not text:
             return []
+        tags = self._tagged(text) if self.own else []
         words, places = words_of(text)
         if self.seeds.keys().isdisjoint(words):
-            return []
+            return tags
+        seen: dict[int, set[tuple[int, int]]] = {}
         best: dict[int, tuple[float, int, int]] = {}
         for k, w in enumerate(words):
             for n, at, seed in self.seeds.get(w, ()):
                 if words[k : k + len(seed)] != seed or (n in best and best[n][0] == 1):
                     continue
+                if (at, k) in seen.get(n, ()):
+                    continue
                 pairs = self.match(n, at, k, words)
+                seen[n] = set(pairs)
                 coverage = len(pairs) / len(self.templates[n][1])
                 if pairs and coverage >= self.least and coverage > best.get(n, (0,))[0]:
                     best[n] = (coverage, places[pairs[0][1]], places[pairs[-1][1]])
         found = sorted(best, key=lambda n: (-best[n][0], -len(self.templates[n][1]), n))
-        return [(self.templates[n][0], *best[n]) for n in found]
+        named = [(self.templates[n][0], *best[n]) for n in found]
+        return sorted([*named, *tags], key=lambda f: -f[1])
+
+    def _tagged(self, text: str) -> list[tuple[str, float, int, int]]:
+        """The identifiers of a text's tags as scan() returns them."""
+        count = lambda end: sum(1 for _ in _WORD.finditer(text, 0, end))
+        return [(f"{name}-tag", 1.0, count(first), max(count(first), count(after) - 1)) for name, first, after in self.tags(text)]
 
 
 def unbroken(pairs: list[tuple[int, int]], start: tuple[int, int]) -> list[tuple[int, int]]:

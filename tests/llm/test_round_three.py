@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from ledgerline.llm import op11_spelling, op12_conversation_repair, op13_secret_scan
+from ledgerline.llm import op8_license_scan, op11_spelling, op12_conversation_repair, op13_secret_scan
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -378,3 +379,48 @@ def test_op13_cases(spark):
 def test_op13_tokens_without_base_spans(text):
     assert op13_secret_scan.base_spans(text) == []
     assert list(itertools.chain(op13_secret_scan.candidates(text, []))) == ([(0, text)] if len(text) >= 16 else [])
+
+
+# --- 8 -----------------------------------------------------------------------------------------------------------------
+
+
+def found_in(text):
+    return [f[0] for f in op8_license_scan.Scanner(op8_license_scan.TEMPLATES, 0.8).scan(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("// SPDX-License-Identifier: (MIT OR GPL-2.0-only)", {"MIT-tag", "GPL-2.0-only-tag"}), ("SPDX-License-Identifier: MPL-2.0 AND ISC", {"MPL-2.0-tag", "ISC-tag"}),
+        ("# SPDX-License-Identifier: EUPL-1.2\ncode", {"EUPL-1.2-tag"}), ("License: MIT", {"MIT-tag"}), ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", {"GPL-2.0-or-later-tag"}),
+        ("License: see the file beside this one", set()), ("The License: none-2", set()), ("SPDX-License-Identifier: MIT.", {"MIT-tag"}), ("SPDX-License-Identifier:", set()),
+        ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE", {"Apache-2.0-title"}), ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright", {"GPL-3.0-title"}),
+        ("Mozilla Public License Version 2.0\n1. Definitions", {"MPL-2.0-title"}), ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991", {"GPL-2.0-title"}), ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", {"LGPL-3.0-title"}),
+    ],
+)
+def test_op8_tags_are_expressions_and_whole_texts_have_titles(text, names):
+    assert set(found_in(text)) == names
+
+
+def test_op8_own_template_is_aligned_once_a_stretch():
+    rng = random.Random(1)
+    words = ["the", "of", "license", "shall", "work", *(f"w{k}" for k in range(60))]
+    template = " ".join(rng.choice(words) for _ in range(300))
+    scanner = op8_license_scan.Scanner({"own": template}, 0.8)
+    noise = [" ".join(rng.choice(words) for _ in range(10_000)) for _ in range(2)]
+    copy = template.split()
+    del copy[50:70]
+    aligned, align = [], op8_license_scan.Scanner.match
+    op8_license_scan.Scanner.match = lambda self, *a: aligned.append(a[:2]) or align(self, *a)
+    try:
+        (name, coverage, first, last), *rest = scanner.scan(f"{noise[0]} {' '.join(copy)} {noise[1]}")
+        assert (name, rest) == ("own", []) and 0.9 < coverage < 0.95 and 9_990 < first <= 10_000 and last - first < 300
+        assert len(aligned) < 400 and scanner.scan(noise[0]) == []
+    finally:
+        op8_license_scan.Scanner.match = align
+
+
+def test_op8_tag_scan_is_linear():
+    began = time.perf_counter()
+    assert found_in("\n" * 400_000 + " # * " * 100_000 + "License") == []
+    assert time.perf_counter() - began < 5
