@@ -140,7 +140,7 @@ SELECT doc_id, k,
          WHEN 11 THEN concat('#Item%20', CAST(k AS STRING)) WHEN 12 THEN concat('Item 1. ', substring(part, 1, CAST(k % 5 AS INT))) ELSE 'item 1A —' END AS label
 FROM {text_parts}""",
     "asked_quotes": """
-SELECT doc_id, k, CASE k % 5 WHEN 0 THEN substring(part, CAST(1 + doc_id % 50 AS INT), CAST(4 + k % 7 AS INT)) WHEN 1 THEN substring(part, 10, 1) WHEN 2 THEN 'anan' WHEN 3 THEN concat(substring(part, 1, 5), '~') ELSE '' END AS source_quote
+SELECT doc_id, k, CASE k % 5 WHEN 0 THEN substring(part, CAST(1 + doc_id % 50 AS INT), CAST(4 + k % 7 AS INT)) WHEN 1 THEN substring(part, 10, 6) WHEN 2 THEN 'anan' WHEN 3 THEN concat(substring(part, 1, 5), '~') ELSE '' END AS source_quote
 FROM {text_parts}""",
     "filing_bodies": """
 SELECT page_id AS accession, CASE WHEN page_id % 5 = 0 THEN '   ' ELSE html END AS html,
