@@ -220,6 +220,8 @@ def test_session_store_snapshots_and_repeated_batches(spark, tmp_path):
     streams.upsert_sessions(again, out, stream="s", batch_id=2)
     assert store.snapshots() == [1, 2, 3] and store.read().first()["payload"] == "p2"
     assert not store._commit(3, {"parts": []})  # a number is taken once
+    store._write(store.read(), 0)  # a writer that died before its commit
+    assert store.vacuum() == 0 and store.vacuum(-60) == 1 and store.vacuum(-60) == 0
     assert store.read(3).first()["payload"] == "p2" and not [n for n in os.listdir(f"{out}/manifests") if n.startswith("_")]
 
 
