@@ -52,3 +52,16 @@ def test_derived_filings_reach_every_branch(spark, tables):
     assert {r["level"] for r in outline.select("level").distinct().collect()} == {1, 2, 3, 4, 5, 6}
     assert outline.groupBy("doc_id").count().where("count = 320").count() > 0
     assert {r["origin"] for r in QUERIES["restore_key"](spark, tables).select("origin").distinct().collect()} >= {"active", "recent", "default"} - {"recent"}
+
+
+def test_headings_cut_within_an_entity_equal_the_sql(spark, tmp_path):
+    titles = ["Ly &amp;&amp; and&amp", "x &amp;lt; y&lt", "cut &am", "a&quot;b&quot", "&amplt; z&gt"]
+    pages = spark.createDataFrame([(k, f"<body><h1>{t}</h1></body>") for k, t in enumerate(titles)], "page_id long, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    wanted = con.execute(ORACLE_SQL["heading_anchors"])
+    got = QUERIES["heading_anchors"](spark, str(tmp_path))
+    own = rows(got.columns, got.collect())
+    assert own == rows([d[0] for d in wanted.description], wanted.fetchall())
+    assert [r["label"] for r in got.orderBy("page_id").collect()] == ["Ly && and&", "x &lt; y<", "cut &am", 'a"b"', "&lt; z>"]
