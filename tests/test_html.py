@@ -157,6 +157,18 @@ def test_one_scan_finds_what_searches_find():
             assert sections.fragment_starts(html, [fragment]) == [by_searches(html, fragment)], html
 
 
+def test_slices_do_not_pass_through_python(spark):
+    html = "é😀<p id='a'>x😀y</p><p id='b'>z" + "w" * 50
+    pages = spark.createDataFrame([(1, html), (2, None)], "doc_id long, html string")
+    wanted = spark.createDataFrame([(d, f) for d in (1, 2) for f in ("#a", "b", "no")], "doc_id long, fragment string")
+    found = sections.fragment_slices(pages, wanted, max_chars=12)
+    got = {(r["doc_id"], r["fragment"]): (r["start"], r["length"], r["slice"]) for r in found.collect()}
+    a, b = html.index("<p id='a'"), html.index("<p id='b'")
+    assert got == {(1, "#a"): (a, 12, html[a : a + 12]), (1, "b"): (b, 12, html[b : b + 12]), (1, "no"): (None,) * 3} | {(2, f): (None,) * 3 for f in ("#a", "b", "no")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan and "substring(html" in plan  # a worker that cut slices held its batch of html once for every fragment
+
+
 def test_second_candidate_is_the_body(spark):
     html = "<body><table><tr><td id='A'>toc</td></tr></table><p id='a'>body</p></body>"
     found = nodes.html_nodes(spark.createDataFrame([(1, html)], "doc_id long, html string"))
