@@ -169,6 +169,18 @@ def test_slices_do_not_pass_through_python(spark):
     assert "MapIn" not in plan and "substring(html" in plan  # a worker that cut slices held its batch of html once for every fragment
 
 
+def test_headings_are_matched_once(spark):
+    rows = spark.createDataFrame([("x",)], "label string").select(tx.item_heading(F.col("label")).alias("h"))
+    assert rows._jdf.queryExecution().analyzed().toString().count(r"\.{3,}") == 1
+
+
+def test_every_unicode_space_is_collapsed(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    others = [chr(c) for c in range(1, 0x3100) if not chr(c).isspace()]
+    df = spark.createDataFrame([("a" + c + "b", True) for c in spaces] + [("a" + c + "b", False) for c in others], "t string, space boolean")
+    assert df.where((tx.collapsed(F.col("t")) == "a b") != F.col("space")).count() == 0
+
+
 def test_second_candidate_is_the_body(spark):
     html = "<body><table><tr><td id='A'>toc</td></tr></table><p id='a'>body</p></body>"
     found = nodes.html_nodes(spark.createDataFrame([(1, html)], "doc_id long, html string"))
