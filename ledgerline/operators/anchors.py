@@ -52,8 +52,9 @@ def anchor_rows(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html"
     made = F.when((F.col("pass") == HEADING) | (F.coalesce("own_id", F.lit("")) == ""), F.col("made"))  # an item line whose id is blank gives none
     label = F.when(F.col("pass") == ITEM, F.substring("text", 1, ITEM_LABEL_CHARS)).otherwise(F.col("text"))
     rich = F.coalesce(item_heading(F.col("around")), item_heading(F.col("target")))
-    label = F.when((F.col("pass") == TOC) & is_bare_item_label(label), F.coalesce(rich, label)).otherwise(label)
-    label = F.substring(collapsed(label), 1, LABEL_CHARS)
+    linked = F.when(is_bare_item_label(F.col("text")), F.coalesce(rich, "text")).otherwise(F.col("text"))
+    # Texts of elements are collapsed, but may be cut at a space; a link may have a fragment in place of a text.
+    label = F.when(F.col("pass") == TOC, F.substring(collapsed(linked), 1, LABEL_CHARS)).otherwise(F.trim(label))
     level = F.when(F.col("pass") == TOC, 2).when(F.col("pass") == HEADING, F.substring("tag", 2, 1).try_cast("int")).otherwise(1)
     source = F.when(F.col("pass") == TOC, "toc").when(F.col("pass") == HEADING, "heading").otherwise("item")
     named = rows.select(id_col, "pass", "seq", F.coalesce("own", made).alias("id"), label.alias("label"), level.alias("level"), source.alias("source"))
@@ -72,25 +73,30 @@ def with_item_keys(anchors: DataFrame) -> DataFrame:
     return anchors.withColumn("item_key", item_key(F.col("label"))).withColumn("item_rank", F.when(F.col("item_key").isNotNull(), item_rank(F.col("item_key"))))
 
 
+def _merged(anchors: DataFrame, id_col: str) -> DataFrame:
+    """anchors with first_pass and first_seq, merged as merge_items says; anchors of no item stay as they are. One pass over the rows."""
+    keyed = F.col("item_key").isNotNull()
+    label = F.when(keyed, collapsed(F.col("label")))
+    own = Window.partitionBy(id_col, "item_key")
+    best = own.orderBy(F.length(label).desc(), label.rlike("[a-z]").desc(), case_folded(label), "pass", "seq")
+    placed = anchors.withColumns({"_place": F.row_number().over(best), "_first": F.min(F.when(keyed, F.struct("pass", "seq"))).over(own)})
+    kept = placed.where(~keyed | (F.col("_place") == 1))
+    return kept.select(*anchors.columns, F.coalesce("_first.pass", "pass").alias("first_pass"), F.coalesce("_first.seq", "seq").alias("first_seq"))
+
+
 def merge_items(anchors: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Of the anchors of one item in a document, the one with the richest label, with first_pass and first_seq of the item's first.
 
     Longer labels are richer; of equal length, one with a lower-case letter; then the smaller when case is folded; then the earlier.
     """
-    label = collapsed(F.col("label"))
-    best = Window.partitionBy(id_col, "item_key").orderBy(F.length(label).desc(), label.rlike("[a-z]").desc(), case_folded(label), "pass", "seq")
-    first = F.min(F.struct("pass", "seq")).over(Window.partitionBy(id_col, "item_key"))
-    items = anchors.where("item_key IS NOT NULL").withColumns({"_place": F.row_number().over(best), "_first": first})
-    return items.where("_place = 1").select(*anchors.columns, F.col("_first.pass").alias("first_pass"), F.col("_first.seq").alias("first_seq"))
+    return _merged(anchors.where("item_key IS NOT NULL"), id_col)
 
 
 def ordered_outline(anchors: DataFrame, id_col: str = "doc_id", max_anchors: int = MAX_ANCHORS) -> DataFrame:
     """(id, place, anchor id, label, level, source, item_key, display): others in push order, then items by rank, the first max_anchors."""
-    keyed = with_item_keys(first_wins(anchors, id_col))
-    others = keyed.where("item_key IS NULL").withColumns({"first_pass": F.col("pass"), "first_seq": F.col("seq")})
-    both = others.unionByName(merge_items(keyed, id_col))
+    merged = _merged(with_item_keys(first_wins(anchors, id_col)), id_col)
     order = Window.partitionBy(id_col).orderBy(F.coalesce("item_rank", F.lit(-1)), "first_pass", "first_seq")
-    placed = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_anchors)
+    placed = merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_anchors)
     display = F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("level") - 1)), "label")
     return placed.select(id_col, "place", "id", "label", "level", "source", "item_key", display.alias("display"))
 

@@ -99,6 +99,11 @@ def test_item_lines_with_ids_that_are_taken(spark):
     assert [(x[0], x[3]) for x in got] == [("x", "toc"), ("z", "heading"), ("y", "item"), ("sec-item-item-4-four-2", "item")]
 
 
+def test_outline_is_made_in_one_pass(spark):
+    plan = anchors.build_outline(spark.createDataFrame([(1, "<p>")], "doc_id long, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
 def test_outline_shuffles_once(spark):
     df = spark.createDataFrame([(1, "<body><h1>A</h1></body>")], "doc_id long, html string")
     plan = anchors.build_outline(df)._jdf.queryExecution().executedPlan().toString()
