@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from ledgerline.plans import filings, research
+from ledgerline.sources.staging import stages
 
 QUERIES = filings.QUERIES | research.QUERIES
 ORACLE_SQL = filings.ORACLE_SQL | research.ORACLE_SQL
@@ -65,3 +66,11 @@ def test_headings_cut_within_an_entity_equal_the_sql(spark, tmp_path):
     own = rows(got.columns, got.collect())
     assert own == rows([d[0] for d in wanted.description], wanted.fetchall())
     assert [r["label"] for r in got.orderBy("page_id").collect()] == ["Ly && and&", "x &lt; y<", "cut &am", 'a"b"', "&lt; z>"]
+
+
+def test_targets_stage_named_elements_alone(spark, tables):
+    with stages(spark) as paths:
+        QUERIES["anchor_target"](spark, tables)
+        staged = [f for f in map(spark.read.parquet, paths) if "seq" in f.columns]
+        assert len(staged) == 1 and "text" not in staged[0].columns
+        assert staged[0].where("id IS NULL AND name IS NULL").count() == 0
